@@ -1,0 +1,11 @@
+"""Every registered query of the audit engine, by name, with its DuckDB SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
