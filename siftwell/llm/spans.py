@@ -51,11 +51,11 @@ def spans(text: Column, pattern: str, where: Column | None = None) -> Column:
 
 def merged(kinds: dict[str, Column]) -> Column:
     """Spans of several kinds as one array of (start, rank, stop, kind, found), by start and then by kind as listed."""
-    tagged = [
-        F.transform(column, lambda s, n=n, kind=kind: F.struct(s["start"].alias("start"), F.lit(n).alias("rank"), s["stop"].alias("stop"), F.lit(kind).alias("kind"), s["found"].alias("found")))
-        for n, (kind, column) in enumerate(kinds.items())
-    ]
-    return F.array_sort(F.concat(*tagged))
+
+    def tagged(n: int, kind: str, column: Column) -> Column:
+        return F.transform(column, lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("rank"), s["stop"].alias("stop"), F.lit(kind).alias("kind"), s["found"].alias("found")))
+
+    return F.array_sort(F.concat(*[tagged(n, kind, column) for n, (kind, column) in enumerate(kinds.items())]))
 
 
 def written(spans_column: Column) -> Column:
