@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, let, text_of
+from .shared import checkpointed, let, settled, text_of
 from .spans import merged, replaced, spans, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -202,7 +202,7 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     slim = lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["stop"].alias("stop"), c["kind"].alias("kind"))
     added = F.transform(F.filter("candidates", chosen), slim)
-    return found.select("doc_id", "text_hash", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return found.select("doc_id", "text_hash", "base", settled(F.array_sort(F.concat("base", added))).alias("spans"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

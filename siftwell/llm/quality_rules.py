@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_BREAK, let, text_of
+from .shared import WORD_BREAK, let, settled, text_of
 
 #: The most characters of a word that can be a common word.
 SHORT = 4
@@ -143,7 +143,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs
     c = lambda name: F.col(f"__counts.{name}")
     failed = (c("n_words") < 20) | (100 * c("n_repeat_words") > 30 * c("n_words"))
     far = (c("n_words") >= MIN_WORDS) & ((c("class_distance") > MOST_CLASS_DISTANCE) | (c("word_distance") > MOST_WORD_DISTANCE))
-    return out.withColumn("rules", F.struct("__counts.*", failed.alias("base_failed"), (~failed & ~far).alias("kept"))).drop("__text", "__words", "__ref", "__counts", *[f"__{n}" for n in CLASSES])
+    return out.withColumn("rules", settled(F.struct("__counts.*", failed.alias("base_failed"), (~failed & ~far).alias("kept")))).drop("__text", "__words", "__ref", "__counts", *[f"__{n}" for n in CLASSES])
 
 
 def digest(docs: DataFrame) -> DataFrame:

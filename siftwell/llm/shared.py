@@ -44,5 +44,10 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def settled(value: Column) -> Column:
+    """value, unchanged, in a form that the optimizer computes once: filters on it aren't copied below it."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
