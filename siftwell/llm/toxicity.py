@@ -15,6 +15,7 @@ score alike. Only the text enters a score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -166,7 +167,9 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, mo
     share = min(1.0, most / max(1, rows.count()))
     rows = rows.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     text = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text"))
-    return text.join(F.broadcast(rows), "__id").select("text", "toxic")  # about TRAIN_ROWS ids
+    joined = text.join(F.broadcast(rows), "__id")  # about TRAIN_ROWS ids
+    # Copies would count a word again and again: of texts with one ending, one stays.
+    return joined.groupBy(F.xxhash64(F.right("text", F.lit(60))).alias("ending"), "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def _word_counts(train: DataFrame) -> DataFrame:
@@ -203,7 +206,9 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n_toxic:
         return empty
     counts = checkpointed(_word_counts(train))
-    least = max(LEAST_DOCS, int(LEAST_PART * n_toxic))
+    # So many toxic documents in a row would not befall any of the words by chance.
+    chance = math.log(max(2, counts.filter(F.col("total") >= LEAST_DOCS).count())) / max(0.1, -math.log(n_toxic / n))
+    least = max(LEAST_DOCS, math.ceil(chance), int(LEAST_PART * n_toxic))
     # A term that every document has says nothing; the share must stand out from the labels' own.
     floor = max(LEAST_SHARE, min(0.99, 1.5 * n_toxic / n))
     lexicon = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= floor * F.col("total"))).orderBy(F.desc("toxic"), "word").limit(TERMS).collect()
