@@ -593,8 +593,11 @@ def redact_cookies(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import extra  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)

@@ -16,7 +16,7 @@ def captures(spark: SparkSession, folder: str, schema, files_per_batch: int = 10
 
 def recent_once(stream: DataFrame, ts: str, keys: list[str], window: str) -> DataFrame:
     """Each key once per window of event time; state is bounded by the watermark."""
-    return stream.withWatermark(ts, window).dropDuplicatesWithinWatermark(keys)
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, window).dropDuplicatesWithinWatermark(keys)
 
 
 def canonical_stream(stream: DataFrame) -> DataFrame:
