@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, ready, text_of
+from .shared import checkpointed, keyed, ready, text_of
 
 BUCKETS = 1 << 14
 TARGET_ROWS = 20_000
@@ -160,6 +160,6 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the sample takes, with their own columns."""
-    left_out = resampled(docs, labels, id_col, text_col).filter(~F.col("selected")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__hash"))
-    return docs.join(left_out, same, "left_anti")
+    left_out = resampled(docs, labels, id_col, text_col).filter(~F.col("selected")).select("doc_id", "text_hash").distinct()
+    same = F.col("key_id").eqNullSafe(F.col("doc_id")) & (F.col("key_hash") == F.col("text_hash"))
+    return keyed(docs, id_col, text_col).join(left_out, same, "left_anti").select("row.*")

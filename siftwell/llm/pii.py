@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, let, settled, text_of
+from .shared import checkpointed, keyed, let, settled, text_of
 from .spans import merged, replaced, spans, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -213,7 +213,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[PRIVATE]") -> DataFrame:
     """docs with every detected span replaced in the text."""
-    found = detected(docs, id_col, text_col).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
-    both = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__hash")), "left")
-    text = F.col(text_col)
-    return both.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(let(text, lambda t: replaced(t, F.col("__spans"), F.lit(mark))))).select(*docs.columns)
+    found = detected(docs, id_col, text_col).filter(F.size("spans") > 0).select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"])
+    same = F.col("key_id").eqNullSafe(F.col("doc_id")) & (F.col("key_hash") == F.col("text_hash"))
+    both = keyed(docs, id_col, text_col).join(found, same, "left")
+    text = F.col("row")[text_col]
+    clean = F.when(F.col("spans").isNull(), text).otherwise(replaced(text, F.col("spans"), F.lit(mark)))
+    return both.select(*[(clean if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

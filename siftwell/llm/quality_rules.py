@@ -110,7 +110,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: tuple[list, dict] | None = None) -> DataFrame:
-    """docs with one more column ``rules``: the counts, both distances, base_failed and kept."""
+    """(row, rules): the row of docs as a struct, and its counts, both distances, base_failed and kept."""
     each, pooled = refs or references(docs, text_col, lang_col)
     spark = docs.sparkSession
     ref_type = "struct<words:array<string>,word_counts:array<bigint>,class_counts:array<bigint>>"
@@ -122,7 +122,8 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs
         F.array(*map(F.lit, pooled["class_counts"])).cast("array<bigint>").alias("class_counts"),
     )
     # At most MOST_LANGUAGES rows of some 30 numbers.
-    held = docs.withColumn("__text", text_of(text_col)).join(F.broadcast(known), F.coalesce(F.col(lang_col).cast("string"), F.lit("")) == F.col("__lang"), "left").drop("__lang")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of(text_col).alias("__text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("__own"))
+    held = packed.join(F.broadcast(known), F.col("__own") == F.col("__lang"), "left").drop("__lang")
     held = held.withColumn("__words", words(F.col("__text"))).withColumn("__ref", F.coalesce("__ref", other))
     lines = F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     classes = reduce(lambda d, kv: d.withColumn(f"__{kv[0]}", kv[1]), zip(CLASSES, _classes(F.col("__text"))), held)
@@ -143,14 +144,14 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs
     c = lambda name: F.col(f"__counts.{name}")
     failed = (c("n_words") < 20) | (100 * c("n_repeat_words") > 30 * c("n_words"))
     far = (c("n_words") >= MIN_WORDS) & ((c("class_distance") > MOST_CLASS_DISTANCE) | (c("word_distance") > MOST_WORD_DISTANCE))
-    return out.withColumn("rules", settled(F.struct("__counts.*", failed.alias("base_failed"), (~failed & ~far).alias("kept")))).drop("__text", "__words", "__ref", "__counts", *[f"__{n}" for n in CLASSES])
+    return out.select("row", settled(F.struct("__counts.*", failed.alias("base_failed"), (~failed & ~far).alias("kept"))).alias("rules"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns and both distances."""
-    return judged(docs).select("doc_id", "rules.*")
+    return judged(docs.select("doc_id", "text", "lang")).select("row.doc_id", "rules.*")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    return judged(docs).filter("rules.kept").select(*docs.columns)
+    return judged(docs).filter("rules.kept").select("row.*")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, text_of
+from .shared import checkpointed, keyed, text_of
 from .spans import merged, replaced, spans, written
 
 #: Owners from which on a value counts as a widely copied example.
@@ -127,10 +127,12 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of a secret replaced in the text, and n_chars, if there, counted anew."""
-    found = scanned(docs, id_col, text_col).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
-    text = F.col(text_col)
-    both = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__hash")), "left")
-    clean = both.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(replaced(text, F.col("__spans"), F.lit(mark))))
+    found = scanned(docs, id_col, text_col).filter(F.size("spans") > 0).select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"])
+    same = F.col("key_id").eqNullSafe(F.col("doc_id")) & (F.col("key_hash") == F.col("text_hash"))
+    both = keyed(docs, id_col, text_col).join(found, same, "left")
+    text = F.col("row")[text_col]
+    clean = F.when(F.col("spans").isNull(), text).otherwise(replaced(text, F.col("spans"), F.lit(mark)))
+    out = {c: F.col("row")[c] for c in docs.columns} | {text_col: clean}
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
-    return clean.select(*docs.columns)
+        out["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length(clean).cast(docs.schema["n_chars"].dataType))
+    return both.select(*[c.alias(n) for n, c in out.items()])

@@ -44,6 +44,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, key_id, key_hash): docs' columns packed away, so that no name of theirs can clash, and what tells texts apart."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("key_id"), F.xxhash64(text_of(text_col)).alias("key_hash"))
+
+
 def settled(value: Column) -> Column:
     """value, unchanged, in a form that the optimizer computes once: filters on it aren't copied below it."""
     return F.when(F.spark_partition_id() >= 0, value)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, ready, text_of
+from .shared import checkpointed, keyed, ready, text_of
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Fingerprints under one key that one task compares; larger keys are cut into blocks of this size.
@@ -58,15 +58,16 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per row of docs, fp as the signed long with the same bits."""
+    """(doc_id, text_hash, fp): one row per row of docs, fp as the signed long with the same bits."""
     ready(docs.sparkSession)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            fps = [fingerprint(t, shingle) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(t, shingle) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(batches, "doc_id long, fp long")
+    text = text_of(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(batches, "doc_id long, text_hash long, fp long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -242,14 +243,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id): a row per row of docs; component_id is the smallest id reachable by links."""
+    """(doc_id, text_hash, fp, root, component_id): a row per row of docs; component_id is the smallest id reachable by links."""
     prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     stars = components(links(classes, distance, group_rows))
     member = classes.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     names = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = member.join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = member.join(names, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -258,7 +259,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate group of docs (the smallest id; of repeated rows one), with all its columns."""
-    best = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(best.withColumnRenamed("doc_id", "__kept"), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """One row of each near-duplicate group of docs, with all its columns: the smallest id (null last), then the smallest text hash."""
+    each = near_duplicates(docs, id_col, text_col)
+    best = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("b")).select("b.doc_id", "b.text_hash")
+    same = F.col("key_id").eqNullSafe(F.col("doc_id")) & (F.col("key_hash") == F.col("text_hash"))
+    kept = keyed(docs, id_col, text_col).join(best, same, "left_semi")
+    return kept.dropDuplicates(["key_id", "key_hash"]).select("row.*")
