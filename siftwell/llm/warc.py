@@ -138,8 +138,17 @@ def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 def read_arc(archives: DataFrame) -> DataFrame:
     """A row per record of ARC archives, plain or gzipped, in RECORD_SCHEMA: the HTTP head apart from the payload."""
+    return _records(archives, False).drop("hash", "bytes")
+
+
+def _records(archives: DataFrame, small: bool) -> DataFrame:
+    """read_arc's rows with the payload's SHA-1 and length. small: payloads deflated, for a shuffle."""
     ready(archives.sparkSession)
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("ip", pa.string()), ("mime", pa.string()), ("version", pa.int32()), ("type", pa.string()), ("http_head", pa.binary()), ("payload", pa.binary())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("ip", pa.string()), ("mime", pa.string()), ("version", pa.int32()), ("type", pa.string()), ("http_head", pa.binary()), ("payload", pa.binary()), ("hash", pa.string()), ("bytes", pa.int64())])
+
+    def told(row: tuple) -> tuple:
+        payload = row[-1]
+        return *row[:-1], zlib.compress(payload, 1) if small else payload, hashlib.sha1(payload).hexdigest(), len(payload)
 
     def record(r: dict) -> tuple:
         if r.get("broken"):
@@ -155,11 +164,11 @@ def read_arc(archives: DataFrame) -> DataFrame:
         for part in parts:
             for content in part.column(0).to_pylist():
                 plain = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                rows = [record(r) for r in parse_arc(plain)]
+                rows = [told(record(r)) for r in parse_arc(plain)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return archives.select("content").mapInArrow(batches, RECORD_SCHEMA)
+    return archives.select("content").mapInArrow(batches, RECORD_SCHEMA + ", hash string, bytes long")
 
 
 def _stamp(date: str) -> str:
@@ -189,9 +198,9 @@ def warc_record(row: dict) -> bytes:
 def convert(archives: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """WARC archives (archive, content) from ARC archives, equal payloads as revisits of one response."""
     ready(archives.sparkSession)
-    records = read_arc(archives).filter("type <> 'broken'").withColumn("hash", F.sha1("payload"))
+    records = _records(archives, True).filter("type <> 'broken'")
     # By payload: one row, and only where there are two records or more of it.
-    last = records.filter(F.octet_length("payload") >= least_bytes).groupBy("hash").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("hash", "last")
+    last = records.filter(F.col("bytes") >= least_bytes).groupBy("hash").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("hash", "last")
     told = records.join(last, "hash", "left")
     refers = F.when((F.col("type") == "response") & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     told = told.select("page_id", "url", "date", "ip", "mime", "type", "http_head", "payload", refers.alias("refers_to"))
@@ -200,7 +209,7 @@ def convert(archives: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
         def made() -> Iterator[tuple[int, bytes]]:
             for part in parts:
                 for row in part.to_pylist():
-                    record = warc_record(row)
+                    record = warc_record(row | {"payload": zlib.decompress(row["payload"])})
                     yield len(record), record
 
         def close(held: list[bytes]) -> pa.RecordBatch:
