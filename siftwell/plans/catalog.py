@@ -593,7 +593,7 @@ def redact_cookies(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import extra  # noqa: F401  registers its queries
+    from . import extra, scans  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 
