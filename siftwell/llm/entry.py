@@ -57,5 +57,14 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+#: A SHA-1 in hex as base32: eight groups of five hex digits, four letters each.
+BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT) + 1, 1)), '')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_quality_rules": quality_rules.oracle_sql(),
+        "op6_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h FROM p),
+        l AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM d)
+        SELECT page_id, payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM l""",
+    }

@@ -137,8 +137,8 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs
             F.col("__symbol").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col("__words")).cast("long").alias("n_repeat_words"),
-            js_distance(_spread(F.array(*[F.col(f"__{c}") for c in CLASSES]), F.length("__text").cast("long")), F.col("__ref.class_counts")).alias("class_distance"),
-            js_distance(_spread(counted, F.size("__words").cast("long")), F.col("__ref.word_counts")).alias("word_distance"),
+            F.round(js_distance(_spread(F.array(*[F.col(f"__{c}") for c in CLASSES]), F.length("__text").cast("long")), F.col("__ref.class_counts")), 6).alias("class_distance"),
+            F.round(js_distance(_spread(counted, F.size("__words").cast("long")), F.col("__ref.word_counts")), 6).alias("word_distance"),
         ),
     )
     c = lambda name: F.col(f"__counts.{name}")
@@ -152,6 +152,36 @@ def digest(docs: DataFrame) -> DataFrame:
     return judged(docs.select("doc_id", "text", "lang")).select("row.doc_id", "rules.*")
 
 
+def _sql_js(p: str, q: str) -> str:
+    """js_distance of two DuckDB lists of equal length, rounded."""
+    x, y = f"{p}[i] / list_sum({p})", f"{q}[i] / list_sum({q})"
+    term = lambda v: f"(CASE WHEN {v} <= 0 THEN 0 ELSE {v} * log2({v} / (({x} + {y}) / 2)) END)"
+    return f"round(CASE WHEN coalesce(list_sum({p}), 0) <= 0 OR coalesce(list_sum({q}), 0) <= 0 THEN 0 ELSE sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: {term(x)} + {term(y)})) / 2)) END, 6)"
+
+
+def oracle_sql() -> str:
+    """digest in DuckDB, for tables with at most MOST_LANGUAGES languages."""
+    lit = lambda t: "'" + t.replace("'", "''") + "'"
+    names = list(CLASSES)
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents),
+    w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, {", ".join(f"len(regexp_extract_all(t, {lit(p)}))::DOUBLE AS c_{n}" for n, p in CLASSES.items())} FROM d),
+    c AS (SELECT *, len(words) AS n_words, [{", ".join(f"c_{n}" for n in names)}, length(t) - ({" + ".join(f"c_{n}" for n in names)})] AS own FROM w),
+    win AS (SELECT doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, n_words - {WINDOW - 2})) AS i FROM c WHERE n_words >= {WINDOW})),
+    again AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+    covered AS (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, least({WINDOW}, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, {WINDOW})) AS n FROM again) GROUP BY doc_id),
+    totals AS (SELECT lang, sum(n_words) AS total, [{", ".join(f"sum(own[{i + 1}])" for i in range(len(names) + 1))}] AS class_ref FROM c GROUP BY lang),
+    common AS (SELECT lang, word, n FROM (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(t), '[\x20\x09-\x0D]+')) AS word FROM d) WHERE length(word) BETWEEN 1 AND {SHORT} GROUP BY ALL) JOIN totals USING (lang) WHERE n >= {COMMON_SHARE}::DOUBLE * total QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {COMMON_WORDS}),
+    lists AS (SELECT lang, list(word ORDER BY n DESC, word) AS rw, list(n::DOUBLE ORDER BY n DESC, word) AS rn FROM common GROUP BY lang),
+    refs AS (SELECT lang, class_ref, coalesce(rw, []) AS rw, list_append(coalesce(rn, []), total - coalesce(list_sum(rn), 0))::DOUBLE[] AS word_ref FROM totals LEFT JOIN lists USING (lang)),
+    s AS (SELECT *, list_transform(list_filter(words, lambda x: length(x) <= {SHORT}), lambda x: lower(x)) AS short FROM c),
+    h AS (SELECT *, list_transform(rw, lambda x: len(list_filter(short, lambda y: y = x)))::DOUBLE[] AS hits FROM s JOIN refs USING (lang)),
+    m AS (SELECT *, list_append(hits, n_words - coalesce(list_sum(hits), 0))::DOUBLE[] AS word_own, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM h),
+    r AS (SELECT doc_id, n_words, CAST(length(t) - c_space AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+        {_sql_js("own", "class_ref")} AS class_distance, {_sql_js("word_own", "word_ref")} AS word_distance FROM m LEFT JOIN covered USING (doc_id))
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_words >= {MIN_WORDS} AND (class_distance > {MOST_CLASS_DISTANCE} OR word_distance > {MOST_WORD_DISTANCE})) AS kept FROM r"""
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     return judged(docs).filter("rules.kept").select("row.*")

@@ -261,4 +261,4 @@ def digest(pages: DataFrame) -> DataFrame:
     """The contract's columns: pages are written as ARC, converted to WARC archives, and read back from those."""
     legacy = checkpointed(write_arc(pages))
     archives = checkpointed(convert(legacy))
-    return read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+    return read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
