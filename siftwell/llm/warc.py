@@ -110,8 +110,8 @@ def _segments(rows: Iterator[tuple[int, object]], close) -> Iterator[bytes]:
         yield close(held)
 
 
-def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """ARC archives (archive, content) of pages, of both versions in turn."""
+def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", zipped: bool = True) -> DataFrame:
+    """ARC archives (archive, content) of pages, of both versions in turn; zipped as they would lie on disk."""
     ready(pages.sparkSession)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,8 @@ def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             nonlocal number
             number += 1
             name = f"pages-{hashlib.sha1(held[0][3]).hexdigest()[:16]}-{number:05}.arc.gz"
-            content = gzip.compress(arc_archive(name, 1 + number % 2, held), 1, mtime=0)
+            content = arc_archive(name, 1 + number % 2, held)
+            content = gzip.compress(content, 1, mtime=0) if zipped else content
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], ["archive", "content"])
 
         yield from _segments(records(), close)
@@ -258,7 +259,9 @@ def read_warc(archives: DataFrame) -> DataFrame:
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    """The contract's columns: pages are written as ARC, converted to WARC archives, and read back from those."""
-    legacy = checkpointed(write_arc(pages))
-    archives = checkpointed(convert(legacy))
+    """The contract's columns: pages are written as ARC, converted to WARC archives, and read back from those.
+
+    The WARC archives are stored; the ARC ones only pass through, made twice, which costs less than the disk for them.
+    """
+    archives = checkpointed(convert(write_arc(pages, zipped=False)))
     return read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
