@@ -299,14 +299,16 @@ def scope_filter(spark, d):
     return urls.in_scope(plain(spark, d), "url", ["/fr/*", "1*"], ["/en/*", "/de/*", "/es/*"]).select("page_id")
 
 
-_edges = "SELECT DISTINCT o_custkey % 1000 AS src, (o_orderkey * 7) % 1000 AS dst FROM orders WHERE o_orderkey % 3 = 0"
+#: Orders as links between customers, from the one who ordered to one that the order's key names.
+_edges = "SELECT DISTINCT o_custkey AS src, o_orderkey % (SELECT max(c_custkey) FROM customer) AS dst FROM orders"
 
 
-@query(f"WITH RECURSIVE l AS ({_edges}), w AS (SELECT DISTINCT src AS node, 0 AS depth FROM l WHERE src < 3 UNION SELECT l.dst, w.depth + 1 FROM w JOIN l ON l.src = w.node WHERE w.depth < 3) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+@query(f"WITH RECURSIVE l AS ({_edges}), w AS (SELECT DISTINCT src AS node, 0 AS depth FROM l WHERE src <= 2 UNION SELECT l.dst, w.depth + 1 FROM w JOIN l ON l.src = w.node WHERE w.depth < 3) SELECT node, min(depth) AS depth FROM w GROUP BY node")
 def bfs_depth(spark, d):
-    orders = spark.read.parquet(f"{d}/orders.parquet")
-    found = orders.filter("o_orderkey % 3 = 0").select(F.lit("all").alias("service"), (F.col("o_custkey") % 1000).alias("src"), ((F.col("o_orderkey") * 7) % 1000).alias("dst")).distinct()
-    start = found.filter("src < 3").select("service", F.col("src").alias("node"))
+    top = spark.read.parquet(f"{d}/customer.parquet").agg(F.max("c_custkey").alias("top"))
+    orders = spark.read.parquet(f"{d}/orders.parquet").crossJoin(F.broadcast(top))  # one row
+    found = orders.select(F.lit("all").alias("service"), F.col("o_custkey").alias("src"), (F.col("o_orderkey") % F.col("top")).alias("dst")).distinct()
+    start = found.filter("src <= 2").select("service", F.col("src").alias("node"))
     return urls.breadth_first(found, start, 3, 1 << 30).select("node", "depth")
 
 

@@ -27,10 +27,10 @@ def scanned_services(spark, d):
     return history.services(scan_rows(spark, d))
 
 
-@query(f"SELECT service, scan_id, scanned_at::DATE::VARCHAR AS day FROM ({SCANS_SQL}) WHERE scan_id % 97 = 1")
+@query(f"SELECT service, scan_id, scanned_at::DATE::VARCHAR AS day FROM ({SCANS_SQL}) WHERE scan_id IN (SELECT l_orderkey FROM lineitem)")
 def scan_by_id(spark, d):
-    """Scans looked up by their ids, here those that an event's rank names."""
-    ids = scan_rows(spark, d).select("scan_id").filter("scan_id % 97 = 1")
+    """Scans looked up by id: those that a line item names."""
+    ids = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("scan_id"))
     return scan_rows(spark, d).join(ids, "scan_id", "left_semi").select("service", "scan_id", F.date_format("scanned_at", "yyyy-MM-dd").alias("day"))
 
 
@@ -70,7 +70,8 @@ def csp_directives(spark, d):
 
 @query(P + "SELECT page_id, service, url || '/server-status' AS value FROM p WHERE page_id % 10 IN (2, 5) AND page_id % 2 = 1")
 def apache_status(spark, d):
-    shown = pages(spark, d).filter("page_id % 2 = 1").withColumn("url", F.concat("url", F.lit("/server-status"))).withColumn("html", F.concat("html", F.lit(" Apache Server Status for x")))
+    odd = F.col("page_id") % 2 == 1
+    shown = pages(spark, d).withColumn("url", F.when(odd, F.concat("url", F.lit("/server-status"))).otherwise(F.col("url"))).withColumn("html", F.concat("html", F.lit(" Apache Server Status for x")))
     return headers.status_pages(shown).select("page_id", "service", "value")
 
 
