@@ -154,8 +154,8 @@ def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, n_ngrams, mean_log_ratio, log_weight, gumbel_key, selected)."""
-    return resampled(docs, labels).drop("text_hash")
+    """(doc_id, n_ngrams, mean_log_ratio, log_weight, gumbel_key, kept)."""
+    return resampled(docs, labels).drop("text_hash").withColumnRenamed("selected", "kept")
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -93,7 +93,7 @@ def test_importance_keeps_good_and_counts_all(spark, table, labels):
     quality = {r.doc_id: r.quality for r in labels.collect()}
     good, bad = [out[i].mean_log_ratio for i in out if quality.get(i) == 1], [out[i].mean_log_ratio for i in out if quality.get(i) == 0]
     assert np.median(good) > np.median(bad)
-    assert sum(out[i].selected for i in out if quality.get(i) == 1) >= 0.99 * len(good)
+    assert sum(out[i].kept for i in out if quality.get(i) == 1) >= 0.99 * len(good)
     hasher, total = importance.Hasher(), np.zeros(importance.BUCKETS)
     for r in table.collect():
         total += np.bincount(hasher.ngrams(r.text or "").astype(int), minlength=importance.BUCKETS)
@@ -107,7 +107,7 @@ def test_gumbel_top_k_is_exact(spark, table, labels):
 
 
 def test_importance_without_labels_and_rows(spark, docs, none, labels):
-    assert importance.digest(docs, labels.filter("false")).filter("selected").count() == docs.count()
+    assert importance.digest(docs, labels.filter("false")).filter("kept").count() == docs.count()
     assert importance.digest(none, labels).count() == 0
     assert importance.keep_selected(docs, labels.filter("false")).columns == docs.columns
 
