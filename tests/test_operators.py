@@ -148,3 +148,24 @@ def test_reports_skip_broken_lines(spark, tmp_path):
 @pytest.mark.parametrize(("pattern", "text", "hit"), [("b$", "ab\n", False), ("a.b", "a\rb", True), (r"\bx1\b", "éx1é", True)])
 def test_dialect(spark, pattern, text, hit):
     assert spark.createDataFrame([(text,)], "t string").filter(F.col("t").rlike(java(pattern))).count() == int(hit)
+
+
+def test_fan_out_and_point_reads(spark, tmp_path):
+    crawls = spark.createDataFrame([("/a", "s", 1), ("/a", "t", 2)], "url string, service string, n int")
+    captures.write_all(crawls, [lambda f: f.write.parquet(str(tmp_path / "p")), lambda f: f.write.json(str(tmp_path / "j"))])
+    assert spark.read.parquet(str(tmp_path / "p")).count() == spark.read.json(str(tmp_path / "j")).count() == 2
+    assert captures.crawl_at(crawls, "/a", "s").first()["n"] == 1
+
+
+def test_site_defaults_do_not_leak(spark):
+    sites = spark.createDataFrame([("a", None, 0, {"x": "1"}, [], ["/f/*"]), ("b", "c=1", 3, None, None, None)], "site string, cookie string, depth int, headers map<string,string>, ignore array<string>, follow array<string>")
+    got = {r["site"]: r for r in urls.with_defaults(sites, {"cookie": "d", "depth": 9, "headers": {"x": "0", "y": "2"}, "ignore": ["/i"]}).collect()}
+    assert got["a"]["headers"] == {"x": "1", "y": "2"} and got["b"]["headers"] == {"x": "0", "y": "2"}
+    assert (got["a"]["cookie"], got["a"]["depth"], got["a"]["ignore"], got["a"]["follow"]) == ("d", 9, ["/i"], ["/f/*"])
+    assert (got["b"]["cookie"], got["b"]["depth"], got["b"]["follow"]) == ("c=1", 3, [])
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    pages = spark.createDataFrame([(n, "s", f"http://s/{n}", t) for n, t in enumerate(seeds.SNIPPETS)], PAGE)
+    rows = lambda p: sorted(map(tuple, detect.all_findings(p).collect()))
+    assert rows(pages.repartition(7, "page_id")) == rows(pages.coalesce(1).orderBy(F.desc("page_id")))
