@@ -38,6 +38,8 @@ QUOTES = frozenset("\"“”«»„‘’")
 REPORTING = frozenset("said says wrote writes quoted quote called saying sagte schrieb zitat dit écrit cité dijo escribió cita".split())
 PRIORS = {"exact": 0.9, "stem": 0.9, "fuzzy": 0.2, "quoted": 0.5}
 REMEMBERED = 1 << 17
+#: Harmless words within one edit of a term that the model holds at most; words beyond score by their kind's learned rate.
+NEIGHBOURS = 100_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -231,7 +233,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], ["word"])
 
     common = counts.filter((F.col("total") >= LEAST_DOCS) & (F.col("toxic") < 0.5 * F.col("total"))).select("word")
-    model["harmless"] = frozenset(r["word"] for r in common.mapInArrow(near, "word string").limit(100_000).collect())
+    model["harmless"] = frozenset(r["word"] for r in common.mapInArrow(near, "word string").orderBy("word").limit(NEIGHBOURS).collect())
     told = spark.sparkContext.broadcast(model)
 
     def kinds(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
