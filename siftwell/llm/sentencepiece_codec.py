@@ -29,7 +29,7 @@ from .shared import ready, text_of
 
 SPACE = "▁"
 #: Words remembered per generation and task; two generations are held.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 #: Longer words are encoded each time they occur.
 LONGEST_REMEMBERED = 64
 
@@ -72,6 +72,8 @@ class PieceCodec:
         self.old: dict[str, bytes] = {}
         self.run_bytes: dict[int, bytes] = {}
         self.plain = [b"" if self.kind[i] == "control" else p.replace(SPACE, " ").encode() if self.kind[i] != "byte" else bytes([int(p[1:-1], 16)]) for i, p in enumerate(self.pieces)]
+        self.id_bytes = {p: i.to_bytes(4, "little") for p, i in ids.items()}
+        self.byte_bytes = [i.to_bytes(4, "little") for i in self.byte_ids]
         self.bare = np.array([ids.get(SPACE, self.unknown)], "<u4").tobytes()
 
     def _build(self) -> None:
@@ -159,39 +161,45 @@ class PieceCodec:
         longest: list[str] = [""] * (len(text) + 1)
         for stop, piece in self.automaton.iter(text):
             longest[stop - len(piece) + 1] = piece  # a longer one ends later and so comes later
-        failed, out, at, end = 0, [], 0, len(text)
+        failed, out, at, end, last = 0, [], 0, len(text), ""
+        known, shorter = self.pairs, self.shorter
         piece: str | None = longest[0]
         while at < end:
-            while piece and (failed >> (at + len(piece)) & 1 or out and not self.apart(out[-1], piece)):
-                piece = self.shorter[piece]
+            while piece:
+                if not failed >> (at + len(piece)) & 1:
+                    if not out:
+                        break
+                    fits = known.get((last, piece))
+                    if self.apart(last, piece) if fits is None else fits:
+                        break
+                piece = shorter[piece]
             if piece:
                 out.append(piece)
                 at += len(piece)
+                last = piece
                 piece = longest[at]
             else:
                 failed |= 1 << at
                 piece = out.pop()
                 at -= len(piece)
+                last = out[-1] if out else ""
         return out
 
     def _word(self, word: str) -> bytes:
         """The ids of a piece of text without inner spaces, as little-endian 32-bit integers."""
-        out: list[int] = []
-        known = ""
-        if self.single.issuperset(word):
-            out = [self.ids[p] for p in self._long(word)]
-        else:
-            start = 0
-            for i, ch in enumerate(word):
-                if ch not in self.single:
-                    if start < i:
-                        out += [self.ids[p] for p in self._long(word[start:i])]
-                    out += [self.byte_ids[b] for b in ch.encode()]
-                    start = i + 1
-            known = word[start:]
-            if known:
-                out += [self.ids[p] for p in self._long(known)]
-        return np.array(out, "<u4").tobytes()
+        one, single = self.id_bytes, self.single
+        if single.issuperset(word):
+            return b"".join([one[p] for p in self._long(word)])
+        out, start = [], 0
+        for i, ch in enumerate(word):
+            if ch not in single:
+                if start < i:
+                    out += [one[p] for p in self._long(word[start:i])]
+                out += [self.byte_bytes[b] for b in ch.encode()]
+                start = i + 1
+        if start < len(word):
+            out += [one[p] for p in self._long(word[start:])]
+        return b"".join(out)
 
     def _long(self, text: str) -> list[str]:
         """Backtracking over parts that no merge can cross, so that bitfields stay short in endless words."""
