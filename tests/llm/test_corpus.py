@@ -13,7 +13,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from siftwell.llm import importance, packing, pii, quality_rules, secrets_scan, simhash, sketch, spans, toxicity, warc
+from siftwell.llm import importance, packing, pii, quality_rules, secrets_scan, similar, simhash, sketch, spans, toxicity, warc
 from siftwell.llm import sentencepiece_codec as codec
 
 SF = "/root/testdata/sf0.001"
@@ -462,6 +462,40 @@ def test_pipeline_stage_by_stage(spark, table, labels):
     assert pipeline.run(spark, SF).count() == last.count()
 
 
+def shingle_set(text):
+    words = [w.lower() for w in WORD.findall(text)]
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_duplicates_by_jaccard(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng, rows = random.Random(7), []
+    for i in range(60):
+        words = [f"v{rng.randrange(5000)}" for _ in range(100)]
+        rows.append((10 * i, " ".join(words)))
+        for k in range(1, 5):  # the k-th copy differs from the first in k words
+            other = list(words)
+            for at in rng.sample(range(100), k):
+                other[at] = f"n{rng.randrange(5000)}"
+            rows.append((10 * i + k, " ".join(other)))
+    rows += [(5000, None), (5001, ""), (None, "no id here at all"), (5002, rows[0][1].upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [shingle_set(t or "") for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    groups = collections.defaultdict(list)
+    for (i, _), r in zip(rows, root):
+        groups[r].append(i)
+    want = counted(min(g, key=lambda i: (i is None, i or 0)) for g in groups.values())
+    out = pipeline.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns and counted(r.doc_id for r in out.collect()) == want
+    assert pipeline.near_duplicates(spark, docs.limit(0), SF).count() == 0
+
+
 def simhash_input(spark, pipeline, table):
     frame = table
     for _, stage in pipeline.STAGES[:3]:
