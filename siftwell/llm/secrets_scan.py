@@ -4,9 +4,10 @@ Base patterns find assignments, access keys and long hex runs. Wider generators
 vendor-prefixed tokens, signed web tokens, private-key headers and values given to credential-like names.
 Every candidate's value is hashed and counted over the whole corpus by distinct repositories and owners
 (pairs are made distinct first, so a value that a third of all rows repeat is a few rows by then). A wider
-candidate becomes a span if its value belongs to one owner and looks live: enough characters, enough distinct
-ones, digits and letters mixed, and no placeholder word. Base spans stay whatever their frequency; the
-frequency separates them too, into live and widely copied ones (n_live, n_copied).
+candidate becomes a span if its value isn't widely copied and looks live: enough characters, enough distinct
+ones, digits and letters mixed, and no placeholder word. A private key's value is its body, not the header line.
+Base spans stay whatever their frequency; the frequency separates them too, into live and widely copied ones
+(n_live, n_copied).
 
 Null or empty text has no spans. Repeated rows each have their own result. A null owner counts as one owner.
 """
@@ -32,10 +33,16 @@ ACCESS = "AKIA[A-Z0-9]{16,}+"
 HEX = "(?<![0-9a-f])[0-9a-f]{24,}+"
 PLACEHOLDER = "(?i)example|sample|dummy|changeme|placeholder|xxxx|your[-_]|test[-_]|1234567|abcdef"
 
+#: White space, also as the escapes of a string in source code.
+BREAK = r"(?:\s|\\[rnt])"
+
 WIDER = {
     "vendor": r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{30,}+|glpat-[A-Za-z0-9_-]{16,}+)",
     "signed": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
-    "pem": r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----",
+    # The header, then what there is of the key: header fields, lines of 16 characters or more, and a last line before the end line.
+    "pem": r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP |ENCRYPTED )?PRIVATE KEY(?: BLOCK)?-----"
+    rf"(?:{BREAK}*+(?:Proc-Type|DEK-Info|Version|Comment|Hash): [^\r\n\\]*+)*+(?:{BREAK}*+[A-Za-z0-9+/=]{{16,}}+)*+"
+    rf"(?:{BREAK}*+[A-Za-z0-9+/=]*+{BREAK}*+(?:=[A-Za-z0-9+/]{{4}}{BREAK}*+)?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----)?",
     "named": r"""(?i:access[-_]?key|private[-_]?key|client[-_]?id|auth|credential|pwd|bearer)["']?\x20*[:=]?\x20*["']?(?=[A-Za-z0-9+/_.=-]{16})[A-Za-z0-9+/_.=-]++""",
 }
 
@@ -63,14 +70,15 @@ def _value(kind: Column, found: Column) -> Column:
     """The secret itself: what follows the name and its sign."""
     tail = F.regexp_extract(found, r"""([A-Za-z0-9+/_.=-]+)$""", 1)
     assigned = F.regexp_extract(found, VALUE, 1)
-    return F.when(kind == "assign", assigned).when(kind == "named", tail).otherwise(found)
+    body = F.regexp_replace(F.regexp_replace(found, "-----[A-Z ]+-----", ""), BREAK, "")
+    return F.when(kind == "assign", assigned).when(kind == "named", tail).when(kind == "pem", body).otherwise(found)
 
 
 def looks_live(kind: Column, value: Column) -> Column:
     distinct = F.size(F.array_distinct(F.split(value, "")))
     mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     strong = (F.length(value) >= LIVE_CHARS) & (distinct >= LIVE_DISTINCT) & mixed
-    return (strong | (kind == "pem")) & ~value.rlike(PLACEHOLDER)
+    return (strong & ~value.rlike(PLACEHOLDER)) | (kind == "pem")
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repository: Column) -> DataFrame:
@@ -105,7 +113,10 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
     live = looks_live(F.col("s.kind"), value)
     some = some.distinct().select("doc_id", "text_hash", "s", F.sha2(value, 256).alias("hash"), live.alias("live"))
     told = some.join(ownership(found), "hash")
-    own, copied = (F.col("owners") == 1) & F.col("live"), F.col("owners") >= COPIED_OWNERS
+    # A header without a key has no value that could be copied.
+    bare = (F.col("s.kind") == "pem") & (F.col("hash") == F.sha2(F.lit(""), 256))
+    copied = (F.col("owners") >= COPIED_OWNERS) & ~bare
+    own = F.col("live") & ~copied
     is_base = F.col("s.kind").isin("assign", "access", "hex")
     # What a row of docs gets back is at most one entry per candidate of its own text.
     verdict = told.groupBy("doc_id", "text_hash").agg(
