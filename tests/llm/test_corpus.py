@@ -409,6 +409,16 @@ def test_toxicity_learns_and_holds_out(spark, none):
     assert toxicity.scored(docs.limit(1).select("doc_id", F.lit(None).cast("string").alias("text")), model).first().score < 0.3
 
 
+def test_toxicity_of_texts_with_one_footer(spark):
+    footer = " all pages of this site are under a licence that says so at great length in every one of them"
+    rows = [(i, f"p{i} q{i} {'zorp r' if i % 6 == 0 else 'fine s'}{i} here" + footer) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fitted(docs.union(docs), labels)
+    assert set(model["words"]) == {"zorp"}
+    assert all(r.predicted == (r.doc_id % 6 == 0) for r in toxicity.scored(docs, model).collect())
+
+
 # --- 10 -----------------------------------------------------------------------------------------------------------
 
 
