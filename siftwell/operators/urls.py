@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions.folders import checkpointed
 from siftwell.sources.captures import host
 
 
@@ -97,17 +96,14 @@ def breadth_first(links: DataFrame, seeds: DataFrame, max_depth: int = 5, budget
 
     A level is one join of the frontier with the links, less what was visited; levels are checkpointed in the shared folder.
     """
-    sc = seeds.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(seeds.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    visited = seeds.select("service", "node").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    visited = checkpointed(seeds.select("service", "node").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
     for depth in range(1, max_depth + 1):
         step = links.join(frontier.select("service", F.col("node").alias("src")), ["service", "src"])
-        frontier = step.select("service", F.col("dst").alias("node")).distinct().join(visited, ["service", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = checkpointed(step.select("service", F.col("dst").alias("node")).distinct().join(visited, ["service", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier).checkpoint()
+        visited = visited.unionByName(frontier)  # levels that are stored already
     w = Window.partitionBy("service").orderBy("depth", "node")
     return visited.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= budget).drop("_n")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from siftwell.functions.folders import shared_folder
 from siftwell.functions import rules as R
 from siftwell.operators import detect, extract, files, urls
 from siftwell.sources import captures
@@ -90,8 +90,7 @@ def address_classes(spark, d):
 
 
 def _scratch(spark) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/feed-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
 
 
 @query(P + emails_sql("p"))
