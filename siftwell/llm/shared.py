@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.functions.folders import checkpointed, shared_folder
+
+__all__ = ["WORD_BREAK", "checkpointed", "joined_by_hot_key", "keyed", "let", "ready", "settled", "shared_folder", "small", "table", "text_of"]
+
 #: ASCII white space that separates words in every contract here: space and \x09-\x0D.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
@@ -22,18 +25,6 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise df in the folder the cluster names in spark.checkpoint.dir.
-
-    A folder of our own is made only where the session names none (tests on one machine).
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def text_of(column: str | Column) -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -54,5 +45,31 @@ def settled(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+#: Rows that may be broadcast once counted, and rows of one key that may meet in one task: so many, or this part of all.
+SMALL_ROWS, KEY_ROWS, KEY_PART = 100_000, 1_000_000, 1 / 512
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df, for a broadcast where it is counted to have at most so many (narrow) rows; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def joined_by_hot_key(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right (at most one row per key), whose few hot keys are dealt over many tasks.
+
+    A key with over KEY_ROWS rows or KEY_PART of all rows of left is hot: its rows get a number from a hash of the
+    columns in spread, and its row of right one copy for each number. There are at most 1 / KEY_PART hot keys, or one
+    per KEY_ROWS rows, so their list is broadcast. left is read twice: for the counts, and for the join.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n"))
+    total = left.count()
+    most = max(1, min(KEY_ROWS, int(total * KEY_PART)))
+    hot = checkpointed(counts.filter(F.col("n") > most).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / most).cast("int").alias("__parts")))
+    many = F.coalesce("__parts", F.lit(1))
+    lefts = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__part", F.pmod(F.xxhash64(*spread), many).cast("int")).drop("__hot", "__parts")
+    rights = right.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), many - 1))).drop("__hot", "__parts")
+    return lefts.join(rights, [key, "__part"], how).drop("__part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

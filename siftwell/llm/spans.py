@@ -30,23 +30,29 @@ def running(values: Column) -> Column:
     return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(blocks, whole))
 
 
-def spans(text: Column, pattern: str, where: Column | None = None) -> Column:
-    """All leftmost non-overlapping matches of pattern. where: a cheap test without which there is no match."""
+def spans(text: Column, pattern: str, where: Column | None = None, context: int = 0) -> Column:
+    """All leftmost non-overlapping matches of pattern. where: a cheap test without which there is no match.
+
+    context: so many characters of what lies between a match and its neighbours come along as ``before`` and ``after``.
+    """
 
     def place(parts: Column) -> Column:
         gaps, found = parts["gaps"], parts["found"]
         steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
 
-        def ends(before: Column) -> Column:
-            starts = F.zip_with(before, F.slice(gaps, 1, F.size(found)), lambda b, g: b + F.length(g))
-            return F.zip_with(starts, found, lambda s, m: F.struct(s.alias("start"), (s + F.length(m)).alias("stop"), m.alias("found")))
+        def one(before: Column, m: Column, i: Column) -> Column:
+            start = F.get(before, i) + F.length(F.get(gaps, i))
+            fields = [start.alias("start"), (start + F.length(m)).alias("stop"), m.alias("found")]
+            if context:
+                fields += [F.right(F.get(gaps, i), F.lit(context)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(context)).alias("after")]
+            return F.struct(*fields)
 
-        return let(running(steps), ends)
+        return let(running(steps), lambda before: F.transform(found, lambda m, i: one(before, m, i)))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.when(F.size(found) > 0, let(F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("found")), place))
     got = both if where is None else F.when(where, both)
-    return F.coalesce(got, F.array()).cast(SPAN)
+    return F.coalesce(got, F.array()).cast(SPAN.replace("found:string", "found:string,before:string,after:string") if context else SPAN)
 
 
 def merged(kinds: dict[str, Column]) -> Column:
