@@ -1,35 +1,35 @@
 """Quality rules by distribution divergence, in built-in functions only.
 
-Each language's reference comes from the whole table: its character-class histogram and the histogram of
-its common short words (those with at least 1/500 of the language's words, the 24 most frequent). A document is
-compared with its language's reference by Jensen-Shannon distance (base 2, so 0 to 1) on both histograms.
-Short documents carry too little evidence: the distances count only from MIN_WORDS words on. Documents
-without a language, and languages beyond the MOST_LANGUAGES most frequent, are compared with the pooled reference.
-
-Null or empty text has no words and fails the base rule (fewer than 20 words). Repeated rows are judged alike.
+Each language's reference comes from the whole table: its character-class histogram and the histogram of its
+common words (of any length: those with at least COMMON_SHARE of the language's words, the COMMON_WORDS most frequent; of
+equal counts the first in order). A document is compared with its language's reference by Jensen-Shannon distance (base
+2, so 0 to 1) on both histograms. Short documents carry too little evidence: the distances count only from MIN_WORDS
+words on. Documents without a language are a language of their own. References are a table joined by language, however
+many languages there are; it is broadcast only where it is counted to be small.
+
+Null or empty text has no words and fails the base rule (fewer than 20 words). Very long texts are judged whole. Repeated
+rows are judged alike; they count in the references as often as they occur. An empty table gives an empty result. A language whose
+words are all rare, or that is written without spaces, has no common words: its word distance is then zero
+and its classes alone are judged. Further columns of docs, whatever their names, are packed into one struct.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_BREAK, let, settled, text_of
+from .shared import SMALL_ROWS, WORD_BREAK, checkpointed, joined_by_hot_key, let, settled, small, text_of
 
-#: The most characters of a word that can be a common word.
-SHORT = 4
 COMMON_WORDS = 24
 COMMON_SHARE = 1 / 500
 #: Fewest words from which the distances count.
 MIN_WORDS = 50
 MOST_CLASS_DISTANCE = 0.30
 MOST_WORD_DISTANCE = 0.55
-#: Languages with a reference of their own; this bounds what is sent to every task.
-MOST_LANGUAGES = 256
+#: References (some 40 numbers and words each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 WINDOW = 8
-CLASSES = {"upper": r"\p{Lu}", "digit": "[0-9]", "mark": r"[.,;:!?'\"()\[\]{}/_=+@~^-]", "symbol": "[#*$%&|<>]", "space": r"[\x20\x09-\x0D]"}
+CLASSES = {"upper": r"\p{Lu}", "digit": "[0-9]", "mark": r"[.,;:!?'\"()\[\]{}/_=+@~^-]", "symbol": "[#*$%&|<>]"}
 
 
 def words(text: Column) -> Column:
@@ -37,7 +37,7 @@ def words(text: Column) -> Column:
 
 
 def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
-    """Words that lie in a window of so many words which occurs twice or more in tokens."""
+    """Words that lie in a window of so many words (a power of two) which occurs twice or more in tokens."""
 
     def covered(at: Column) -> Column:
         return F.aggregate(F.transform(at, lambda x, i: F.least(F.lit(window), F.coalesce(F.get(at, i + 1) - x, F.lit(window)))), F.lit(0), lambda a, x: a + x)
@@ -50,18 +50,28 @@ def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
         order = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("hash"), i.alias("at"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(order, twice))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(tokens) - window + 1), lambda i: F.xxhash64(F.slice(tokens, i, window)))
+    def doubled(each: Column, n: int) -> Column:
+        return let(each, lambda h: F.zip_with(F.slice(h, 1, F.size(h) - n), F.slice(h, n + 1, F.size(h) - n), lambda a, b: F.xxhash64(a, b)))
+
+    def windows(each: Column) -> Column:
+        # Hashes of one word, two, four and eight words, each from two of the size before.
+        n = 1
+        while n < window:
+            each, n = doubled(each, n), 2 * n
+        return each
+
+    hashes = let(F.transform(tokens, lambda w: F.xxhash64(w)), windows)
     return F.when(F.size(tokens) < window, F.lit(0)).otherwise(let(hashes, count))
 
 
-def _classes(text: Column, n_space: Column | None = None) -> list[Column]:
-    counts = {name: F.regexp_count(text, F.lit(pattern)).cast("long") for name, pattern in CLASSES.items()}
-    return [*counts.values()]
+def _classes(text: Column, tokens: Column) -> Column:
+    """Characters of each class: those of CLASSES, white space, and all others."""
 
+    def rest(counts: Column) -> Column:
+        return F.concat(counts, F.array(F.length(text).cast("long") - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)))
 
-def _spread(counts: Column, total: Column) -> Column:
-    """Counts with what is left of total behind them."""
-    return F.concat(counts, F.array(total - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)))
+    space = (F.length(text) - F.length(F.array_join(tokens, ""))).cast("long")
+    return let(F.array(*[F.regexp_count(text, F.lit(p)).cast("long") for p in CLASSES.values()], space), rest)
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -83,62 +93,64 @@ def js_distance(p: Column, q: Column) -> Column:
     return let(pair, distance)
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list, dict]:
-    """([(lang, words, word counts, class counts)] and the pooled one, from all of docs; a bounded number of rows."""
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, words, word_counts, class_counts), a row per language of docs; the last of word_counts are all other words.
+
+    Texts are split once: every class but white space lies in words, so both histograms come from the counts of distinct
+    words, which are added up map-side.
+    """
     base = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), text_of(text_col).alias("text"))
-    small = F.filter(words(F.lower("text")), lambda w: F.length(w) <= SHORT)
-    classes = base.groupBy("lang").agg(*[F.sum(c).alias(n) for n, c in zip(CLASSES, _classes(F.col("text")))], F.sum(F.length("text").cast("long")).alias("chars"), F.sum(F.size(words(F.col("text"))).cast("long")).alias("n_words"))
-    classes = classes.orderBy(F.desc("n_words"), "lang").limit(MOST_LANGUAGES)
-    per_lang = {r["lang"]: r.asDict() for r in classes.collect()}
-    counted = base.select("lang", F.explode(small).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    totals = docs.sparkSession.createDataFrame([(k, int(v["n_words"] or 0)) for k, v in per_lang.items()], "lang string, total long")
-    frequent = counted.join(F.broadcast(totals), "lang").filter(F.col("n") >= COMMON_SHARE * F.col("total"))
+    counts = base.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = checkpointed(counts)
+    chars = base.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("chars"))
+    shown = {name: F.sum(F.col("n") * F.regexp_count("word", F.lit(p))) for name, p in CLASSES.items()}
+    own = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.length("word")).alias("word_chars"), *[c.alias(f"c_{name}") for name, c in shown.items()])
+    zero = lambda name: F.coalesce(name, F.lit(0).cast("long"))
+    inner = [zero(f"c_{name}") for name in CLASSES]
+    others = zero("word_chars")
+    for c in inner:
+        others = others - c
+    totals = chars.join(own, "lang", "left").select("lang", zero("total").alias("total"), F.array(*inner, F.col("chars") - zero("word_chars"), others).alias("class_counts"))
+    totals = checkpointed(totals)
+    low = counts.groupBy("lang", F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
+    few = small(totals.select("lang", "total"))
+    frequent = (low.join(few, "lang") if totals.count() <= SMALL_ROWS else joined_by_hot_key(low, few, "lang", ["word"])).filter(F.col("n") >= COMMON_SHARE * F.col("total"))
+    # A language has at most 1 / COMMON_SHARE common words.
     best = frequent.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))), 1, COMMON_WORDS).alias("best"))
-    common = {r["lang"]: [(b["word"], -b["n"]) for b in r["best"]] for r in best.collect()}
-
-    def reference(rows: list[dict], counts: list[tuple[str, int]]) -> dict:
-        add = lambda k: sum(int(r[k] or 0) for r in rows)
-        shown = [add(k) for k in CLASSES]
-        return {"words": [w for w, _ in counts], "word_counts": [*(n for _, n in counts), max(0, add("n_words") - sum(n for _, n in counts))], "class_counts": [*shown, max(0, add("chars") - sum(shown))]}
-
-    pooled: dict[str, int] = {}
-    for counts in common.values():
-        for w, n in counts:
-            pooled[w] = pooled.get(w, 0) + n
-    top = sorted(pooled.items(), key=lambda x: (-x[1], x[0]))[:COMMON_WORDS]
-    return [(k, reference([v], common.get(k, []))) for k, v in sorted(per_lang.items())], reference([*per_lang.values()], top)
-
-
-def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: tuple[list, dict] | None = None) -> DataFrame:
-    """(row, rules): the row of docs as a struct, and its counts, both distances, base_failed and kept."""
-    each, pooled = refs or references(docs, text_col, lang_col)
-    spark = docs.sparkSession
-    ref_type = "struct<words:array<string>,word_counts:array<bigint>,class_counts:array<bigint>>"
-    row = lambda r: (r["words"], r["word_counts"], r["class_counts"])
-    known = spark.createDataFrame([(k, row(r)) for k, r in each], f"__lang string, __ref {ref_type}")
-    other = F.struct(
-        F.array(*map(F.lit, pooled["words"])).cast("array<string>").alias("words"),
-        F.array(*map(F.lit, pooled["word_counts"])).cast("array<bigint>").alias("word_counts"),
-        F.array(*map(F.lit, pooled["class_counts"])).cast("array<bigint>").alias("class_counts"),
-    )
-    # At most MOST_LANGUAGES rows of some 30 numbers.
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of(text_col).alias("__text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("__own"))
-    held = packed.join(F.broadcast(known), F.col("__own") == F.col("__lang"), "left").drop("__lang")
-    held = held.withColumn("__words", words(F.col("__text"))).withColumn("__ref", F.coalesce("__ref", other))
+    most = F.coalesce(F.transform("best", lambda b: -b["n"]), F.array().cast("array<bigint>"))
+    rest = F.col("total") - F.aggregate(most, F.lit(0).cast("long"), lambda a, x: a + x)
+    return totals.join(best, "lang", "left").select("lang", F.coalesce("best.word", F.array().cast("array<string>")).alias("words"), F.concat(most, F.array(rest)).alias("word_counts"), "class_counts")
+
+
+def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: DataFrame | None = None) -> DataFrame:
+    """(row, rules): the row of docs as a struct, and its counts, both distances, base_failed and kept.
+
+    refs: references of another table; a language that they lack has distance zero.
+    """
+    refs = checkpointed(references(docs, text_col, lang_col)) if refs is None else refs
+    refs = refs.select(F.col("lang").alias("__lang"), F.struct("words", "word_counts", "class_counts").alias("__ref"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of(text_col).alias("__text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("__lang"))
+    if refs.count() <= BROADCAST_LANGUAGES:
+        held = packed.join(F.broadcast(refs), "__lang", "left")
+    else:
+        held = joined_by_hot_key(packed, refs, "__lang", ["__text"], "left")
+    held = held.withColumn("__words", words(F.col("__text")))
     lines = F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    classes = reduce(lambda d, kv: d.withColumn(f"__{kv[0]}", kv[1]), zip(CLASSES, _classes(F.col("__text"))), held)
-    short = F.filter("__words", lambda w: F.length(w) <= SHORT)
-    counted = let(F.transform(short, F.lower), lambda s: F.transform("__ref.words", lambda w: (F.size(s) - F.size(F.array_remove(s, w))).cast("long")))
-    out = classes.withColumn(
+    # Every word between two spaces of its own, so that a common word is counted by what its removal takes away.
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower("__text"), WORD_BREAK, "  "), F.lit(" "))
+    padded = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
+    hits = let(spaced, lambda s: F.transform("__ref.words", lambda w: F.floor((F.octet_length(s) - F.octet_length(F.replace(s, padded(w), F.lit("")))) / F.octet_length(padded(w)))))
+    spread = let(hits, lambda h: F.concat(h, F.array(F.size("__words").cast("long") - F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x))))
+    out = held.withColumn("__classes", _classes(F.col("__text"), F.col("__words"))).withColumn(
         "__counts",
         F.struct(
             F.size("__words").cast("long").alias("n_words"),
-            (F.length("__text") - F.col("__space")).cast("long").alias("word_chars"),
-            F.col("__symbol").alias("n_symbols"),
+            (F.length("__text") - F.col("__classes")[len(CLASSES)]).cast("long").alias("word_chars"),
+            F.col("__classes")[list(CLASSES).index("symbol")].alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col("__words")).cast("long").alias("n_repeat_words"),
-            F.round(js_distance(_spread(F.array(*[F.col(f"__{c}") for c in CLASSES]), F.length("__text").cast("long")), F.col("__ref.class_counts")), 6).alias("class_distance"),
-            F.round(js_distance(_spread(counted, F.size("__words").cast("long")), F.col("__ref.word_counts")), 6).alias("word_distance"),
+            F.coalesce(F.round(js_distance(F.col("__classes"), F.col("__ref.class_counts")), 6), F.lit(0.0)).alias("class_distance"),
+            F.coalesce(F.round(js_distance(spread, F.col("__ref.word_counts")), 6), F.lit(0.0)).alias("word_distance"),
         ),
     )
     c = lambda name: F.col(f"__counts.{name}")
@@ -160,20 +172,20 @@ def _sql_js(p: str, q: str) -> str:
 
 
 def oracle_sql() -> str:
-    """digest in DuckDB, for tables with at most MOST_LANGUAGES languages."""
+    """digest in DuckDB."""
     lit = lambda t: "'" + t.replace("'", "''") + "'"
-    names = list(CLASSES)
+    names = [*CLASSES, "space"]
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents),
-    w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, {", ".join(f"len(regexp_extract_all(t, {lit(p)}))::DOUBLE AS c_{n}" for n, p in CLASSES.items())} FROM d),
+    w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, {", ".join(f"len(regexp_extract_all(t, {lit(p)}))::DOUBLE AS c_{n}" for n, p in (CLASSES | {"space": r"[\x20\x09-\x0D]"}).items())} FROM d),
     c AS (SELECT *, len(words) AS n_words, [{", ".join(f"c_{n}" for n in names)}, length(t) - ({" + ".join(f"c_{n}" for n in names)})] AS own FROM w),
     win AS (SELECT doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, n_words - {WINDOW - 2})) AS i FROM c WHERE n_words >= {WINDOW})),
     again AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
     covered AS (SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, least({WINDOW}, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, {WINDOW})) AS n FROM again) GROUP BY doc_id),
     totals AS (SELECT lang, sum(n_words) AS total, [{", ".join(f"sum(own[{i + 1}])" for i in range(len(names) + 1))}] AS class_ref FROM c GROUP BY lang),
-    common AS (SELECT lang, word, n FROM (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(t), '[\x20\x09-\x0D]+')) AS word FROM d) WHERE length(word) BETWEEN 1 AND {SHORT} GROUP BY ALL) JOIN totals USING (lang) WHERE n >= {COMMON_SHARE}::DOUBLE * total QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {COMMON_WORDS}),
+    common AS (SELECT lang, word, n FROM (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(t), '[\x20\x09-\x0D]+')) AS word FROM d) WHERE length(word) > 0 GROUP BY ALL) JOIN totals USING (lang) WHERE n >= {COMMON_SHARE}::DOUBLE * total QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {COMMON_WORDS}),
     lists AS (SELECT lang, list(word ORDER BY n DESC, word) AS rw, list(n::DOUBLE ORDER BY n DESC, word) AS rn FROM common GROUP BY lang),
     refs AS (SELECT lang, class_ref, coalesce(rw, []) AS rw, list_append(coalesce(rn, []), total - coalesce(list_sum(rn), 0))::DOUBLE[] AS word_ref FROM totals LEFT JOIN lists USING (lang)),
-    s AS (SELECT *, list_transform(list_filter(words, lambda x: length(x) <= {SHORT}), lambda x: lower(x)) AS short FROM c),
+    s AS (SELECT *, list_transform(words, lambda x: lower(x)) AS short FROM c),
     h AS (SELECT *, list_transform(rw, lambda x: len(list_filter(short, lambda y: y = x)))::DOUBLE[] AS hits FROM s JOIN refs USING (lang)),
     m AS (SELECT *, list_append(hits, n_words - coalesce(list_sum(hits), 0))::DOUBLE[] AS word_own, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM h),
     r AS (SELECT doc_id, n_words, CAST(length(t) - c_space AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
