@@ -3,13 +3,16 @@ written anew with the identifiers, timestamps, types and digests that a WARC fil
 
 Archives are rows of a table (archive, content), each at most about SEGMENT_BYTES long unless one record alone is
 longer; a task reads and writes whole archives, one at a time. ``write_arc`` makes ARC version 1 and 2
-archives from pages, ``convert`` turns ARC archives into WARC archives (a gzip member per record), ``read_warc``
-reads those back.
+archives from pages, ``convert`` turns ARC archives into WARC archives (a warcinfo record, then a gzip member per record),
+``read_warc`` reads those back. A header line's fields are read from both ends, so addresses and content types may
+hold blanks. After a record whose header line or length is wrong, reading goes on at the next header line whose declared
+length ends at a record's end; what lies between is a row of ``broken_records`` (and none of ``convert``).
 
 Of records with one payload (at least LEAST_BYTES long) the one with the largest page id becomes the response; the
-others revisit it and carry no payload. Null html is an empty payload. Rows that repeat the largest page id
-of a payload are all responses. A null page id is smaller than any other; if all of a payload's are
-null they are all responses. Broken archives end at the broken record, which is returned as type ``broken``.
+others revisit it, carry no payload and refer to its record identifier, address and date. Null html is an empty payload. Rows that
+repeat the largest page id of a payload are all responses. A null page id is smaller than any other; if all of a payload's
+are null they are all responses. Very long pages make a long archive each. An empty table gives no archive.
+Further columns of pages, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, ready
+from .shared import SMALL_ROWS, checkpointed, joined_by_hot_key, ready, small
 
 SEGMENT_BYTES = 4 << 20
 LEAST_BYTES = 0
@@ -35,9 +39,11 @@ ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+#: An address in a header line, and the longest line that is taken for one.
+ADDRESS, LONGEST_LINE = re.compile(r"[0-9a-fA-F:.]*[0-9][0-9a-fA-F:.]*|-"), 1 << 16
 ARC_SCHEMA = "archive string, content binary"
 RECORD_SCHEMA = "page_id long, url string, date string, ip string, mime string, version int, type string, http_head binary, payload binary"
-WARC_SCHEMA = "page_id long, record_id string, url string, date string, record_type string, payload_bytes long, payload_digest string, refers_to long"
+WARC_SCHEMA = "page_id long, record_id string, url string, date string, record_type string, payload_bytes long, payload_digest string, refers_to string"
 SPACE = uuid.UUID("6f2c1f0e-5b1d-5c5e-9a52-0b7a3c1d9e42")
 
 
@@ -69,32 +75,64 @@ def arc_archive(name: str, version: int, records: list[tuple[str, str, str, byte
     return b"".join(out)
 
 
+def _header(line: bytes, names: list[str]) -> dict | None:
+    """The fields of a header line by name, or None. Address and content type take what the fields at both ends leave."""
+    words = line.rstrip(b"\r").decode("utf-8", "replace").split(" ")
+    behind = len(names) - names.index("Content-type") - 1
+    if len(words) < len(names) - 1 or not words[-1].isdigit():
+        return None
+    for i in range(1, len(words) - behind - 1):
+        if ADDRESS.fullmatch(words[i]) and words[i + 1].isdigit() and 8 <= len(words[i + 1]) <= 14:
+            rest = words[len(words) - behind :]
+            values = [" ".join(words[:i]), words[i], words[i + 1], " ".join(words[i + 2 : len(words) - behind]), *rest]
+            return dict(zip(names, values))
+    return None
+
+
 def parse_arc(content: bytes) -> Iterator[dict]:
-    """The records behind the version block: header fields by name, ``version`` and ``document``; a broken one ends it."""
+    """The records behind the version block: header fields by name, ``version`` and ``document``.
+
+    A stretch that is no record is ``broken``: (start, length) of the bytes that were passed over.
+    """
     end = content.find(b"\n")
-    first = content[:end].split(b" ") if end > 0 else []
-    if len(first) < 5 or not first[0].startswith(b"filedesc://") or not first[-1].isdigit():
+    first = content[: max(end, 0)].split(b" ")
+    if len(first) < 5 or not first[0].startswith(b"filedesc://") or not first[-1].strip().isdigit():
         if content:
-            yield {"broken": True, "version": 0}
+            yield {"broken": True, "version": 0, "start": 0, "length": len(content)}
         return
     block = content[end + 1 : end + 1 + int(first[-1])]
     lines = block.split(b"\n")
-    version = int(lines[0].split(b" ")[0]) if lines and lines[0][:1].isdigit() else 1
-    names = lines[1].decode("ascii", "replace").split() if len(lines) > 1 and lines[1] else ARC_FIELDS.get(version, ARC_FIELDS[1]).split()
+    version = int(lines[0].split(b" ")[0]) if lines and lines[0][:1].isdigit() and lines[0].split(b" ")[0].isdigit() else 1
+    names = lines[1].decode("ascii", "replace").split() if len(lines) > 1 and lines[1] else []
+    if "Content-type" not in names:
+        names = ARC_FIELDS.get(version, ARC_FIELDS[1]).split()
     at = end + 1 + len(block)
+
+    def record(at: int) -> tuple[dict, int] | None:
+        """The record whose header line starts at a position, and where it ends."""
+        end = content.find(b"\n", at)
+        fields = _header(content[at:end], names) if 0 < end - at < LONGEST_LINE else None
+        stop = end + 1 + int(fields["Archive-length"]) if fields else 0
+        if fields is None or stop > len(content) or stop < len(content) and content[stop : stop + 1] not in (b"\n", b"\r"):
+            return None
+        return fields | {"version": version, "document": content[end + 1 : stop]}, stop
+
+    lost = -1
     while True:
         while content[at : at + 1] in (b"\n", b"\r"):
             at += 1
+        found = record(at) if at < len(content) else None
+        if lost >= 0 and (found or at >= len(content)):
+            yield {"broken": True, "version": version, "start": lost, "length": at - lost}
+            lost = -1
         if at >= len(content):
             return
-        end = content.find(b"\n", at)
-        fields = content[at:end].decode("utf-8", "replace").split(" ") if end > 0 else []
-        if len(fields) != len(names) or not fields[-1].isdigit() or end + 1 + int(fields[-1]) > len(content):
-            yield {"broken": True, "version": version}
-            return
-        size = int(fields[-1])
-        yield dict(zip(names, fields)) | {"version": version, "document": content[end + 1 : end + 1 + size]}
-        at = end + 1 + size
+        if found:
+            fields, at = found
+            yield fields
+        else:
+            lost = at if lost < 0 else lost
+            at = content.find(b"\n", at) + 1 or len(content)
 
 
 def _segments(rows: Iterator[tuple[int, object]], close) -> Iterator[bytes]:
@@ -172,6 +210,20 @@ def _records(archives: DataFrame, small: bool) -> DataFrame:
     return archives.select("content").mapInArrow(batches, RECORD_SCHEMA + ", hash string, bytes long")
 
 
+def broken_records(archives: DataFrame) -> DataFrame:
+    """(archive, start, length) of every stretch of an ARC archive that could not be read as a record."""
+    ready(archives.sparkSession)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for name, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                plain = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+                rows = [(name, r["start"], r["length"]) for r in parse_arc(plain) if r.get("broken")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["archive", "start", "length"])
+
+    return archives.select("archive", "content").mapInArrow(batches, "archive string, start long, length long")
+
+
 def _stamp(date: str) -> str:
     return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z" if len(date) == 14 and date.isdigit() else "1970-01-01T00:00:00Z"
 
@@ -181,29 +233,52 @@ def record_id(page_id: int | None, url: str, date: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id}|{url}|{date}|{digest}')}>"
 
 
-def warc_record(row: dict) -> bytes:
-    """One WARC record as a gzip member."""
-    revisit = row["type"] == "response" and row["refers_to"] is not None
-    kind = "revisit" if revisit else row["type"]
-    digest, block = digest32(row["payload"]), row["http_head"] + (b"" if revisit else row["payload"])
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(row["page_id"], row["url"], row["date"], digest)), ("WARC-Date", _stamp(row["date"])), ("WARC-Target-URI", row["url"]), ("WARC-IP-Address", row["ip"])]
-    fields += [("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{digest32(block)}"), ("X-Payload-Length", str(len(row["payload"])))]
-    if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", str(row["refers_to"]))]
-    fields += [("Content-Type", "application/http; msgtype=response" if kind in ("response", "revisit") else row["mime"] or "application/octet-stream"), ("Content-Length", str(len(block)))]
-    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
+def _member(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))]) + "\r\n"
     pack = zlib.compressobj(3, zlib.DEFLATED, 31)
     return pack.compress(head.encode() + block + b"\r\n\r\n") + pack.flush()
 
 
+def warc_record(row: dict) -> bytes:
+    """One WARC record as a gzip member. refers_to: the response's (page_id, url, date), or None."""
+    first = row["refers_to"]
+    kind = "revisit" if first is not None else row["type"]
+    digest, block = digest32(row["payload"]), row["http_head"] + (b"" if first is not None else row["payload"])
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(row["page_id"], row["url"], row["date"], digest)), ("WARC-Date", _stamp(row["date"])), ("WARC-Target-URI", row["url"]), ("WARC-IP-Address", row["ip"])]
+    fields += [("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{digest32(block)}")]
+    if first is not None:
+        fields += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To", record_id(first["page_id"], first["url"], first["date"], digest)),
+            ("WARC-Refers-To-Target-URI", first["url"]),
+            ("WARC-Refers-To-Date", _stamp(first["date"])),
+            ("X-Payload-Length", str(len(row["payload"]))),
+        ]
+    fields += [("Content-Type", "application/http; msgtype=response" if kind in ("response", "revisit") else row["mime"] or "application/octet-stream")]
+    return _member(fields, block)
+
+
+def warcinfo(content: bytes) -> bytes:
+    """The record that opens an archive: which software wrote it, under an identifier made from its records."""
+    block = b"software: siftwell\r\nformat: WARC File Format 1.1\r\n"
+    name = uuid.uuid5(SPACE, hashlib.sha1(content).hexdigest())
+    return _member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", "2008-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], block)
+
+
 def convert(archives: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """WARC archives (archive, content) from ARC archives, equal payloads as revisits of one response."""
+    """WARC archives (archive, content) from ARC archives, equal payloads as revisits of one response.
+
+    The ARC archives are read once: their records are stored deflated. Which payload is whose is told by a row per payload
+    that occurs twice or more; only where those are many do records move to meet them.
+    """
     ready(archives.sparkSession)
-    records = _records(archives, True).filter("type <> 'broken'")
-    # By payload: one row, and only where there are two records or more of it.
-    last = records.filter(F.col("bytes") >= least_bytes).groupBy("hash").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("hash", "last")
-    told = records.join(last, "hash", "left")
-    refers = F.when((F.col("type") == "response") & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
+    records = checkpointed(_records(archives, True).filter("type <> 'broken'").drop("version"))
+    some = records.filter((F.col("bytes") >= least_bytes) & (F.col("type") == "response"))
+    last = some.groupBy("hash").agg(F.max(F.struct("page_id", "url", "date")).alias("last"), F.count("*").alias("n")).filter("n > 1 AND last.page_id IS NOT NULL").select("hash", "last")
+    last = checkpointed(last)
+    few = small(last)
+    told = records.join(few, "hash", "left") if last.count() <= SMALL_ROWS else joined_by_hot_key(records, few, "hash", ["page_id", "url"], "left")
+    refers = F.when((F.col("type") == "response") & ~F.col("page_id").eqNullSafe(F.col("last.page_id")), F.col("last"))
     told = told.select("page_id", "url", "date", "ip", "mime", "type", "http_head", "payload", refers.alias("refers_to"))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +290,7 @@ def convert(archives: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
         def close(held: list[bytes]) -> pa.RecordBatch:
             content = b"".join(held)
+            content = warcinfo(content) + content
             return pa.RecordBatch.from_arrays([pa.array([f"pages-{hashlib.sha1(content).hexdigest()[:20]}.warc.gz"]), pa.array([content], pa.binary())], ["archive", "content"])
 
         yield from _segments(made(), close)
@@ -222,21 +298,24 @@ def convert(archives: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return told.mapInArrow(batches, ARC_SCHEMA)
 
 
-def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_warc(content: bytes, step: int = 4096) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of every record of a WARC file with a gzip member per record, one record in memory at a time."""
-    while content:
-        unpack = zlib.decompressobj(31)
-        plain = unpack.decompress(content)
-        content = unpack.unused_data
-        head, _, rest = plain.partition(b"\r\n\r\n")
+    at, whole = 0, memoryview(content)
+    while at < len(content):
+        unpack, plain = zlib.decompressobj(31), []
+        while not unpack.eof and at < len(content):
+            plain.append(unpack.decompress(whole[at : at + step]))
+            at += step
+        at = min(at, len(content)) - len(unpack.unused_data)
+        head, _, rest = b"".join(plain).partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
         yield fields, rest[: int(fields["Content-Length"])]
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
-    """A row per record of WARC archives, in WARC_SCHEMA; digests are made again from what was read."""
+    """A row per record of WARC archives but warcinfo, in WARC_SCHEMA; digests are made again from what was read. refers_to is a record identifier."""
     ready(archives.sparkSession)
-    schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("date", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
+    schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("date", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string())])
 
     def record(fields: dict[str, str], block: bytes) -> tuple:
         kind = fields["WARC-Type"]
@@ -246,12 +325,12 @@ def read_warc(archives: DataFrame) -> DataFrame:
         if kind != "revisit" and digest32(payload) != stated:
             raise ValueError(f"payload digest differs in {fields['WARC-Record-ID']}")
         size = int(fields["X-Payload-Length"]) if kind == "revisit" else len(payload)
-        return int(page) if page.lstrip(b"-").isdigit() else None, fields["WARC-Record-ID"], fields["WARC-Target-URI"], fields["WARC-Date"], kind, size, stated, int(fields["X-Refers-To-Page"]) if "X-Refers-To-Page" in fields else None
+        return int(page) if page.lstrip(b"-").isdigit() else None, fields["WARC-Record-ID"], fields["WARC-Target-URI"], fields["WARC-Date"], kind, size, stated, fields.get("WARC-Refers-To")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for content in part.column(0).to_pylist():
-                rows = [record(*r) for r in parse_warc(content)]
+                rows = [record(*r) for r in parse_warc(content) if r[0]["WARC-Type"] != "warcinfo"]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -259,9 +338,13 @@ def read_warc(archives: DataFrame) -> DataFrame:
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    """The contract's columns: pages are written as ARC, converted to WARC archives, and read back from those.
+    """The contract's columns: pages are written as ARC, converted to stored WARC archives, and read back from those.
 
-    The WARC archives are stored; the ARC ones only pass through, made twice, which costs less than the disk for them.
+    A revisit's response is found by the record identifier that it refers to.
     """
-    archives = checkpointed(convert(write_arc(pages, zipped=False)))
-    return read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = checkpointed(read_warc(checkpointed(convert(write_arc(pages, zipped=False)))).drop("url", "date"))
+    targets = rows.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("page_id").alias("target"))
+    again = joined_by_hot_key(rows.filter("refers_to IS NOT NULL"), targets, "refers_to", ["page_id", "record_id"])
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    first = rows.filter("refers_to IS NULL").select(*columns, F.lit(None).cast("long").alias("refers_to"))
+    return first.unionByName(again.select(*columns, F.col("target").alias("refers_to")))
