@@ -7,13 +7,18 @@
 4. Under a key, fingerprints are sorted by Gray rank and a tree is built over the order: a node holds
    the bits that all its fingerprints share (mask and pattern). Node pairs are compared from the root
    down; differences add up along the way and a pair of nodes beyond the distance is dropped whole.
-5. Keys with many fingerprints are first cut into Gray-ordered blocks whose own masks and patterns
-   drop block pairs before any row moves; what is left is compared in separate tasks.
+5. Keys with many fingerprints are cut into Gray-ordered blocks, blocks that are still large into smaller ones, and
+   so on: upper nodes of the same hierarchy. A pair of blocks whose masks and patterns are too far apart is
+   dropped before any of its rows or smaller blocks are looked at; what is left is compared in separate tasks. The number of
+   blocks follows the number of fingerprints; none is capped.
 6. Tasks return spanning links only (never all pairs of a group); components follow by minimum-label
-   hooking with pointer jumping, checkpointed in the shared folder.
+   hooking with pointer jumping, checkpointed in the shared folder, until nothing changes.
 
-Null or empty text has fingerprint zero and links like any other. Repeated rows each keep a row in the
-result. A null id never names a component unless all its members have none.
+Null or empty text has fingerprint zero and links like any other. Very long texts are hashed whole, in parts. Repeated rows
+each keep a row in the result, and so do other copies: a fingerprint that a third of all rows share is dealt over many tasks.
+A null id never names a component unless all its members have none. A bit that is set in exactly half the shingles (a
+tie) is 0. An empty table gives an empty result. Further columns of docs, whatever their names, are not read;
+``drop_near_duplicates`` packs them into one struct.
 """
 
 from __future__ import annotations
@@ -26,13 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, keyed, ready, text_of
+from .shared import checkpointed, joined_by_hot_key, keyed, ready, small, text_of
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Fingerprints under one key that one task compares; larger keys are cut into blocks of this size.
 GROUP_ROWS = 512
-#: Children of a node of the tree.
-FANOUT = 8
+#: Children of a node of the tree, and blocks that a large block is cut into.
+FANOUT, SPLIT = 8, 16
 #: Node pairs that are expanded at a time.
 FRONTIER = 1 << 20
 
@@ -192,35 +197,49 @@ def _keys(fp: Column, distance: int, count: int) -> Column:
     return F.array(*keys)
 
 
+def _nodes(rows: DataFrame) -> DataFrame:
+    """(part, n, pattern, mask): the bits that all fingerprints of a part share."""
+    each = rows.groupBy("part").agg(F.count("*").alias("n"), F.bit_and("fp").alias("both"), F.bit_or("fp").alias("any"))
+    return each.select("part", "n", F.col("both").alias("pattern"), F.bitwise_not(F.col("both").bitwiseXOR(F.col("any"))).alias("mask"))
+
+
 def _hot_parts(keyed: DataFrame, hot: DataFrame, distance: int, group_rows: int) -> DataFrame:
     """Rows of hot keys, keyed anew by the pairs of Gray-ordered blocks that may hold close pairs."""
-    rows = keyed.join(hot, "key").withColumn("gray", F.shiftrightunsigned(gray_rank(F.col("fp")), 1))
-    cuts = rows.groupBy("key").agg(F.percentile_approx("gray", [i / 256 for i in range(1, 256)], 2560).alias("cuts"))
-    place = F.size(F.filter("cuts", lambda cut: cut < F.col("gray")))
-    parts = F.least(F.lit(256), F.ceil(F.col("n") / group_rows)).cast("long")
-    rows = checkpointed(rows.join(cuts, "key").select("key", "fp", F.floor(place * parts / 256).alias("part")))
-    nodes = rows.groupBy("key", "part").agg(F.bit_and("fp").alias("both"), F.bit_or("fp").alias("any"))
-    nodes = nodes.select("key", "part", F.col("both").alias("pattern"), F.bitwise_not(F.col("both").bitwiseXOR(F.col("any"))).alias("mask"))
-    x, y = nodes.alias("x"), nodes.alias("y")
-    apart = F.col("x.pattern").bitwiseXOR(F.col("y.pattern")).bitwiseAND(F.col("x.mask")).bitwiseAND(F.col("y.mask"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") <= F.col("y.part")) & (F.bit_count(apart) <= distance))
-    task = F.xxhash64("x.key", "x.part", "y.part").alias("task")
-    sides = F.array_distinct(F.array("x.part", "y.part"))
-    pairs = pairs.select(F.col("x.key").alias("key"), task, F.explode(sides).alias("part"))
-    return rows.join(pairs, ["key", "part"]).select(F.col("task").alias("key"), "fp")
+    rows = keyed.join(small(hot), "key").select("fp", F.col("key").alias("part"), F.shiftrightunsigned(gray_rank(F.col("fp")), 1).alias("gray"))
+    rows = checkpointed(rows)
+    pairs = rows.select(F.col("part").alias("x"), F.col("part").alias("y")).distinct()
+    while True:
+        large = checkpointed(_nodes(rows).filter(F.col("n") > 2 * group_rows).select("part", "n"))
+        if large.isEmpty():
+            break
+        # Large parts are cut in SPLIT by Gray rank, the others stay; a part's children are the next level's nodes.
+        cuts = rows.join(large, "part", "left_semi").groupBy("part").agg(F.percentile_approx("gray", [i / SPLIT for i in range(1, SPLIT)], 8 * SPLIT).alias("cuts"))
+        place = F.size(F.filter("cuts", lambda cut: cut < F.col("gray")))
+        cut = rows.join(small(cuts), "part", "left").select("fp", "gray", F.col("part").alias("above"), F.when(F.col("cuts").isNull(), F.col("part")).otherwise(F.xxhash64("part", place)).alias("part"))
+        cut = checkpointed(cut)
+        nodes = checkpointed(_nodes(cut).join(cut.select("part", "above").distinct(), "part"))
+        left = nodes.select(F.col("above").alias("x"), F.col("part").alias("a"), F.col("pattern").alias("p"), F.col("mask").alias("m"))
+        right = nodes.select(F.col("above").alias("y"), F.col("part").alias("b"), F.col("pattern").alias("q"), F.col("mask").alias("k"))
+        apart = F.bit_count(F.col("p").bitwiseXOR(F.col("q")).bitwiseAND(F.col("m")).bitwiseAND(F.col("k")))
+        down = pairs.join(left, "x").join(right, "y").filter(((F.col("x") != F.col("y")) | (F.col("a") <= F.col("b"))) & (apart <= distance))
+        pairs = checkpointed(down.select(F.col("a").alias("x"), F.col("b").alias("y")))
+        rows = cut.select("fp", "part", "gray")
+    task = F.xxhash64("x", "y").alias("key")
+    sides = pairs.select(task, F.explode(F.array_distinct(F.array("x", "y"))).alias("part"))
+    return rows.join(sides, "part").select("key", "fp")
 
 
 def links(classes: DataFrame, distance: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Links (a, b) that span every component of distinct fingerprints within the distance of one another."""
     keyed = classes.select("fp", F.explode(_keys(F.col("fp"), distance, classes.count())).alias("key"))
-    hot = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * group_rows))
-    found = _links(keyed.join(hot.select("key"), "key", "left_anti"), distance)
+    hot = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * group_rows).select("key"))
+    found = _links(keyed.join(small(hot), "key", "left_anti"), distance)
     if not hot.isEmpty():
         found = found.unionByName(_links(_hot_parts(keyed, hot, distance, group_rows), distance))
     return found.distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b) that isn't the smallest of its component.
 
     Alternating large-star and small-star rounds: each sends neighbours to the smallest node in sight, so that
@@ -228,7 +247,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:  # a fixed point is reached in about the square of the logarithm of the rows
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -239,7 +258,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -250,7 +268,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = classes.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     names = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = member.join(names, "root").select("fp", "root", "component_id")
-    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    # Copies share a fingerprint, so one may stand for a third of all rows.
+    return joined_by_hot_key(prints, named, "fp", ["doc_id", "text_hash"]).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
