@@ -6,8 +6,13 @@ together are the sketch of both parts, so sketches merge in any order. A sketch
 all of them and its estimates are exact. Two empty sketches are alike to the full; an empty and another one not at all.
 
 ``with_next`` pairs each document with the next by ascending id (null ids first, repeated ids by text; after
-the last comes the first). Ids are cut into ranges at quantiles of the id column; a range also receives a copy
-of the first row of the range behind it, so that no task ever needs more than its own range.
+the last comes the first). Ids are cut into ranges of about RANGE_ROWS rows at quantiles of the id column, as many as
+the table needs; the cuts travel as one row of a broadcast table. A range also receives a copy of the first row of the
+range behind it, so that no task ever needs more than its own range.
+
+Null or empty text has the empty sketch. Very long texts are sketched whole. Repeated rows follow one another and each have their
+own result; equal ids are put in order by their text, and equal hashes (ties) are one member of a sketch. An empty table gives an
+empty result. Further columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,8 +25,8 @@ from .shared import let, text_of
 
 SKETCH = 128
 SHINGLE = 5
-#: Documents per id range that are aimed at, and bounds for the number of ranges.
-RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 4000, 512, 1 << 16
+#: Documents per id range that are aimed at, and the fewest ranges.
+RANGE_ROWS, LEAST_RANGES = 4000, 512
 
 
 def shingle_hashes(tokens: Column, shingle: int = SHINGLE) -> Column:
@@ -76,21 +81,22 @@ def written(s: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str, derive: dict[str, Column], lead: list[str]) -> DataFrame:
     """docs with the columns of derive (made from ``id`` and ``text`` after the shuffle) and, for those in lead, ``next_<name>`` of the next document."""
     order = F.coalesce(F.col("id"), F.lit(-(2**63)))
-    n = docs.count()
-    ranges = min(MOST_RANGES, max(LEAST_RANGES, -(-n // RANGE_ROWS)))
+    spark = docs.sparkSession
+    ranges = max(LEAST_RANGES, -(-docs.count() // RANGE_ROWS))
     cuts = docs.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 4 * ranges).alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(cuts))
     step = max(1, int(len(cuts) ** 0.5))
-    coarse, fine = F.array(*map(F.lit, cuts[::step])).cast("array<bigint>"), F.array(*map(F.lit, cuts)).cast("array<bigint>")
-    # The number of cuts below the id: first among every step-th, then within the step.
-    high = F.size(F.filter(coarse, lambda c: c < order))
-    low = F.size(F.filter(F.slice(fine, F.greatest(F.lit(0), high - 1) * step + 1, step), lambda c: c < order))
-    place = F.when(high == 0, F.lit(0)).otherwise((high - 1) * step + low)
-    firsts = sorted((r["place"], r["least"]) for r in docs.groupBy(place.alias("place")).agg(F.min(order).alias("least")).collect())
+    # One row: every step-th cut, and the cuts from each of those on. About RANGE_ROWS documents stand behind each of its numbers.
+    table = spark.createDataFrame([(cuts[::step], [cuts[i : i + step] for i in range(0, len(cuts), step)])], "__coarse array<long>, __fine array<array<long>>")
+    high = F.size(F.filter("__coarse", lambda c: c < order))
+    low = F.size(F.filter(F.get("__fine", high - 1), lambda c: c < order))
+    place = F.when(high == 0, F.lit(0)).otherwise((high - 1) * step + low).alias("__place")
+    told = docs.crossJoin(F.broadcast(table)).select("id", "text", place)
+    firsts = sorted((r["__place"], r["least"]) for r in told.groupBy("__place").agg(F.min(order).alias("least")).collect())
     before = [(least, firsts[i - 1][0]) for i, (_, least) in enumerate(firsts)]
-    # One row per range: at most MOST_RANGES.
-    copies = F.broadcast(docs.sparkSession.createDataFrame(before, "__least long, __before int"))
-    placed = docs.withColumn("__place", place).join(copies, order == F.col("__least"), "left")
+    # One row per range.
+    copies = F.broadcast(spark.createDataFrame(before, "__least long, __before int"))
+    placed = told.join(copies, order == F.col("__least"), "left")
     own = F.struct(F.col("__place").alias("range"), F.lit(0).alias("copy"))
     copy = F.struct(F.col("__before").alias("range"), F.lit(1).alias("copy"))
     dealt = placed.select("id", "text", F.explode(F.when(F.col("__before").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("__to"))
