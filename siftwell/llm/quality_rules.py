@@ -18,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SMALL_ROWS, WORD_BREAK, checkpointed, joined_by_hot_key, let, settled, small, text_of
+from .shared import WORD_BREAK, checkpointed, joined_by_hot_key, let, settled, small, text_of
 
 COMMON_WORDS = 24
 COMMON_SHARE = 1 / 500
+#: Hashes by which words are counted first.
+BUCKETS = 1 << 16
 #: Fewest words from which the distances count.
 MIN_WORDS = 50
 MOST_CLASS_DISTANCE = 0.30
@@ -96,27 +98,27 @@ def js_distance(p: Column, q: Column) -> Column:
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, words, word_counts, class_counts), a row per language of docs; the last of word_counts are all other words.
 
-    Texts are split once: every class but white space lies in words, so both histograms come from the counts of distinct
-    words, which are added up map-side.
+    Distinct words can be nearly as many as words, so they aren't counted one by one: words are counted by BUCKETS hashes first, a table
+    of fixed size per language, and a common word can only be one of a bucket that is common; then the words of common
+    buckets are counted exactly.
     """
     base = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), text_of(text_col).alias("text"))
-    counts = base.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    counts = checkpointed(counts)
-    chars = base.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("chars"))
-    shown = {name: F.sum(F.col("n") * F.regexp_count("word", F.lit(p))) for name, p in CLASSES.items()}
-    own = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.length("word")).alias("word_chars"), *[c.alias(f"c_{name}") for name, c in shown.items()])
+    each = base.select("lang", F.explode(words(F.lower("text"))).alias("word")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int"))
+    buckets = checkpointed(each.groupBy("lang", "bucket").agg(F.count("*").alias("n"), F.sum(F.length("word").cast("long")).alias("chars")))
+    sums = buckets.groupBy("lang").agg(F.sum("n").alias("total"), F.sum("chars").alias("word_chars"))
+    shown = base.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("chars"), *[F.sum(F.regexp_count("text", F.lit(p)).cast("long")).alias(f"c_{name}") for name, p in CLASSES.items()])
     zero = lambda name: F.coalesce(name, F.lit(0).cast("long"))
-    inner = [zero(f"c_{name}") for name in CLASSES]
+    inner = [F.col(f"c_{name}") for name in CLASSES]
     others = zero("word_chars")
     for c in inner:
         others = others - c
-    totals = chars.join(own, "lang", "left").select("lang", zero("total").alias("total"), F.array(*inner, F.col("chars") - zero("word_chars"), others).alias("class_counts"))
+    totals = shown.join(sums, "lang", "left").select("lang", zero("total").alias("total"), F.array(*inner, F.col("chars") - zero("word_chars"), others).alias("class_counts"))
     totals = checkpointed(totals)
-    low = counts.groupBy("lang", F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
-    few = small(totals.select("lang", "total"))
-    frequent = (low.join(few, "lang") if totals.count() <= SMALL_ROWS else joined_by_hot_key(low, few, "lang", ["word"])).filter(F.col("n") >= COMMON_SHARE * F.col("total"))
-    # A language has at most 1 / COMMON_SHARE common words.
-    best = frequent.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))), 1, COMMON_WORDS).alias("best"))
+    # At most 1 / COMMON_SHARE buckets and words of a language.
+    common = lambda df: df.join(totals.select("lang", "total"), "lang").filter(F.col("n") >= COMMON_SHARE * F.col("total"))
+    heavy = checkpointed(common(buckets).select("lang", "bucket"))
+    counted = checkpointed(each.join(small(heavy), ["lang", "bucket"], "left_semi").groupBy("lang", "word").agg(F.count("*").alias("n")))
+    best = common(counted).groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))), 1, COMMON_WORDS).alias("best"))
     most = F.coalesce(F.transform("best", lambda b: -b["n"]), F.array().cast("array<bigint>"))
     rest = F.col("total") - F.aggregate(most, F.lit(0).cast("long"), lambda a, x: a + x)
     return totals.join(best, "lang", "left").select("lang", F.coalesce("best.word", F.array().cast("array<string>")).alias("words"), F.concat(most, F.array(rest)).alias("word_counts"), "class_counts")
@@ -128,7 +130,7 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs
     refs: references of another table; a language that they lack has distance zero.
     """
     refs = checkpointed(references(docs, text_col, lang_col)) if refs is None else refs
-    refs = refs.select(F.col("lang").alias("__lang"), F.struct("words", "word_counts", "class_counts").alias("__ref"))
+    refs = refs.select(F.col("lang").alias("__lang"), F.struct("words", "word_counts", "class_counts", F.coalesce(F.array_max(F.transform("words", F.length)), F.lit(0)).alias("longest")).alias("__ref"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of(text_col).alias("__text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("__lang"))
     if refs.count() <= BROADCAST_LANGUAGES:
         held = packed.join(F.broadcast(refs), "__lang", "left")
@@ -136,10 +138,9 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", refs
         held = joined_by_hot_key(packed, refs, "__lang", ["__text"], "left")
     held = held.withColumn("__words", words(F.col("__text")))
     lines = F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    # Every word between two spaces of its own, so that a common word is counted by what its removal takes away.
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower("__text"), WORD_BREAK, "  "), F.lit(" "))
-    padded = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
-    hits = let(spaced, lambda s: F.transform("__ref.words", lambda w: F.floor((F.octet_length(s) - F.octet_length(F.replace(s, padded(w), F.lit("")))) / F.octet_length(padded(w)))))
+    # No longer word than the longest common one can be counted below.
+    short = F.filter(words(F.lower("__text")), lambda w: F.length(w) <= F.col("__ref.longest"))
+    hits = let(short, lambda s: F.transform("__ref.words", lambda w: (F.size(s) - F.size(F.array_remove(s, w))).cast("long")))
     spread = let(hits, lambda h: F.concat(h, F.array(F.size("__words").cast("long") - F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x))))
     out = held.withColumn("__classes", _classes(F.col("__text"), F.col("__words"))).withColumn(
         "__counts",
