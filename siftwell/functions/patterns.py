@@ -6,15 +6,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+WORD = "[A-Za-z0-9_]"
+BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+BLANK = r"\t\n\f\r "
+
+
+def _boundary(pattern: str, i: int) -> str:
+    """A word boundary at pattern[i]: half of the test where what stands beside it at an end of the pattern is a word character anyway."""
+    if i == 0 and pattern[2:3].isalnum():
+        return f"(?<!{WORD})"
+    if i == len(pattern) - 2 and pattern[i - 1 : i].isalnum():
+        return f"(?!{WORD})"
+    return BOUNDARY
+
+
 def java(pattern: str) -> str:
-    """The same matches in java.util.regex: ``.`` stops at line feeds only, ``$`` is the end of text, ``\\b`` is ASCII."""
+    """The same matches in java.util.regex: ``.`` stops at line feeds only, ``$`` is the end of text, ``\\b`` and ``\\s`` are ASCII without the vertical tab."""
     out, i, in_class = [], 0, False
     while i < len(pattern):
         c = pattern[i]
         if c == "\\" and i + 1 < len(pattern):
             pair = pattern[i : i + 2]
             if pair == "\\b" and not in_class:
-                pair = "(?<![A-Za-z0-9_])" if i == 0 else "(?![A-Za-z0-9_])"
+                pair = _boundary(pattern, i)
+            elif pair == "\\s":
+                pair = BLANK if in_class else f"[{BLANK}]"
+            elif pair == "\\S" and not in_class:
+                pair = f"[^{BLANK}]"
             out.append(pair)
             i += 2
             continue

@@ -74,7 +74,6 @@ LEAKS = [
     ("bearer_token_exposure", CRITICAL, "config", r'(?i)"(?:access_?token|bearer|jwt)"\s*:\s*"eyJ[a-zA-Z0-9_-]+\.eyJ[a-zA-Z0-9_-]+\.[a-zA-Z0-9_-]+"', "eyj"),
     ("database_url", CRITICAL, "config", r"(?i)(?:postgres|mysql|mongodb|redis)://[^@]+@[^/]+/\w+", "://"),
 ]
-HOST = r"(?i)(?:https?://)?[a-z0-9-]+\."
 CLOUD = [
     ("aws_s3_bucket", HIGH, "aws", r"(?i)(?:https?://)?(?:([a-z0-9][a-z0-9.-]+)\.s3[.-](?:([a-z0-9-]+)\.)?amazonaws\.com|s3[.-](?:([a-z0-9-]+)\.)?amazonaws\.com/([a-z0-9][a-z0-9.-]+))", "amazonaws.com"),
     ("aws_cloudfront", MEDIUM, "aws", r"(?i)(?:https?://)?[a-z0-9]+\.cloudfront\.net", ".cloudfront.net"),
@@ -87,25 +86,25 @@ CLOUD = [
     ("gcp_firebase", MEDIUM, "gcp", r"(?i)(?:https?://)?[a-z0-9-]+\.firebaseapp\.com|(?:https?://)?[a-z0-9-]+\.firebaseio\.com|(?:https?://)?[a-z0-9-]+\.web\.app", ".firebaseapp.com|.firebaseio.com|.web.app"),
     ("gcp_cloud_run", MEDIUM, "gcp", r"(?i)(?:https?://)?[a-z0-9-]+-[a-z0-9]+\.run\.app", ".run.app"),
     ("gcp_cloud_functions", MEDIUM, "gcp", r"(?i)(?:https?://)?[a-z0-9-]+-[a-z0-9]+\.cloudfunctions\.net", ".cloudfunctions.net"),
-    ("gcp_appengine", MEDIUM, "gcp", HOST + r"appspot\.com", ".appspot.com"),
+    ("gcp_appengine", MEDIUM, "gcp", r"(?i)(?:https?://)?[a-z0-9-]+\.appspot\.com", ".appspot.com"),
     ("azure_blob", HIGH, "azure", r"(?i)(?:https?://)?[a-z0-9]+\.blob\.core\.windows\.net", ".blob.core.windows.net"),
-    ("azure_websites", MEDIUM, "azure", HOST + r"azurewebsites\.net", ".azurewebsites.net"),
-    ("azure_functions", MEDIUM, "azure", HOST + r"azurestaticapps\.net", ".azurestaticapps.net"),
-    ("azure_cdn", MEDIUM, "azure", HOST + r"azureedge\.net", ".azureedge.net"),
-    ("cloudflare_workers", MEDIUM, "cloudflare", HOST + r"workers\.dev", ".workers.dev"),
-    ("cloudflare_pages", MEDIUM, "cloudflare", HOST + r"pages\.dev", ".pages.dev"),
-    ("cloudflare_r2", MEDIUM, "cloudflare", HOST + r"r2\.dev", ".r2.dev"),
+    ("azure_websites", MEDIUM, "azure", r"(?i)(?:https?://)?[a-z0-9-]+\.azurewebsites\.net", ".azurewebsites.net"),
+    ("azure_functions", MEDIUM, "azure", r"(?i)(?:https?://)?[a-z0-9-]+\.azurestaticapps\.net", ".azurestaticapps.net"),
+    ("azure_cdn", MEDIUM, "azure", r"(?i)(?:https?://)?[a-z0-9-]+\.azureedge\.net", ".azureedge.net"),
+    ("cloudflare_workers", MEDIUM, "cloudflare", r"(?i)(?:https?://)?[a-z0-9-]+\.workers\.dev", ".workers.dev"),
+    ("cloudflare_pages", MEDIUM, "cloudflare", r"(?i)(?:https?://)?[a-z0-9-]+\.pages\.dev", ".pages.dev"),
+    ("cloudflare_r2", MEDIUM, "cloudflare", r"(?i)(?:https?://)?[a-z0-9-]+\.r2\.dev", ".r2.dev"),
     ("fastly_cdn", MEDIUM, "cdn", r"(?i)(?:https?://)?[a-z0-9-]+\.fastly\.net|(?:https?://)?[a-z0-9-]+\.fastlylb\.net", ".fastly.net|.fastlylb.net"),
     ("akamai_cdn", MEDIUM, "cdn", r"(?i)(?:https?://)?[a-z0-9-]+\.akamaized\.net|(?:https?://)?[a-z0-9-]+\.akamaihd\.net", ".akamaized.net|.akamaihd.net"),
-    ("bunny_cdn", MEDIUM, "cdn", HOST + r"b-cdn\.net", ".b-cdn.net"),
+    ("bunny_cdn", MEDIUM, "cdn", r"(?i)(?:https?://)?[a-z0-9-]+\.b-cdn\.net", ".b-cdn.net"),
     ("digitalocean_spaces", MEDIUM, "other", r"(?i)(?:https?://)?[a-z0-9-]+\.[a-z0-9]+\.digitaloceanspaces\.com", ".digitaloceanspaces.com"),
-    ("digitalocean_app", MEDIUM, "other", HOST + r"ondigitalocean\.app", ".ondigitalocean.app"),
-    ("heroku", MEDIUM, "other", HOST + r"herokuapp\.com", ".herokuapp.com"),
-    ("vercel", MEDIUM, "other", HOST + r"vercel\.app", ".vercel.app"),
+    ("digitalocean_app", MEDIUM, "other", r"(?i)(?:https?://)?[a-z0-9-]+\.ondigitalocean\.app", ".ondigitalocean.app"),
+    ("heroku", MEDIUM, "other", r"(?i)(?:https?://)?[a-z0-9-]+\.herokuapp\.com", ".herokuapp.com"),
+    ("vercel", MEDIUM, "other", r"(?i)(?:https?://)?[a-z0-9-]+\.vercel\.app", ".vercel.app"),
     ("netlify", MEDIUM, "other", r"(?i)(?:https?://)?[a-z0-9-]+\.netlify\.app|(?:https?://)?[a-z0-9-]+\.netlify\.com", ".netlify.app|.netlify.com"),
-    ("render", MEDIUM, "other", HOST + r"onrender\.com", ".onrender.com"),
-    ("railway", MEDIUM, "other", HOST + r"up\.railway\.app", ".up.railway.app"),
-    ("fly_io", MEDIUM, "other", HOST + r"fly\.dev", ".fly.dev"),
+    ("render", MEDIUM, "other", r"(?i)(?:https?://)?[a-z0-9-]+\.onrender\.com", ".onrender.com"),
+    ("railway", MEDIUM, "other", r"(?i)(?:https?://)?[a-z0-9-]+\.up\.railway\.app", ".up.railway.app"),
+    ("fly_io", MEDIUM, "other", r"(?i)(?:https?://)?[a-z0-9-]+\.fly\.dev", ".fly.dev"),
 ]
 ANALYTICS = [
     ("google_analytics_ua", HIGH, r"UA-\d{4,10}-\d{1,4}", "ua-", 0),
@@ -134,30 +133,29 @@ CRYPTO = [
     ("zcash_shielded", LOW, r"\bzs[a-z0-9]{76}\b", "zs"),
     ("dogecoin", MEDIUM, r"\bD[5-9A-HJ-NP-U][1-9A-HJ-NP-Za-km-z]{32}\b", ""),
 ]
-WWW = r"(?i)https?://(?:www\.)?"
 SOCIAL = [
-    ("twitter", HIGH, [WWW + r"(?:twitter\.com|x\.com)/([A-Za-z0-9_]{1,15})(?:/|$|\?)", WWW + r"(?:twitter\.com|x\.com)/([A-Za-z0-9_]{1,15})/status/\d+"], "twitter.com|x.com"),
-    ("facebook", HIGH, [WWW + r"facebook\.com/([A-Za-z0-9.]+)(?:/|$|\?)", WWW + r"fb\.com/([A-Za-z0-9.]+)(?:/|$|\?)", WWW + r"facebook\.com/profile\.php\?id=(\d+)"], "facebook.com|fb.com"),
-    ("instagram", HIGH, [WWW + r"instagram\.com/([A-Za-z0-9_.]+)(?:/|$|\?)", WWW + r"instagr\.am/([A-Za-z0-9_.]+)(?:/|$|\?)"], "instagram.com|instagr.am"),
-    ("linkedin", CRITICAL, [WWW + r"linkedin\.com/in/([A-Za-z0-9_-]+)(?:/|$|\?)", WWW + r"linkedin\.com/company/([A-Za-z0-9_-]+)(?:/|$|\?)"], "linkedin.com"),
-    ("github", HIGH, [WWW + r"github\.com/([A-Za-z0-9_-]+)(?:/|$|\?)", WWW + r"github\.com/([A-Za-z0-9_-]+)/([A-Za-z0-9_.-]+)", r"(?i)https?://gist\.github\.com/([A-Za-z0-9_-]+)"], "github.com"),
-    ("youtube", HIGH, [WWW + r"youtube\.com/(?:channel|c|user)/([A-Za-z0-9_-]+)", WWW + r"youtube\.com/@([A-Za-z0-9_-]+)", r"(?i)https?://youtu\.be/([A-Za-z0-9_-]+)"], "youtube.com|youtu.be"),
-    ("telegram", MEDIUM, [WWW + r"t\.me/([A-Za-z0-9_]+)", WWW + r"telegram\.me/([A-Za-z0-9_]+)", r"(?i)tg://resolve\?domain=([A-Za-z0-9_]+)"], "t.me|telegram.me|tg://"),
-    ("discord", MEDIUM, [WWW + r"discord\.gg/([A-Za-z0-9]+)", WWW + r"discord\.com/invite/([A-Za-z0-9]+)", WWW + r"discordapp\.com/invite/([A-Za-z0-9]+)"], "discord"),
-    ("reddit", MEDIUM, [WWW + r"reddit\.com/user/([A-Za-z0-9_-]+)", WWW + r"reddit\.com/r/([A-Za-z0-9_]+)"], "reddit.com"),
-    ("tiktok", HIGH, [WWW + r"tiktok\.com/@([A-Za-z0-9_.]+)"], "tiktok.com"),
+    ("twitter", HIGH, [r"(?i)https?://(?:www\.)?(?:twitter\.com|x\.com)/([A-Za-z0-9_]{1,15})(?:/|$|\?)", r"(?i)https?://(?:www\.)?(?:twitter\.com|x\.com)/([A-Za-z0-9_]{1,15})/status/\d+"], "twitter.com|x.com"),
+    ("facebook", HIGH, [r"(?i)https?://(?:www\.)?facebook\.com/([A-Za-z0-9.]+)(?:/|$|\?)", r"(?i)https?://(?:www\.)?fb\.com/([A-Za-z0-9.]+)(?:/|$|\?)", r"(?i)https?://(?:www\.)?facebook\.com/profile\.php\?id=(\d+)"], "facebook.com|fb.com"),
+    ("instagram", HIGH, [r"(?i)https?://(?:www\.)?instagram\.com/([A-Za-z0-9_.]+)(?:/|$|\?)", r"(?i)https?://(?:www\.)?instagr\.am/([A-Za-z0-9_.]+)(?:/|$|\?)"], "instagram.com|instagr.am"),
+    ("linkedin", CRITICAL, [r"(?i)https?://(?:www\.)?linkedin\.com/in/([A-Za-z0-9_-]+)(?:/|$|\?)", r"(?i)https?://(?:www\.)?linkedin\.com/company/([A-Za-z0-9_-]+)(?:/|$|\?)"], "linkedin.com"),
+    ("github", HIGH, [r"(?i)https?://(?:www\.)?github\.com/([A-Za-z0-9_-]+)(?:/|$|\?)", r"(?i)https?://(?:www\.)?github\.com/([A-Za-z0-9_-]+)/([A-Za-z0-9_.-]+)", r"(?i)https?://gist\.github\.com/([A-Za-z0-9_-]+)"], "github.com"),
+    ("youtube", HIGH, [r"(?i)https?://(?:www\.)?youtube\.com/(?:channel|c|user)/([A-Za-z0-9_-]+)", r"(?i)https?://(?:www\.)?youtube\.com/@([A-Za-z0-9_-]+)", r"(?i)https?://youtu\.be/([A-Za-z0-9_-]+)"], "youtube.com|youtu.be"),
+    ("telegram", MEDIUM, [r"(?i)https?://(?:www\.)?t\.me/([A-Za-z0-9_]+)", r"(?i)https?://(?:www\.)?telegram\.me/([A-Za-z0-9_]+)", r"(?i)tg://resolve\?domain=([A-Za-z0-9_]+)"], "t.me|telegram.me|tg://"),
+    ("discord", MEDIUM, [r"(?i)https?://(?:www\.)?discord\.gg/([A-Za-z0-9]+)", r"(?i)https?://(?:www\.)?discord\.com/invite/([A-Za-z0-9]+)", r"(?i)https?://(?:www\.)?discordapp\.com/invite/([A-Za-z0-9]+)"], "discord"),
+    ("reddit", MEDIUM, [r"(?i)https?://(?:www\.)?reddit\.com/user/([A-Za-z0-9_-]+)", r"(?i)https?://(?:www\.)?reddit\.com/r/([A-Za-z0-9_]+)"], "reddit.com"),
+    ("tiktok", HIGH, [r"(?i)https?://(?:www\.)?tiktok\.com/@([A-Za-z0-9_.]+)"], "tiktok.com"),
     ("mastodon", MEDIUM, [r"(?i)https?://[A-Za-z0-9.-]+/@([A-Za-z0-9_]+)"], "/@"),
-    ("keybase", HIGH, [WWW + r"keybase\.io/([A-Za-z0-9_]+)"], "keybase.io"),
+    ("keybase", HIGH, [r"(?i)https?://(?:www\.)?keybase\.io/([A-Za-z0-9_]+)"], "keybase.io"),
     ("signal", MEDIUM, [r"(?i)https?://signal\.group/[A-Za-z0-9#_-]+", r"(?i)https?://signal\.me/[A-Za-z0-9#_-]+"], "signal."),
-    ("whatsapp", HIGH, [WWW + r"wa\.me/(\d+)", WWW + r"chat\.whatsapp\.com/([A-Za-z0-9]+)"], "wa.me|whatsapp.com"),
-    ("patreon", HIGH, [WWW + r"patreon\.com/([A-Za-z0-9_]+)"], "patreon.com"),
-    ("medium", MEDIUM, [WWW + r"medium\.com/@([A-Za-z0-9_.-]+)", r"(?i)https?://([A-Za-z0-9_-]+)\.medium\.com"], "medium.com"),
+    ("whatsapp", HIGH, [r"(?i)https?://(?:www\.)?wa\.me/(\d+)", r"(?i)https?://(?:www\.)?chat\.whatsapp\.com/([A-Za-z0-9]+)"], "wa.me|whatsapp.com"),
+    ("patreon", HIGH, [r"(?i)https?://(?:www\.)?patreon\.com/([A-Za-z0-9_]+)"], "patreon.com"),
+    ("medium", MEDIUM, [r"(?i)https?://(?:www\.)?medium\.com/@([A-Za-z0-9_.-]+)", r"(?i)https?://([A-Za-z0-9_-]+)\.medium\.com"], "medium.com"),
 ]
 #: Links that contain one of these, in lower case, are no profiles.
-SOCIAL_NOISE = "/intent/ /share /sharer /login /signup /register /help /about /terms /privacy /settings /search /home /explore /notifications /messages /i/ example.com placeholder username yourname".split()
+SOCIAL_NOISE = ["/intent/", "/share", "/sharer", "/login", "/signup", "/register", "/help", "/about", "/terms", "/privacy", "/settings", "/search", "/home", "/explore", "/notifications", "/messages", "/i/", "example.com", "placeholder", "username", "yourname"]
 HANDLE = r"(?i)(?:^|[^\w])@([A-Za-z0-9_]{1,15})(?:[^\w]|$)"
 #: Words after an @ that are no handles.
-NO_HANDLES = "the and for are but not you all can her was one our out has media here twitter facebook instagram email contact admin support info help null undefined anonymous example".split()
+NO_HANDLES = ["the", "and", "for", "are", "but", "not", "you", "all", "can", "her", "was", "one", "our", "out", "has", "media", "here", "twitter", "facebook", "instagram", "email", "contact", "admin", "support", "info", "help", "null", "undefined", "anonymous", "example"]
 FINGERPRINT = [
     ("canvas_toDataURL", HIGH, "Canvas Fingerprinting Detected", r"\.toDataURL\s*\("),
     ("canvas_getImageData", HIGH, "Canvas Fingerprinting Detected", r"\.getImageData\s*\("),
@@ -207,8 +205,101 @@ ERRORS = [
     r"(?:\/var\/www|\/home\/[a-zA-Z0-9]+|C:\\\\[a-zA-Z0-9]+)",
 ]
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
-FREE_MAIL = "gmail.com yahoo.com hotmail.com outlook.com protonmail.com proton.me tutanota.com tutamail.com aol.com icloud.com mail.com yandex.com".split()
+FREE_MAIL = ["gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "protonmail.com", "proton.me", "tutanota.com", "tutamail.com", "aol.com", "icloud.com", "mail.com", "yandex.com"]
 IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
+TITLES = {
+    "google_analytics_ua": "Google Analytics UA ID Found",
+    "google_analytics_ga4": "Google Analytics 4 ID Found",
+    "google_tag_manager": "Google Tag Manager ID Found",
+    "google_adsense": "Google AdSense Publisher ID Found",
+    "google_publisher": "Google Publisher ID Found",
+    "facebook_pixel": "Facebook Pixel ID Found",
+    "yandex_metrica": "Yandex Metrica ID Found",
+    "matomo": "Matomo/Piwik Site ID Found",
+    "clarity": "Microsoft Clarity ID Found",
+    "hotjar": "Hotjar Site ID Found",
+    "amazon_affiliate": "Amazon Affiliate Tag Found",
+    "bitcoin_legacy": "Bitcoin Address Found",
+    "bitcoin_bech32": "Bitcoin Bech32 Address Found",
+    "ethereum": "Ethereum Address Found",
+    "monero": "Monero Address Found",
+    "litecoin_legacy": "Litecoin Address Found",
+    "litecoin_bech32": "Litecoin Bech32 Address Found",
+    "bitcoin_cash": "Bitcoin Cash Address Found",
+    "dash": "Dash Address Found",
+    "zcash_transparent": "Zcash Transparent Address Found",
+    "zcash_shielded": "Zcash Shielded Address Found",
+    "dogecoin": "Dogecoin Address Found",
+    "twitter": "Twitter/X Link Found",
+    "facebook": "Facebook Link Found",
+    "instagram": "Instagram Link Found",
+    "linkedin": "LinkedIn Link Found",
+    "github": "GitHub Link Found",
+    "youtube": "YouTube Link Found",
+    "telegram": "Telegram Link Found",
+    "discord": "Discord Link Found",
+    "reddit": "Reddit Link Found",
+    "tiktok": "TikTok Link Found",
+    "mastodon": "Mastodon Link Found",
+    "keybase": "Keybase Link Found",
+    "signal": "Signal Link Found",
+    "whatsapp": "WhatsApp Link Found",
+    "patreon": "Patreon Link Found",
+    "medium": "Medium Link Found",
+    "swagger_ui": "Swagger UI Exposed",
+    "swagger_json": "Swagger/OpenAPI Specification Found",
+    "openapi_spec": "OpenAPI Specification Detected",
+    "graphql_endpoint": "GraphQL Endpoint Detected",
+    "graphql_introspection": "GraphQL Introspection Enabled",
+    "redoc": "ReDoc Documentation Exposed",
+    "postman_collection": "Postman Collection Reference Found",
+    "debug_endpoint": "Debug Endpoint Exposed",
+    "admin_api": "Admin API Endpoint Detected",
+    "health_check": "Health Check Endpoint Exposed",
+    "metrics_endpoint": "Metrics Endpoint Exposed",
+    "env_file": "Environment File Reference Found",
+    "config_exposure": "Configuration File Exposed",
+    "development_mode": "Development Mode Detected",
+    "internal_api_version": "Internal API Version Detected",
+    "rpc_endpoint": "RPC Endpoint Detected",
+    "django_debug": "Django Debug Mode Detected",
+    "flask_debug": "Flask Debugger Detected",
+    "rails_routes": "Rails Debug Information Exposed",
+    "laravel_debug": "Laravel Debug Mode Detected",
+    "api_key_exposure": "API Key Exposed in Response",
+    "bearer_token_exposure": "Bearer Token Exposed",
+    "database_url": "Database Connection URL Exposed",
+    "aws_s3_bucket": "AWS S3 Bucket Detected",
+    "aws_cloudfront": "AWS CloudFront Distribution Detected",
+    "aws_api_gateway": "AWS API Gateway Detected",
+    "aws_lambda": "AWS Lambda Function URL Detected",
+    "aws_ec2": "AWS EC2 Instance Detected",
+    "aws_elb": "AWS Elastic Load Balancer Detected",
+    "aws_cognito": "AWS Cognito Endpoint Detected",
+    "gcp_storage": "Google Cloud Storage Detected",
+    "gcp_firebase": "Firebase Hosting/Database Detected",
+    "gcp_cloud_run": "Google Cloud Run Detected",
+    "gcp_cloud_functions": "Google Cloud Functions Detected",
+    "gcp_appengine": "Google App Engine Detected",
+    "azure_blob": "Azure Blob Storage Detected",
+    "azure_websites": "Azure Web Apps Detected",
+    "azure_functions": "Azure Functions Detected",
+    "azure_cdn": "Azure CDN Detected",
+    "cloudflare_workers": "Cloudflare Workers Detected",
+    "cloudflare_pages": "Cloudflare Pages Detected",
+    "cloudflare_r2": "Cloudflare R2 Storage Detected",
+    "fastly_cdn": "Fastly CDN Detected",
+    "akamai_cdn": "Akamai CDN Detected",
+    "bunny_cdn": "Bunny CDN Detected",
+    "digitalocean_spaces": "DigitalOcean Spaces Detected",
+    "digitalocean_app": "DigitalOcean App Platform Detected",
+    "heroku": "Heroku Application Detected",
+    "vercel": "Vercel Deployment Detected",
+    "netlify": "Netlify Deployment Detected",
+    "render": "Render Deployment Detected",
+    "railway": "Railway Deployment Detected",
+    "fly_io": "Fly.io Deployment Detected",
+}
 # End of the fixed values.
 
 
@@ -216,27 +307,28 @@ def _split(literals: str) -> tuple[str, ...]:
     return tuple(x for x in literals.split("|") if x)
 
 
-def _words(rule: str) -> str:
-    return rule.replace("_", " ").title()
+def any_of(patterns: list[str]) -> str:
+    """One pattern that matches where any of patterns does; a leading (?i) holds for its own part alone."""
+    return "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns)
 
 
 def catalogue() -> list[Rule]:
     """Every pattern rule of page bodies."""
     found = [Rule(i, "keys", s, t, p, _split(lit), 0, "first") for i, s, t, p, lit in KEYS]
-    found += [Rule(i, "apileak", s, _words(i) + " Exposed", p, _split(lit), 0, "first", c) for i, s, c, p, lit in LEAKS]
-    found += [Rule(i, "cloud", s, _words(i) + " Reference", p, _split(lit), 0, "first", c) for i, s, c, p, lit in CLOUD]
-    found += [Rule(f"analytics_{i}", "analytics", s, _words(i) + " ID", p, _split(lit), g) for i, s, p, lit, g in ANALYTICS]
-    found += [Rule(f"crypto_{i}", "crypto", s, _words(i) + " Address", p, _split(lit)) for i, s, p, lit in CRYPTO]
-    found += [Rule(f"social_{i}", "social", s, _words(i) + " Link Found", p, _split(lit)) for i, s, ps, lit in SOCIAL for p in ps]
+    found += [Rule(i, "apileak", s, TITLES[i], p, _split(lit), 0, "first", c) for i, s, c, p, lit in LEAKS]
+    found += [Rule(i, "cloud", s, TITLES[i], p, _split(lit), 0, "first", c) for i, s, c, p, lit in CLOUD]
+    found += [Rule(f"analytics_{i}", "analytics", s, TITLES[i], p, _split(lit), g) for i, s, p, lit, g in ANALYTICS]
+    found += [Rule(f"crypto_{i}", "crypto", s, TITLES[i], p, _split(lit)) for i, s, p, lit in CRYPTO]
+    found += [Rule(f"social_{i}", "social", s, TITLES[i], p, _split(lit)) for i, s, ps, lit in SOCIAL for p in ps]
     found += [Rule(f"fingerprint_{i}", "fingerprint", s, t, p, (), 0, "flag", "", i) for i, s, t, p in FINGERPRINT]
-    found += [Rule("hidden_iframe", "malicious", HIGH, "Hidden Iframe Detected", p, ("<iframe",), 0, "flag", "", "Hidden iframe found") for p in HIDDEN_IFRAMES]
+    found += [Rule("hidden_iframe", "malicious", HIGH, "Hidden Iframe Detected", any_of(HIDDEN_IFRAMES), ("<iframe",), 0, "flag", "", "Hidden iframe found")]
     found += [Rule("external_iframe", "malicious", HIGH, "External Iframe Detected", OUTER_IFRAME, ("<iframe",), 1)]
     found += [Rule("suspicious_redirect", "malicious", HIGH, "Meta Refresh Redirect to Clearnet", META_REFRESH, ("refresh",), 1)]
     found += [Rule("suspicious_redirect", "malicious", HIGH, "JavaScript Redirect to Clearnet", p, ("location",), 1) for p in SCRIPT_REDIRECTS]
     found += [Rule("debug_sourcemap", "malicious", MEDIUM, "Source Map Reference Found", "sourceMappingURL", ("sourcemappingurl",), 0, "flag", "", "sourceMappingURL found")]
     found += [Rule("debug_console", "malicious", LOW, "Console Debug Statements Found", CONSOLE, ("console.",), 0, "flag", "", "console.* statements found")]
-    found += [Rule("debug_comments", "malicious", MEDIUM, "Sensitive HTML Comments Found", p, ("<!--",), 0, "flag", "", "Sensitive comments found") for p in COMMENTS]
-    found += [Rule("error_disclosure", "malicious", HIGH, "Error Message or Stack Trace Exposed", p, (), 0, "flag", "", "Error/stack trace exposed") for p in ERRORS]
+    found += [Rule("debug_comments", "malicious", MEDIUM, "Sensitive HTML Comments Found", any_of(COMMENTS), ("<!--",), 0, "flag", "", "Sensitive comments found")]
+    found += [Rule("error_disclosure", "malicious", HIGH, "Error Message or Stack Trace Exposed", any_of(ERRORS), (), 0, "flag", "", "Error/stack trace exposed")]
     found += [Rule("email", "email", HIGH, "Email Address Found", EMAIL, ("@",))]
     return found
 

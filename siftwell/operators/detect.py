@@ -109,7 +109,8 @@ def crypto(pages: DataFrame) -> DataFrame:
 def handles(pages: DataFrame) -> DataFrame:
     found = F.filter(F.array_distinct(find_all(F.col("html"), R.HANDLE, 1)), lambda h: ~F.lower(h).isin(*R.NO_HANDLES))
     # Of spellings that differ in case the first stays.
-    first = F.filter(found, lambda h, i: ~F.exists(F.slice(found, 1, i), lambda before: F.lower(before) == F.lower(h)))
+    # found is bound once: a lambda that named it would search the page anew for every match.
+    first = F.get(F.transform(F.array(found), lambda all_: F.filter(all_, lambda h, i: F.array_position(F.transform(all_, lambda x: F.lower(x)), F.lower(h)) == i + 1)), 0)
     return _finding(pages, "social_twitter_handle", "Twitter/X Handle Reference Found", R.MEDIUM, F.transform(first, lambda h: F.concat(F.lit("@"), h)))
 
 

@@ -9,13 +9,13 @@ from siftwell.functions.rules import CRITICAL, HIGH, LOW, MEDIUM
 
 # Fixed values.
 TAGS = {
-    ("exif_gps", CRITICAL): "GPSLatitude GPSLongitude GPSLatitudeRef GPSLongitudeRef",
-    ("exif_camera", MEDIUM): "Make Model",
-    ("exif_serial", HIGH): "SerialNumber CameraSerialNumber BodySerialNumber LensSerialNumber",
-    ("exif_software", LOW): "Software ProcessingSoftware",
-    ("exif_author", HIGH): "Artist Author Copyright XPAuthor",
-    ("exif_datetime", LOW): "DateTimeOriginal DateTimeDigitized DateTime",
-    ("exif_computer", MEDIUM): "HostComputer",
+    ("exif_gps", CRITICAL): ["GPSLatitude", "GPSLongitude", "GPSLatitudeRef", "GPSLongitudeRef"],
+    ("exif_camera", MEDIUM): ["Make", "Model"],
+    ("exif_serial", HIGH): ["SerialNumber", "CameraSerialNumber", "BodySerialNumber", "LensSerialNumber"],
+    ("exif_software", LOW): ["Software", "ProcessingSoftware"],
+    ("exif_author", HIGH): ["Artist", "Author", "Copyright", "XPAuthor"],
+    ("exif_datetime", LOW): ["DateTimeOriginal", "DateTimeDigitized", "DateTime"],
+    ("exif_computer", MEDIUM): ["HostComputer"],
 }
 INFO_FIELDS = {"author": "Author", "creator": "Creator", "producer": "Producer", "title": "Title", "subject": "Subject", "keywords": "Keywords", "creationDate": "CreationDate", "modDate": "ModDate"}
 XMP_FIELDS = {
@@ -35,7 +35,7 @@ FIELD_TYPES = {
 
 def image_tags(tags: DataFrame) -> DataFrame:
     """tags (service, image_url, page_url, tag, value) to findings."""
-    rows = [(tag, t, s) for (t, s), names in TAGS.items() for tag in names.split()]
+    rows = [(tag, t, s) for (t, s), names in TAGS.items() for tag in names]
     kinds = tags.sparkSession.createDataFrame(rows, "tag string, type string, severity int")
     found = tags.join(F.broadcast(kinds), "tag")
     return found.select("service", "type", "severity", F.concat("tag", F.lit(": "), "value").alias("value"), F.concat("page_url", F.lit(" -> "), "image_url").alias("location"))

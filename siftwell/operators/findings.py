@@ -42,6 +42,20 @@ def identifiers(findings: DataFrame, scope: list[str]) -> DataFrame:
     return each.groupBy(*scope, "type").agg(F.array_sort(F.collect_list("value")).alias("values"), F.count("*").alias("n"))
 
 
+def rolled_up(findings: DataFrame) -> DataFrame:
+    """(service, type, title, severity, value): the distinct identifiers of each service as typed findings, with the type's own severity."""
+    spark = findings.sparkSession
+    names = spark.createDataFrame([(k, t, title) for k, (t, title) in dims.ROLLED_UP.items()], "from_type string, to_type string, to_title string")
+    levels = dims.finding_types(spark).select(F.col("type").alias("to_type"), "map_severity").distinct()
+    each = findings.select("service", F.col("type").alias("from_type"), "value").distinct().join(F.broadcast(names.join(levels, "to_type")), "from_type")
+    return each.select("service", F.col("to_type").alias("type"), F.col("to_title").alias("title"), F.col("map_severity").alias("severity"), "value").distinct()
+
+
+def at_least(findings: DataFrame, severity: int) -> DataFrame:
+    """Findings of a severity or a worse one."""
+    return findings.filter(F.col("severity") >= severity)
+
+
 def platform_of(names: DataFrame, column: str) -> DataFrame:
     """Canonical platform of free-form names; null if there is none."""
     return names.join(F.broadcast(dims.platforms(names.sparkSession)), F.lower(F.trim(column)) == F.col("alias"), "left").drop("alias")

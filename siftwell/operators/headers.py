@@ -15,6 +15,7 @@ OS_TOKENS = [("ubuntu", "Ubuntu"), ("debian", "Debian"), ("centos", "CentOS"), (
 IIS_WINDOWS = [("7.0", "Windows Server 2008/Vista"), ("7.5", "Windows Server 2008 R2/Windows 7"), ("8.0", "Windows Server 2012/Windows 8"), ("8.5", "Windows Server 2012 R2/Windows 8.1"), ("10.0", "Windows Server 2016/2019/Windows 10")]
 SESSION_NAMES = ["session", "sess", "sid", "phpsessid", "jsessionid", "asp.net_sessionid", "cfid", "cftoken"]
 COMMON_CDNS = ["cloudflare.com", "cloudflare-ipfs.com", "cdnjs.cloudflare.com", "jsdelivr.net", "unpkg.com", "googleapis.com", "gstatic.com", "bootstrapcdn.com", "maxcdn.bootstrapcdn.com", "fontawesome.com"]
+# End of the fixed values.
 
 
 def value(name: str) -> Column:
@@ -126,9 +127,11 @@ def named(pages: DataFrame) -> DataFrame:
 
 
 def status_pages(pages: DataFrame) -> DataFrame:
-    """Captured Apache status pages of services whose server says Apache."""
+    """Captured Apache status pages of services whose server says Apache; only those that were answered with 200, where pages say so."""
     shown = "Apache Server Status|Server Version:|Server MPM:|Current Time:|Restart Time:|Total accesses:|CPU Usage:|requests/sec"
     hit = F.col("url").contains("/server-status") & F.col("html").rlike(shown) & F.lower(value("server")).contains("apache")
+    if "status_code" in pages.columns:
+        hit = hit & (F.col("status_code") == 200)
     return pages.filter(hit).select("page_id", "service", "url", F.lit("apache_mod_status").alias("type"), F.lit(HIGH).alias("severity"), F.col("url").alias("value"))
 
 

@@ -33,6 +33,24 @@ def since(scans: DataFrame, date: str) -> DataFrame:
     return rest.groupBy("service", "scan_id").agg(F.min_by("baseline_id", F.struct("scanned_at", "baseline_id")).alias("baseline_id"))
 
 
+def baseline_by_id(scans: DataFrame, asked: DataFrame) -> DataFrame:
+    """(service, scan_id, baseline_id, state) for asked (service, baseline_id): the latest scan against a given one, which must be of the same service."""
+    now = latest(scans).select("service", "scan_id")
+    known = scans.select(F.col("scan_id").alias("baseline_id"), F.col("service").alias("owner")).distinct()
+    each = asked.join(known, "baseline_id", "left").groupBy("service", "baseline_id").agg(F.count("owner").alias("n"), F.bool_or(F.col("owner") == F.col("service")).alias("own"))
+    state = F.when(F.col("n") == 0, "not found").when(F.col("own"), "ok").otherwise("other service")
+    return each.join(now, "service", "left").select("service", "scan_id", "baseline_id", state.alias("state"))
+
+
+def metadata(scans: DataFrame, findings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For pairs (service, scan_id, baseline_id): date, total and five counts of both scans, under current_ and previous_."""
+    counts = by_severity(findings, ["service", "scan_id"]).drop("has_critical", "has_high")
+    names = ["critical_count", "high_count", "medium_count", "low_count", "info_count", "total"]
+    each = scans.select("service", "scan_id", "scanned_at").join(counts, ["service", "scan_id"], "left").select("service", "scan_id", "scanned_at", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    side = lambda prefix, key: each.select("service", F.col("scan_id").alias(key), *[F.col(n).alias(f"{prefix}_{n}") for n in ("scanned_at", *names)])
+    return pairs.join(side("current", "scan_id"), ["service", "scan_id"]).join(side("previous", "baseline_id"), ["service", "baseline_id"])
+
+
 def compared(before: DataFrame, after: DataFrame) -> DataFrame:
     """(KEY, state): new, resolved or unchanged, from one full outer join of the distinct keys."""
     a = after.select(*KEY).distinct().withColumn("now", F.lit(True))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 MASK = "***REDACTED***"
 # Attribute names, parts of names and value shapes that are masked.
-SENSITIVE_KEYS = "authorization cookie set-cookie x-api-key x-auth-token proxy-authorization password passwd secret token api_key apikey api-key access_token refresh_token private_key privatekey secret_key secretkey session session_id sessionid sid jsessionid credential credentials auth seed mnemonic wallet_key".split()
-SENSITIVE_PARTS = "password passwd secret token auth credential private seed mnemonic".split()
+SENSITIVE_KEYS = ["authorization", "cookie", "set-cookie", "x-api-key", "x-auth-token", "proxy-authorization", "password", "passwd", "secret", "token", "api_key", "apikey", "api-key", "access_token", "refresh_token", "private_key", "privatekey", "secret_key", "secretkey", "session", "session_id", "sessionid", "sid", "jsessionid", "credential", "credentials", "auth", "seed", "mnemonic", "wallet_key"]
+SENSITIVE_PARTS = ["password", "passwd", "secret", "token", "auth", "credential", "private", "seed", "mnemonic"]
 SENSITIVE_VALUES = [
     r"^eyJ[A-Za-z0-9_-]*\.eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*\z",
     r"(?i)^bearer\s+.+",

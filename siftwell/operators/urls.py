@@ -92,6 +92,12 @@ def first_visits(pages: DataFrame) -> DataFrame:
     return canon.groupBy("service", "canon").agg(F.min_by(F.struct(*pages.columns), "seq").alias("row")).select("canon", "row.*")
 
 
+def address_in_url(url: Column) -> Column:
+    """The hidden-service address that ends in the first ``.onion`` of a URL; null if that is none."""
+    found = F.nullif(F.regexp_extract(F.lower(url), r"([a-z2-7]*\.onion)", 1), F.lit(""))
+    return F.when(address_class(found) != "invalid", found)
+
+
 def breadth_first(links: DataFrame, seeds: DataFrame, max_depth: int = 5, budget: int = 100) -> DataFrame:
     """(service, node, depth) reached from seeds over links (service, src, dst), at most budget nodes a service.
 

@@ -595,7 +595,7 @@ def redact_cookies(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import extra, scans  # noqa: F401  they register their queries
+    from . import extra, more, scans  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 
