@@ -8,7 +8,8 @@ to the next one up until a bin's bitmaps allow it; else a bin is opened.
 
 Lengths are code points. A document longer than a bin is cut into full bins and a remainder, and all of it is packed.
 Null or empty text has length zero and is placed like any other. A null source counts as one source. Repeated rows are
-one cluster and so come to lie in different bins.
+one cluster and so come to lie in different bins. Of pieces of one length the smaller id goes first (null last), then the
+smaller text hash. An empty table gives an empty result. Further columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
