@@ -24,6 +24,8 @@ class Rule(NamedTuple):
     mode: str = "all"
     category: str = ""
     fixed: str = ""
+    #: Whether every match holds a run of 25 letters and digits.
+    run: bool = False
 
     @property
     def type_is_outer(self) -> bool:
@@ -307,6 +309,22 @@ def _split(literals: str) -> tuple[str, ...]:
     return tuple(x for x in literals.split("|") if x)
 
 
+#: What every match of a fingerprinting rule contains.
+FINGERPRINT_LITERALS = {
+    "canvas_toDataURL": (".todataurl",),
+    "canvas_getImageData": (".getimagedata",),
+    "webgl_getParameter": ("getparameter",),
+    "webgl_renderer": ("unmasked_",),
+    "audio_fingerprint": ("audiocontext",),
+    "audio_oscillator": ("createoscillator",),
+    "webrtc_peer": ("rtcpeerconnection",),
+    "webrtc_datachannel": ("createdatachannel",),
+    "webrtc_stun": ("stun:", "turn:"),
+    "navigator_plugins": ("navigator.",),
+    "font_detection": ("measuretext", "font-family", "detectfont"),
+}
+
+
 def any_of(patterns: list[str]) -> str:
     """One pattern that matches where any of patterns does; a leading (?i) holds for its own part alone."""
     return "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns)
@@ -318,9 +336,9 @@ def catalogue() -> list[Rule]:
     found += [Rule(i, "apileak", s, TITLES[i], p, _split(lit), 0, "first", c) for i, s, c, p, lit in LEAKS]
     found += [Rule(i, "cloud", s, TITLES[i], p, _split(lit), 0, "first", c) for i, s, c, p, lit in CLOUD]
     found += [Rule(f"analytics_{i}", "analytics", s, TITLES[i], p, _split(lit), g) for i, s, p, lit, g in ANALYTICS]
-    found += [Rule(f"crypto_{i}", "crypto", s, TITLES[i], p, _split(lit)) for i, s, p, lit in CRYPTO]
+    found += [Rule(f"crypto_{i}", "crypto", s, TITLES[i], p, _split(lit), run=not lit) for i, s, p, lit in CRYPTO]
     found += [Rule(f"social_{i}", "social", s, TITLES[i], p, _split(lit)) for i, s, ps, lit in SOCIAL for p in ps]
-    found += [Rule(f"fingerprint_{i}", "fingerprint", s, t, p, (), 0, "flag", "", i) for i, s, t, p in FINGERPRINT]
+    found += [Rule(f"fingerprint_{i}", "fingerprint", s, t, p, FINGERPRINT_LITERALS[i], 0, "flag", "", i) for i, s, t, p in FINGERPRINT]
     found += [Rule("hidden_iframe", "malicious", HIGH, "Hidden Iframe Detected", any_of(HIDDEN_IFRAMES), ("<iframe",), 0, "flag", "", "Hidden iframe found")]
     found += [Rule("external_iframe", "malicious", HIGH, "External Iframe Detected", OUTER_IFRAME, ("<iframe",), 1)]
     found += [Rule("suspicious_redirect", "malicious", HIGH, "Meta Refresh Redirect to Clearnet", META_REFRESH, ("refresh",), 1)]

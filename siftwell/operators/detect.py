@@ -1,12 +1,15 @@
 """Content detectors: pages to findings in one scan.
 
-All rules of the chosen families are one array of (rule, value) structs in a single projection; required literals
-guard each pattern, so that a page is searched only for what it can hold. Values are redacted in that projection.
-Titles and severities are joined by rule number afterwards.
+The rules are one constant array of structs, and a page is searched by the rules of which it holds a required literal.
+Every detector is a function from a page (a struct, see one_page) to the array of its findings (HIT). So any number of
+them are one projection of one scan, and its plan stays small however many rules there are. Values are redacted there.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,77 +19,64 @@ from siftwell.functions.patterns import find_all, find_first, has, java
 from . import redact
 
 FINDING = ["page_id", "service", "url", "rule_no", "type", "title", "severity", "value", "value_sha256"]
+HIT = "struct<rule_no:int,type:string,title:string,severity:int,value:string,value_sha256:string,family:string,category:string>"
+RULES = "array<struct<rule_no:int,type:string,title:string,severity:int,family:string,category:string,pattern:string,literals:array<string>,run:boolean,group:int,mode:string,fixed:string,outer:boolean>>"
+LONG_RUN = "[0-9A-Za-z]{25}"
 
 
-def _guard(low: Column, rule: R.Rule) -> Column | None:
-    test = None
-    for literal in rule.literals:
-        hit = low.contains(literal)
-        test = hit if test is None else test | hit
-    return test
+def one_page(text: Column, more: list[Column] | None = None) -> Column:
+    """What detectors read of a page: its text, never null; that in lower case; whether it has a long run of letters and digits; its address; and more."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(text.alias("text"), F.lower(text).alias("low"), text.rlike(LONG_RUN).alias("run"), F.col("url").alias("url"), *(more or []))
 
 
-def _outer(value: Column) -> Column:
-    low = F.lower(value)
-    return (low.startswith("http://") | low.startswith("https://")) & ~low.contains(".onion")
+def bound(page: Column, of: Callable[[Column], Column]) -> Column:
+    """of(page), with page worked out once: named in the lambdas of a detector it would be for every rule and match."""
+    return F.flatten(F.transform(F.array(page), of))
 
 
-def _hits(text: Column, rule: R.Rule) -> Column:
-    """Raw matches of a rule as an array of strings."""
-    if rule.mode == "flag":
-        return F.when(has(text, rule.pattern), F.array(F.lit(rule.fixed)))
-    if rule.mode == "first":
-        return F.when(has(text, rule.pattern), F.array(F.regexp_extract(text, java(rule.pattern), 0)))
-    found = F.array_distinct(find_all(text, rule.pattern, rule.group))
-    if rule.family == "social":
-        noise = "|".join(x.replace(".", r"\.") for x in R.SOCIAL_NOISE)
-        found = F.filter(found, lambda x: ~F.lower(x).rlike(noise))
-    elif rule.type_is_outer:
-        found = F.filter(found, _outer)
-    elif rule.family == "email":
-        found = F.array_distinct(F.transform(found, lambda x: F.lower(x)))
-    return found
+def all_of(*detectors: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda p: F.flatten(F.array(*[d(p) for d in detectors]))
 
 
-def _shown(value: Column, rule: R.Rule) -> Column:
-    if rule.family == "keys":
-        return redact.key_material(value, rule.id)
-    if rule.family == "apileak":
-        return redact.leak(value, rule.id)
-    if rule.family == "social":
-        return redact.shortened(value, 100)
-    return value
+def rows(pages: DataFrame, of: Callable[[Column], Column], text_col: str = "html") -> DataFrame:
+    """A row per finding, from one scan."""
+    return pages.select("page_id", "service", "url", F.inline(bound(one_page(F.col(text_col)), of)))
 
 
-def rule_table(spark, rules: list[R.Rule]) -> DataFrame:
-    return spark.createDataFrame([(n, r.id, r.title, r.severity, r.family, r.category) for n, r in enumerate(rules)], "rule_no int, type string, title string, severity int, family string, category string")
+def _rule_array(rules: list[R.Rule]) -> Column:
+    told = [{"rule_no": n, "type": r.id, "title": r.title, "severity": r.severity, "family": r.family, "category": r.category, "pattern": java(r.pattern), "literals": list(r.literals), "run": r.run, "group": r.group, "mode": r.mode, "fixed": r.fixed, "outer": r.type_is_outer} for n, r in enumerate(rules)]
+    return F.from_json(F.lit(json.dumps(told)), RULES)
 
 
-def detect(pages: DataFrame, rules: list[R.Rule], text_col: str = "html") -> DataFrame:
-    """Findings (FINDING, family, category) of rules over pages (page_id, service, url and the text)."""
-    held = pages.select("page_id", "service", "url", F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("low", F.lower("text"))
-    arrays = []
-    for n, rule in enumerate(rules):
-        hits, guard = _hits(F.col("text"), rule), _guard(F.col("low"), rule)
-        hits = hits if guard is None else F.when(guard, hits)
+def _or_none(hits: Column, kind: str = HIT) -> Column:
+    return F.coalesce(hits, F.array().cast(f"array<{kind}>"))
 
-        def one(x: Column, n: int, rule: R.Rule) -> Column:
-            return F.struct(F.lit(n).alias("rule_no"), _shown(x, rule).alias("value"), F.sha2(x, 256).alias("value_sha256"))
 
-        def bound(n: int = n, rule: R.Rule = rule):
-            return lambda x: one(x, n, rule)
+def _outer(value: Column) -> Column:
+    low = F.lower(value)
+    return (low.startswith("http://") | low.startswith("https://")) & ~low.contains(".onion")
+
 
-        arrays.append(F.coalesce(F.transform(hits, bound()), F.array().cast("array<struct<rule_no:int,value:string,value_sha256:string>>")))
-    found = held.select("page_id", "service", "url", F.inline(F.flatten(F.array(*arrays))))
-    return found.join(F.broadcast(rule_table(pages.sparkSession, rules)), "rule_no").select(*FINDING, "family", "category")
+def _matches(text: Column, rule: Column) -> Column:
+    """A rule's distinct matches in a text, as they stand there."""
+    found = (
+        F.when(rule["mode"] == "flag", F.when(F.rlike(text, rule["pattern"]), F.array(rule["fixed"])))
+        .when(rule["mode"] == "first", F.array_compact(F.array(F.regexp_substr(text, rule["pattern"]))))
+        .otherwise(F.regexp_extract_all(text, rule["pattern"], rule["group"]))
+    )
+    noise = "|".join(x.replace(".", r"\.") for x in R.SOCIAL_NOISE)
+    wanted = F.filter(_or_none(found, "string"), lambda x: ((rule["family"] != "social") | ~F.lower(x).rlike(noise)) & (~rule["outer"] | _outer(x)))
+    return F.array_distinct(F.transform(wanted, lambda x: F.when(rule["family"] == "email", F.lower(x)).otherwise(x)))
 
 
-def _finding(pages: DataFrame, type_: str, title: str, severity: Column | int, value: Column) -> DataFrame:
-    """One finding per element of the array value, in the shape of detect."""
-    value = F.explode(value).alias("value")
-    level = F.lit(severity) if isinstance(severity, int) else severity
-    each = pages.select("page_id", "service", "url", level.cast("int").alias("severity"), value)
-    return each.select("page_id", "service", "url", F.lit(-1).alias("rule_no"), F.lit(type_).alias("type"), F.lit(title).alias("title"), "severity", "value", F.sha2("value", 256).alias("value_sha256"))
+def _shown(value: Column, rule: Column) -> Column:
+    return (
+        F.when(rule["family"] == "keys", redact.key_material(value, rule["type"]))
+        .when(rule["family"] == "apileak", redact.leak(value, rule["type"]))
+        .when(rule["family"] == "social", redact.shortened(value, 100))
+        .otherwise(value)
+    )
 
 
 def email_severity(email: Column) -> Column:
@@ -94,45 +84,74 @@ def email_severity(email: Column) -> Column:
     return F.when((F.size(parts) != 2) | F.element_at(parts, -1).isin(*R.FREE_MAIL), R.MEDIUM).otherwise(R.HIGH)
 
 
-def emails(pages: DataFrame) -> DataFrame:
-    found = detect(pages, R.BY_FAMILY["email"])
-    return found.withColumn("severity", email_severity(F.col("value"))).select(*FINDING)
+def _hit(rule: Column, value: Column, shown: Column, digest: Column, severity: Column) -> Column:
+    return F.struct(rule["rule_no"].alias("rule_no"), rule["type"].alias("type"), rule["title"].alias("title"), severity.cast("int").alias("severity"), shown.alias("value"), digest.alias("value_sha256"), rule["family"].alias("family"), rule["category"].alias("category"))
 
 
-def crypto(pages: DataFrame) -> DataFrame:
+def rule_hits(rules: list[R.Rule]) -> Callable[[Column], Column]:
+    """What pattern rules find; a rule without literals is tried on every page, or every one with a long run."""
+
+    def hits(p: Column) -> Column:
+        tried = F.filter(_rule_array(rules), lambda r: (~r["run"] | p["run"]) & ((F.size(r["literals"]) == 0) | F.exists(r["literals"], lambda x: p["low"].contains(x))))
+
+        def of(r: Column) -> Column:
+            level = lambda x: F.when(r["family"] == "email", email_severity(x)).otherwise(r["severity"])
+            return F.transform(_matches(p["text"], r), lambda x: _hit(r, x, _shown(x, r), F.sha2(x, 256), level(x)))
+
+        return F.flatten(F.transform(tried, of))
+
+    return hits
+
+
+def detect(pages: DataFrame, rules: list[R.Rule], text_col: str = "html") -> DataFrame:
+    """Findings (FINDING, family, category) of rules over pages (page_id, service, url and the text)."""
+    return rows(pages, rule_hits(rules), text_col).select(*FINDING, "family", "category")
+
+
+def _plain_hits(type_: str, title: str, severity: int, values: Column) -> Column:
+    """One finding for each element of the array values, in the shape of rule_hits."""
+    named = F.struct(F.lit(-1).alias("rule_no"), F.lit(type_).alias("type"), F.lit(title).alias("title"), F.lit("").alias("family"), F.lit("").alias("category"))
+    return _or_none(F.transform(values, lambda v: _hit(named, v, v, F.sha2(v, 256), F.lit(severity))))
+
+
+def _firsts(items: Column, key: str) -> Column:
+    """Of structs that share their first field key the one that comes first by the others."""
+    in_order = F.array(F.array_sort(items))
+    return F.get(F.transform(in_order, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)[key] != x[key]))), 0)
+
+
+def crypto_hits(p: Column) -> Column:
     """Currency addresses; one that several rules match belongs to the first rule."""
-    found = detect(pages, R.BY_FAMILY["crypto"])
-    best = found.groupBy("page_id", "value").agg(F.min_by(F.struct(*FINDING), "rule_no").alias("row"))
-    return best.select("row.*")
+    found = F.transform(rule_hits(R.BY_FAMILY["crypto"])(p), lambda h: F.struct(h["value"].alias("key"), h["rule_no"].alias("n"), h.alias("hit")))
+    return F.transform(_firsts(found, "key"), lambda x: x["hit"])
 
 
-def handles(pages: DataFrame) -> DataFrame:
-    found = F.filter(F.array_distinct(find_all(F.col("html"), R.HANDLE, 1)), lambda h: ~F.lower(h).isin(*R.NO_HANDLES))
-    # Of spellings that differ in case the first stays.
-    # found is bound once: a lambda that named it would search the page anew for every match.
-    first = F.get(F.transform(F.array(found), lambda all_: F.filter(all_, lambda h, i: F.array_position(F.transform(all_, lambda x: F.lower(x)), F.lower(h)) == i + 1)), 0)
-    return _finding(pages, "social_twitter_handle", "Twitter/X Handle Reference Found", R.MEDIUM, F.transform(first, lambda h: F.concat(F.lit("@"), h)))
+def handle_hits(p: Column) -> Column:
+    """Handles; of spellings that differ in case the first stays."""
+    found = F.filter(F.array_distinct(find_all(p["text"], R.HANDLE, 1)), lambda h: ~F.lower(h).isin(*R.NO_HANDLES))
+    first = _firsts(F.transform(found, lambda h, i: F.struct(F.lower(h).alias("key"), i.alias("n"), h.alias("handle"))), "key")
+    return _plain_hits("social_twitter_handle", "Twitter/X Handle Reference Found", R.MEDIUM, F.transform(first, lambda x: F.concat(F.lit("@"), x["handle"])))
 
 
-def combined_fingerprinting(pages: DataFrame) -> DataFrame:
-    text, names = F.col("html"), []
+def combined_hits(p: Column) -> Column:
+    text, names = p["text"], []
     for name, parts in R.TECHNIQUES:
         test = F.lit(False)
         for part in parts:
             test = test | text.contains(part)
         names.append(F.when(test, F.lit(name)))
     used = F.array_compact(F.array(*names))
-    return _finding(pages, "fingerprint_combined", "Multiple Fingerprinting Techniques Detected", R.CRITICAL, F.when(F.size(used) >= 3, F.array(F.array_join(used, ", "))))
+    return _plain_hits("fingerprint_combined", "Multiple Fingerprinting Techniques Detected", R.CRITICAL, F.when(F.size(used) >= 3, F.array(F.array_join(used, ", "))))
 
 
-def obfuscation(pages: DataFrame) -> DataFrame:
-    first = F.coalesce(*[F.when(has(F.col("html"), p), F.lit(p[:50])) for p in R.OBFUSCATION])
-    return _finding(pages, "js_obfuscation", "Suspicious JavaScript Obfuscation", R.HIGH, F.when(first.isNotNull(), F.array(first)))
+def obfuscation_hits(p: Column) -> Column:
+    first = F.coalesce(*[F.when(has(p["text"], shape), F.lit(shape[:50])) for shape in R.OBFUSCATION])
+    return _plain_hits("js_obfuscation", "Suspicious JavaScript Obfuscation", R.HIGH, F.when(first.isNotNull(), F.array(first)))
 
 
-def ipv4(pages: DataFrame, text_col: str = "html") -> DataFrame:
+def ipv4_hits(p: Column) -> Column:
     """Public IPv4 literals."""
-    found = F.array_distinct(find_all(F.col(text_col), R.IPV4))
+    found = F.array_distinct(find_all(p["text"], R.IPV4))
     octet = lambda x, n: F.element_at(F.split(x, r"\."), n).cast("int")
 
     def public(x: Column) -> Column:
@@ -141,52 +160,94 @@ def ipv4(pages: DataFrame, text_col: str = "html") -> DataFrame:
         private = a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
         return valid & ~private
 
-    return _finding(pages, "clearnet_ip", "Clearnet IP Address Found", R.CRITICAL, F.filter(found, public))
+    return _plain_hits("clearnet_ip", "Clearnet IP Address Found", R.CRITICAL, F.filter(found, public))
+
+
+def onion_hits(p: Column) -> Column:
+    def of(letters: int) -> Column:
+        return F.when(p["low"].contains(".onion"), F.array_distinct(F.regexp_extract_all(p["low"], F.lit(rf"(?<![a-z2-7])[a-z2-7]{{{letters}}}\.onion"), F.lit(0))))
+
+    return F.flatten(F.array(_plain_hits("onion_link_v3", "Linked Hidden Service", R.INFO, of(56)), _plain_hits("onion_link_v2", "Linked Hidden Service", R.INFO, of(16))))
+
+
+def url_hits(p: Column) -> Column:
+    """Rules for endpoints, documentation and debugging on the page's own URL."""
+    url, rules = p["url"], [r for r in R.BY_FAMILY["apileak"] if r.category in ("endpoint", "documentation", "debug")]
+    met = F.filter(_rule_array(rules), lambda r: F.rlike(url, r["pattern"]))
+    return F.transform(met, lambda r: _hit(r, url, redact.leak(url, r["type"]), F.sha2(redact.leak(url, r["type"]), 256), r["severity"]))
+
+
+def _alone(of: Callable[[Column], Column], pages: DataFrame, text_col: str = "html") -> DataFrame:
+    return rows(pages, of, text_col).select(*FINDING)
+
+
+def emails(pages: DataFrame) -> DataFrame:
+    return _alone(rule_hits(R.BY_FAMILY["email"]), pages)
+
+
+def crypto(pages: DataFrame) -> DataFrame:
+    return _alone(crypto_hits, pages)
+
+
+def handles(pages: DataFrame) -> DataFrame:
+    return _alone(handle_hits, pages)
+
+
+def combined_fingerprinting(pages: DataFrame) -> DataFrame:
+    return _alone(combined_hits, pages)
+
+
+def obfuscation(pages: DataFrame) -> DataFrame:
+    return _alone(obfuscation_hits, pages)
+
+
+def ipv4(pages: DataFrame, text_col: str = "html") -> DataFrame:
+    return _alone(ipv4_hits, pages, text_col)
 
 
 def onion_links(pages: DataFrame) -> DataFrame:
-    v3 = F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit(r"(?<![a-z2-7])[a-z2-7]{56}\.onion"), F.lit(0)))
-    v2 = F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit(r"(?<![a-z2-7])[a-z2-7]{16}\.onion"), F.lit(0)))
-    return _finding(pages, "onion_link_v3", "Linked Hidden Service", R.INFO, v3).unionByName(_finding(pages, "onion_link_v2", "Linked Hidden Service", R.INFO, v2))
+    return _alone(onion_hits, pages)
 
 
 def url_leaks(pages: DataFrame) -> DataFrame:
-    """Rules for endpoints, documentation and debugging on the page's own URL."""
-    rules = [r for r in R.BY_FAMILY["apileak"] if r.category in ("endpoint", "documentation", "debug")]
-    arrays = [F.when(has(F.col("url"), r.pattern), F.struct(F.lit(n).alias("rule_no"), redact.leak(F.col("url"), r.id).alias("value"))) for n, r in enumerate(rules)]
-    found = pages.select("page_id", "service", "url", F.inline(F.array_compact(F.array(*arrays))))
-    return found.join(F.broadcast(rule_table(pages.sparkSession, rules)), "rule_no").select("page_id", "service", "url", "rule_no", "type", "title", "severity", "value", F.sha2("value", 256).alias("value_sha256"))
+    return _alone(url_hits, pages)
 
 
 #: What a page's path or body shows by itself.
 PRESENCE = {
-    "robots_txt": lambda: F.col("url").rlike(r"(?i)/robots\.txt(?:\?|$)"),
-    "sitemap_xml": lambda: F.col("url").rlike(r"(?i)/sitemap[^/]*\.xml(?:\?|$)"),
-    "hostname_file": lambda: F.col("url").rlike(r"(?i)/hostname(?:\?|$)"),
-    "nginx_status": lambda: F.col("url").rlike(r"(?i)/nginx_status(?:\?|$)"),
-    "open_directory": lambda: F.col("html").rlike(r"(?i)<title>Index of /"),
-    "form_detected": lambda: F.col("html").rlike(r"(?i)<form[\s>]"),
-    "pgp_key": lambda: F.col("html").contains("-----BEGIN PGP PUBLIC KEY BLOCK-----"),
-    "google_fonts": lambda: F.col("html").rlike(r"(?i)fonts\.(?:googleapis|gstatic)\.com"),
-    "websocket_external": lambda: F.col("html").rlike(r"(?i)wss?://"),
+    "robots_txt": lambda p: p["url"].rlike(r"(?i)/robots\.txt(?:\?|$)"),
+    "sitemap_xml": lambda p: p["url"].rlike(r"(?i)/sitemap[^/]*\.xml(?:\?|$)"),
+    "hostname_file": lambda p: p["url"].rlike(r"(?i)/hostname(?:\?|$)"),
+    "nginx_status": lambda p: p["url"].rlike(r"(?i)/nginx_status(?:\?|$)"),
+    "open_directory": lambda p: p["text"].rlike(r"(?i)<title>Index of /"),
+    "form_detected": lambda p: p["text"].rlike(r"(?i)<form[\s>]"),
+    "pgp_key": lambda p: p["text"].contains("-----BEGIN PGP PUBLIC KEY BLOCK-----"),
+    "google_fonts": lambda p: p["text"].rlike(r"(?i)fonts\.(?:googleapis|gstatic)\.com"),
+    "websocket_external": lambda p: p["text"].rlike(r"(?i)wss?://"),
 }
 
 
+def presence_names(p: Column) -> Column:
+    """Names of what a page shows, as an array."""
+    return F.array_compact(F.array(*[F.when(test(p), F.lit(name)) for name, test in PRESENCE.items()]))
+
+
 def presence(pages: DataFrame) -> DataFrame:
-    types = F.array_compact(F.array(*[F.when(test(), F.lit(name)) for name, test in PRESENCE.items()]))
-    return pages.select("page_id", "service", "url", F.explode(types).alias("type"))
+    return pages.select("page_id", "service", "url", F.explode(bound(one_page(F.col("html")), presence_names)).alias("type"))
+
+
+def content_hits() -> Callable[[Column], Column]:
+    """Every content detector as one."""
+    plain = [r for f in ("keys", "apileak", "cloud", "analytics", "social", "fingerprint", "malicious", "email") for r in R.BY_FAMILY[f]]
+    return all_of(rule_hits(plain), crypto_hits, handle_hits, combined_hits, obfuscation_hits, ipv4_hits, onion_hits, url_hits)
 
 
 def all_findings(pages: DataFrame, extra: list | None = None) -> DataFrame:
-    """Every content detector's findings; extra are further functions from pages to findings."""
-    plain = [r for f in ("keys", "apileak", "cloud", "analytics", "social", "fingerprint", "malicious") for r in R.BY_FAMILY[f]]
-    frames = [detect(pages, plain).select(*FINDING), emails(pages), crypto(pages), handles(pages), combined_fingerprinting(pages), obfuscation(pages), ipv4(pages), onion_links(pages), url_leaks(pages)]
+    """Every content detector's findings from one scan; extra are further functions from pages to findings, each with a scan of its own."""
+    out = rows(pages, content_hits()).select(*FINDING)
     for f in extra or []:
-        frames.append(f(pages).select(*FINDING))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
+        out = out.unionByName(f(pages).select(*FINDING))
     return out
 
 
-__all__ = ["all_findings", "combined_fingerprinting", "crypto", "detect", "emails", "find_first", "handles", "ipv4", "obfuscation", "onion_links", "presence", "url_leaks"]
+__all__ = ["all_findings", "combined_fingerprinting", "bound", "content_hits", "crypto", "detect", "emails", "find_first", "handles", "one_page", "ipv4", "obfuscation", "onion_links", "presence", "presence_names", "rows", "rule_hits", "url_leaks"]

@@ -39,12 +39,13 @@ def shortened(value: Column, most: int) -> Column:
     return F.when(F.length(value) > most, F.concat(F.left(value, F.lit(most)), F.lit("..."))).otherwise(value)
 
 
-def key_material(value: Column, rule: str) -> Column:
+def _cut(value: Column, most: int) -> Column:
+    return F.when(F.length(value) > most, F.concat(F.left(value, F.lit(most)), F.lit("...[REDACTED]"))).otherwise(value)
+
+
+def key_material(value: Column, rule: Column) -> Column:
     """A PEM header alone; of cloud keys ten characters, of others twenty."""
-    most = 10 if rule.startswith("aws") else 20
-    part = F.when(F.length(value) > most, F.concat(F.left(value, F.lit(most)), F.lit("...[REDACTED]")))
-    long_rest = F.when(F.length(value) > 20, F.concat(F.left(value, F.lit(20)), F.lit("...[REDACTED]"))).otherwise(value)
-    return F.when(value.contains("-----BEGIN"), F.concat(F.substring_index(value, "\n", 1), F.lit("..."))).otherwise(F.coalesce(part, long_rest))
+    return F.when(value.contains("-----BEGIN"), F.concat(F.substring_index(value, "\n", 1), F.lit("..."))).when(rule.startswith("aws"), _cut(value, 10)).otherwise(_cut(value, 20))
 
 
 def urls(value: Column) -> Column:
@@ -52,12 +53,10 @@ def urls(value: Column) -> Column:
     return F.regexp_replace(value, "://([^:]+):([^@]+)@", "://$1:[REDACTED]@")
 
 
-def leak(value: Column, rule: str) -> Column:
-    if "token" in rule or "key" in rule:
-        value = F.when(F.length(value) > 30, F.concat(F.left(value, F.lit(30)), F.lit("...[REDACTED]"))).otherwise(value)
-    if rule == "database_url":
-        value = urls(value)
-    return shortened(value, 100)
+def leak(value: Column, rule: Column) -> Column:
+    """Of tokens and keys thirty characters, of connection URLs no password."""
+    held = F.when(rule.contains("token") | rule.contains("key"), _cut(value, 30)).when(rule == "database_url", urls(value)).otherwise(value)
+    return shortened(held, 100)
 
 
 def cookie(value: Column) -> Column:

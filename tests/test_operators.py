@@ -43,7 +43,7 @@ def test_literals_do_not_change_results(spark):
     pages = spark.createDataFrame([(n, "s", f"http://s/{n}", t) for n, t in enumerate(seeds.SNIPPETS)], PAGE)
     rules = R.catalogue()
     key = lambda rs: sorted((r["page_id"], r["rule_no"], r["value"]) for r in detect.detect(pages, rs).collect())
-    assert key(rules) == key([r._replace(literals=()) for r in rules])
+    assert key(rules) == key([r._replace(literals=(), run=False) for r in rules])
 
 
 def test_secrets_never_leave_in_full(spark):
