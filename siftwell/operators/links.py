@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.patterns import find_all
 from siftwell.functions.rules import HIGH, MEDIUM
 from siftwell.sources.captures import host
 
 from . import extract
+from .urls import resolve
 
 # Fixed values.
 SOCIAL_DOMAINS = ["twitter.com", "x.com", "facebook.com", "instagram.com", "linkedin.com", "github.com", "reddit.com", "youtube.com"]
@@ -20,13 +22,30 @@ def _outside(target: Column, service: Column) -> Column:
     return h.isNotNull() & ~h.endswith(".onion") & (h != service)
 
 
+def _level(h: Column) -> Column:
+    return F.when(F.exists(F.array(*map(F.lit, SOCIAL_DOMAINS)), lambda name: h.contains(name)), HIGH).otherwise(MEDIUM)
+
+
+def outside_hits(html: Column, url: Column, service: Column) -> Column:
+    """A page's links, scripts and images that lead outside and forms that post there: array of (type, severity, value, key, pos); of equal keys of a service the first counts."""
+
+    def found(type_: str, sources: Column) -> Column:
+        placed = F.transform(sources, lambda x, i: F.struct(x.alias("x"), i.alias("i"), host(x).alias("h")))
+        out = F.filter(placed, lambda e: F.coalesce(e["h"].isNotNull() & ~e["h"].endswith(".onion") & (e["h"] != service), F.lit(False)))
+        one = lambda e: F.struct(F.lit(type_).alias("type"), (_level(e["h"]) if type_ == "clearnet_link" else F.lit(HIGH)).cast("int").alias("severity"), (e["h"] if type_ == "clearnet_link" else e["x"]).alias("value"), e["h"].alias("key"), e["i"].alias("pos"))
+        return F.transform(out, one)
+
+    targets = F.transform(find_all(html, extract.A_HREF, 1), lambda x: resolve(url, x))
+    actions = F.transform(find_all(html, extract.FORM), lambda x: F.coalesce(extract.attribute(F.regexp_extract(x, r"(?i)^<form[^>]*>", 0), "action"), F.lit("")))
+    leaks = F.filter(actions, lambda x: F.lower(x).rlike("^https?://") & ~F.lower(x).contains(".onion"))
+    posted = F.transform(leaks, lambda x, i: F.struct(F.lit("form_action_leak").alias("type"), F.lit(HIGH).alias("severity"), x.alias("value"), x.alias("key"), i.alias("pos")))
+    return F.concat(found("clearnet_link", targets), found("external_script", find_all(html, extract.SCRIPT_SRC, 1)), found("external_image", F.array_union(find_all(html, extract.IMG_SRC, 1), find_all(html, extract.ICON, 1))), posted)
+
+
 def clearnet_links(pages: DataFrame) -> DataFrame:
     """(service, value, severity, page_id): each outside host of a service once, at its first page."""
     each = extract.links(pages).filter(_outside(F.col("target"), F.col("service"))).withColumn("value", host(F.col("target")))
-    social = F.lit(False)
-    for name in SOCIAL_DOMAINS:
-        social = social | F.col("value").contains(name)
-    return each.groupBy("service", "value").agg(F.min("page_id").alias("page_id")).withColumn("severity", F.when(social, HIGH).otherwise(MEDIUM))
+    return each.groupBy("service", "value").agg(F.min("page_id").alias("page_id")).withColumn("severity", _level(F.col("value")))
 
 
 def outer_elements(pages: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwell.functions import rules as R
-from siftwell.operators import detect, extract, findings, headers, history, links, urls
+from siftwell.operators import audit, detect, extract, findings, headers, history, links, urls
 
-from .catalog import FOUND_SQL, P, found, pages, query
+from . import extra  # noqa: F401  (its SQL is part of the audit's)
+from .catalog import FOUND_SQL, IPV4_SQL, ORACLES, P, found, pages, query
 from .seeds import quoted
 
 #: Written out from the pages that the seeds make: what of each type must be found under which title.
@@ -122,3 +123,26 @@ def status_pages_answered(spark, d):
     """Status pages count only where they were answered with 200: every page here looks like one, a third of them were not found."""
     each = pages(spark, d).withColumn("status_code", F.when(F.col("page_id") % 3 == 0, 404).otherwise(200)).withColumn("url", F.concat(F.col("url"), F.lit("/server-status"))).withColumn("html", F.lit("Apache Server Status"))
     return headers.status_pages(each).select("page_id", F.lit(200).alias("status_code"))
+
+
+def _of(name: str, type_: str = "type", severity: str = "severity") -> str:
+    """The hits of a query's SQL as (page_id, type, severity, value)."""
+    return f"SELECT page_id, {type_} AS type, {severity} AS severity, value FROM ({ORACLES[name]})"
+
+
+_content = [_of(f"seeded_{name}") for name in ("keys", "apileak", "cloud", "analytics", "social", "fingerprint", "malicious", "crypto")]
+_content += [_of("email_findings", "'email'"), _of("seeded_handles", "'social_twitter_handle'", "2"), _of("combined_fingerprinting", "'fingerprint_combined'", "4"), _of("js_obfuscation", "'js_obfuscation'", "3"), _of("onion_links", severity="0")]
+_content += [f"SELECT page_id, 'clearnet_ip' AS type, 4 AS severity, value FROM ({P + IPV4_SQL})"]
+_content += [P + f"SELECT page_id, {quoted(r.id)} AS type, {r.severity} AS severity, left(url, 100) AS value FROM p WHERE regexp_matches(url, {quoted(r.pattern)})" for r in R.BY_FAMILY["apileak"] if r.category in ("endpoint", "documentation", "debug")]
+_content += [_of(f"header_{name}") for name in ("etag", "csp", "cookie", "hsts", "server", "technology", "missing", "named")]
+_content += [_of("header_policy_domains", severity="CASE type WHEN 'csp_cdn' THEN 0 WHEN 'csp_external_domain' THEN 2 ELSE 3 END"), _of("form_leaks", "'form_action_leak'", "3"), f"SELECT page_id, type, 0 AS severity, '' AS value FROM ({ORACLES['page_presence']})"]
+_once = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in _content)
+
+
+@query(
+    f"SELECT service, type, min(severity) AS severity, value, min(page_id) AS page_id FROM (SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS service, h.* FROM ({_once}) AS h JOIN pages USING (page_id)) GROUP BY service, type, value "
+    f"UNION ALL SELECT service, 'clearnet_link', severity, value, page_id FROM ({ORACLES['clearnet_links']}) UNION ALL SELECT service, type, 3, value, page_id FROM ({ORACLES['outer_elements']})"
+)
+def audit_all(spark, d):
+    """Every content, header, link and presence check in one scan of the pages, each finding of a service once."""
+    return audit.audit_all(pages(spark, d))

@@ -72,8 +72,8 @@ def risk_summary(findings: DataFrame) -> DataFrame:
 
 
 def write_scan(findings: DataFrame, path: str) -> None:
-    """Findings as Parquet, one folder per scan; a service's rows stay together."""
-    findings.repartition("service").write.mode("append").partitionBy("scan_id").parquet(path)
+    """Findings of whole scans as Parquet, one folder per scan; a service's rows stay together, those of a hot one in several files. A repeated write replaces its scans."""
+    findings.hint("rebalance", "scan_id", "service").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path)
 
 
 def reports(findings: DataFrame) -> DataFrame:

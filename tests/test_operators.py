@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import rules as R
 from siftwell.functions.patterns import java
-from siftwell.operators import banners, detect, extract, files, findings, headers, history, redact, urls
+from siftwell.operators import audit, banners, detect, extract, files, findings, headers, history, redact, urls
 from siftwell.plans import seeds
 from siftwell.sources import captures
 
@@ -169,3 +169,18 @@ def test_results_do_not_depend_on_partitions(spark):
     pages = spark.createDataFrame([(n, "s", f"http://s/{n}", t) for n, t in enumerate(seeds.SNIPPETS)], PAGE)
     rows = lambda p: sorted(map(tuple, detect.all_findings(p).collect()))
     assert rows(pages.repartition(7, "page_id")) == rows(pages.coalesce(1).orderBy(F.desc("page_id")))
+
+
+def test_a_repeated_write_of_a_scan_replaces_it(spark, tmp_path):
+    rows = spark.createDataFrame([("s", 1, "t", 1, "T", "v", "/"), ("t", 2, "t", 1, "T", "v", "/")], "service string, scan_id long, type string, severity int, title string, value string, location string")
+    for frame in (rows, rows.filter("scan_id = 2")):
+        captures.write_scan(frame, str(tmp_path / "scans"))
+    assert sorted(r["scan_id"] for r in spark.read.parquet(str(tmp_path / "scans")).collect()) == [1, 2]
+
+
+def test_the_whole_audit_takes_missing_parts(spark):
+    schema = PAGE + ", headers map<string,array<string>>"
+    pages = spark.createDataFrame([(1, None, None, None, None), (2, "a.onion", "http://a.onion/", "", {}), (4, "a.onion", "http://a.onion/4", "@Some_One_1 x@y.zz @some_one_1", {}), (3, "a.onion", "http://a.onion/3", '<script src="https://C.net/2.js"></script> x@y.zz', None)], schema)
+    got = {(r["service"], r["type"], r["value"], r["page_id"]) for r in audit.audit_all(pages).collect()}
+    assert {("a.onion", "external_script", "https://C.net/2.js", 3), ("a.onion", "email", "x@y.zz", 3), ("a.onion", "csp_missing", "No CSP header present", 2), ("a.onion", "social_twitter_handle", "@Some_One_1", 4)} <= got
+    assert audit.audit_all(pages.limit(0)).count() == 0
