@@ -136,11 +136,11 @@ _content += [f"SELECT page_id, 'clearnet_ip' AS type, 4 AS severity, value FROM
 _content += [P + f"SELECT page_id, {quoted(r.id)} AS type, {r.severity} AS severity, left(url, 100) AS value FROM p WHERE regexp_matches(url, {quoted(r.pattern)})" for r in R.BY_FAMILY["apileak"] if r.category in ("endpoint", "documentation", "debug")]
 _content += [_of(f"header_{name}") for name in ("etag", "csp", "cookie", "hsts", "server", "technology", "missing", "named")]
 _content += [_of("header_policy_domains", severity="CASE type WHEN 'csp_cdn' THEN 0 WHEN 'csp_external_domain' THEN 2 ELSE 3 END"), _of("form_leaks", "'form_action_leak'", "3"), f"SELECT page_id, type, 0 AS severity, '' AS value FROM ({ORACLES['page_presence']})"]
-_once = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in _content)
+_all_hits = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in _content)
 
 
 @query(
-    f"SELECT service, type, min(severity) AS severity, value, min(page_id) AS page_id FROM (SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS service, h.* FROM ({_once}) AS h JOIN pages USING (page_id)) GROUP BY service, type, value "
+    f"SELECT service, type, min(severity) AS severity, value, min(page_id) AS page_id FROM (SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS service, h.* FROM ({_all_hits}) AS h JOIN pages USING (page_id)) GROUP BY service, type, value "
     f"UNION ALL SELECT service, 'clearnet_link', severity, value, page_id FROM ({ORACLES['clearnet_links']}) UNION ALL SELECT service, type, 3, value, page_id FROM ({ORACLES['outer_elements']})"
 )
 def audit_all(spark, d):
