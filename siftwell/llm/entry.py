@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import importance, packing, pii, quality_rules, secrets_scan, sentencepiece_codec, simhash, sketch, toxicity, warc
+from . import hard_negatives, importance, language_id, packing, periodic_runs, pii, quality_rules, secrets_scan, sentencepiece_codec, simhash, sketch, toxicity, warc
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +52,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_sentencepiece, op2_importance, op3_pii, op4_simhash, op5_packing, op6_warc, op7_fingerprints, op8_quality_rules, op9_toxicity, op10_secrets)
+    found = (op1_sentencepiece, op2_importance, op3_pii, op4_simhash, op5_packing, op6_warc, op7_fingerprints, op8_quality_rules, op9_toxicity, op10_secrets, op11_periodic_runs, op12_language_id, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
@@ -63,6 +75,7 @@ BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJ
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op13_hard_negatives": hard_negatives.oracle_sql(),
         "op8_quality_rules": quality_rules.oracle_sql(),
         "op6_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h FROM p),
         l AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM d)
