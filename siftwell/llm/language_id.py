@@ -7,7 +7,7 @@ are scored batch by batch as sparse rows: the matrix rows of a batch's n-grams a
 
 The model learns from the rows with a non-null language that are outside the held-out fold. Of each language it
 reads at most about TRAIN_ROWS rows, those whose id hashes lowest (a bounded sample of labelled rows, allowed for a
-classifier); languages with fewer are read whole, so rare ones keep all they have. Everything else covers all rows.
+classifier); languages with fewer are read whole, so rare ones keep all they have. Priors and everything else cover all rows.
 
 The matrix has at most CELLS cells whatever the data: with many languages the number of buckets is halved until it fits.
 A column with over CELLS / LEAST_BUCKETS distinct values holds no languages, and fitting raises an error.
@@ -23,7 +23,6 @@ counts as empty text for the fold. An empty table gives an empty result. Further
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -42,6 +41,8 @@ SMOOTH, EVIDENCE = 0.5, 50
 UNKNOWN = "und"
 #: n-grams that are gathered at once; with few languages a gathered block has some ten megabytes.
 GATHER = 1 << 18
+#: Code points of texts whose n-grams are held at once.
+TOGETHER = 1 << 20
 
 
 class Model(NamedTuple):
@@ -91,8 +92,8 @@ def in_fold(id_col: str | Column, folds: int, fold: int) -> Column:
     return F.pmod(F.crc32(F.encode(text_of(key.cast("string")), "utf-8")), F.lit(folds)) == fold
 
 
-def _sample(known: DataFrame, most: int) -> tuple[list[str], DataFrame]:
-    """The languages, and rows (lang, text): of each language about so many at most. known: (id, lang, text)."""
+def _sample(known: DataFrame, most: int) -> tuple[dict[str, int], DataFrame]:
+    """The languages with their numbers of rows, and rows (lang, text): of each language about so many at most. known: (id, lang, text)."""
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(CELLS // LEAST_BUCKETS + 1).collect()}
     if len(counts) > CELLS // LEAST_BUCKETS:
         raise ValueError(f"over {CELLS // LEAST_BUCKETS} distinct languages: this column holds something else")
@@ -102,14 +103,15 @@ def _sample(known: DataFrame, most: int) -> tuple[list[str], DataFrame]:
         share = known.sparkSession.createDataFrame(sorted(shares.items()), "lang string, share long")
         place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
         rows = known.join(F.broadcast(share), "lang", "left").filter(F.col("share").isNull() | (place < F.col("share")))
-    return sorted(counts), rows.select("lang", "text")
+    return dict(sorted(counts.items())), rows.select("lang", "text")
 
 
 def fitted(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = TRAIN_ROWS) -> Model | None:
     """The model from the rows for which train holds; None where there is no such row with a language."""
     spark = ready(docs.sparkSession)
     known = docs.filter(train & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
-    languages, rows = _sample(known, most)
+    known_rows, rows = _sample(known, most)
+    languages = list(known_rows)
     if not languages:
         return None
     buckets = BUCKETS
@@ -119,24 +121,18 @@ def fitted(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, total = places.value, np.zeros((len(places.value), buckets), np.int64)
-        texts = np.zeros(len(place), np.int64)
         for part in parts:
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 total[place[lang]] += np.bincount(ngrams(letters(text), buckets), minlength=buckets)
-                texts[place[lang]] += 1
-        for n in np.flatnonzero(texts):
-            at = np.flatnonzero(total[n])
-            at, n_at = np.concatenate(([-1], at)), np.concatenate(([texts[n]], total[n][at]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n)), pa.array(at), pa.array(n_at)], ["place", "bucket", "n"])
+        for n, row in enumerate(total):
+            at = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n)), pa.array(at), pa.array(row[at])], ["place", "bucket", "n"])
 
     counts = np.full((buckets, len(languages)), SMOOTH, np.float64)
-    priors = np.ones(len(languages))
+    priors = np.array(list(known_rows.values())) + 1.0
     sums = rows.mapInArrow(batches, "place long, bucket long, n long").groupBy("place", "bucket").agg(F.sum("n").alias("n"))
     for r in sums.toLocalIterator():  # CELLS rows at most
-        if r["bucket"] < 0:
-            priors[r["place"]] += r["n"]
-        else:
-            counts[r["bucket"], r["place"]] += r["n"]
+        counts[r["bucket"], r["place"]] += r["n"]
     return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(priors / priors.sum()))
 
 
@@ -176,23 +172,30 @@ def predicted(docs: DataFrame, model: Model | None, columns: list[Column], text_
         own = held.value
         for part in parts:
             langs, scores, sizes, seconds = [], [], [], []
-            texts = part.column(len(names)).to_pylist()
-            worth = [own is not None and any(map(str.isalpha, t)) for t in texts]
-            grams = [ngrams(letters(t), len(own.log_probability)) if w else np.zeros(0, np.uint32) for t, w in zip(texts, worth)]
-            sums = likelihoods(grams, own) if own is not None else None
-            for n, (w, g) in enumerate(zip(worth, grams)):
-                sizes.append(len(g))
-                if not w:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    seconds.append(None)
-                    continue
-                all_in = sums[n] + own.log_prior
-                order = np.argsort(-all_in, kind="stable")
-                scaled = all_in / max(1.0, len(g) / EVIDENCE)
-                langs.append(own.languages[order[0]])
-                scores.append(float(1 / np.exp(scaled - scaled[order[0]]).sum()))
-                seconds.append(own.languages[order[1]] if len(order) > 1 else None)
+            texts = part.column(len(names))
+            at = 0
+            while at < len(texts):
+                some, size = [], 0
+                while at < len(texts) and size < TOGETHER:
+                    some.append(texts[at].as_py())
+                    size += len(some[-1])
+                    at += 1
+                worth = [own is not None and any(map(str.isalpha, t)) for t in some]
+                grams = [ngrams(letters(t), len(own.log_probability)) if w else np.zeros(0, np.uint32) for t, w in zip(some, worth)]
+                sums = likelihoods(grams, own) if own is not None else None
+                for n, (w, g) in enumerate(zip(worth, grams)):
+                    sizes.append(len(g))
+                    if not w:
+                        langs.append(UNKNOWN)
+                        scores.append(0.0)
+                        seconds.append(None)
+                        continue
+                    all_in = sums[n] + own.log_prior
+                    order = np.argsort(-all_in, kind="stable")
+                    scaled = all_in / max(1.0, len(g) / EVIDENCE)
+                    langs.append(own.languages[order[0]])
+                    scores.append(float(1 / np.exp(scaled - scaled[order[0]]).sum()))
+                    seconds.append(own.languages[order[1]] if len(order) > 1 else None)
             more = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64()), pa.array(seconds, pa.string())]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *more], [*names, "lang_pred", "score", "n_ngrams", "second_lang"])
 
