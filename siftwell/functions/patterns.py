@@ -1,7 +1,9 @@
-"""Patterns are kept in RE2 form (as DuckDB reads them); this is the one place that turns them into Java form."""
+"""Patterns are kept in RE2 form (as DuckDB reads them); this is the one place that turns them into Java's and Python's forms."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,13 +24,24 @@ def _boundary(pattern: str, i: int) -> str:
 
 def java(pattern: str) -> str:
     """The same matches in java.util.regex: ``.`` stops at line feeds only, ``$`` is the end of text, ``\\b`` and ``\\s`` are ASCII without the vertical tab."""
+    return "(?d)" + _adapted(pattern, _boundary, r"\z")
+
+
+def python(pattern: str) -> str:
+    """The same matches in Python's re with its ASCII flag: ``$`` is the end of text, ``\\s`` has no vertical tab."""
+    return _adapted(pattern, lambda p, i: r"\b", r"\Z")
+
+
+def _adapted(pattern: str, boundary: Callable[[str, int], str], end: str) -> str:
     out, i, in_class = [], 0, False
     while i < len(pattern):
         c = pattern[i]
         if c == "\\" and i + 1 < len(pattern):
             pair = pattern[i : i + 2]
             if pair == "\\b" and not in_class:
-                pair = _boundary(pattern, i)
+                pair = boundary(pattern, i)
+            elif pair == "\\z" and not in_class:
+                pair = end
             elif pair == "\\s":
                 pair = BLANK if in_class else f"[{BLANK}]"
             elif pair == "\\S" and not in_class:
@@ -43,10 +56,10 @@ def java(pattern: str) -> str:
         elif c == "[" and in_class:
             c = "\\["
         elif c == "$" and not in_class:
-            c = "\\z"
+            c = end
         out.append(c)
         i += 1
-    return "(?d)" + "".join(out)
+    return "".join(out)
 
 
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:

@@ -184,6 +184,8 @@ OBFUSCATION = [
     r"\(\s*!\s*\[\s*\]\s*\+\s*\[\s*\]\s*\)",
     r"String\.fromCharCode\s*\([^)]{50,}\)",
 ]
+#: What every match of an obfuscation shape contains.
+OBFUSCATION_LITERALS = [("eval",), ("\\x",), (), ("document.write",), ("function",), ("eval",), ("[",), ("[",), ("string.fromcharcode",)]
 META_REFRESH = r"""(?i)<meta[^>]*http-equiv\s*=\s*["']?refresh["']?[^>]*content\s*=\s*["']?\d+\s*;\s*url\s*=\s*["']?([^"'>]+)"""
 SCRIPT_REDIRECTS = [r"""window\.location\s*=\s*["']([^"']+)["']""", r"""location\.href\s*=\s*["']([^"']+)["']""", r"""location\.replace\s*\(\s*["']([^"']+)["']\s*\)"""]
 HIDDEN_IFRAMES = [
@@ -206,9 +208,12 @@ ERRORS = [
     r"(?i)\([^)]+\.rb:\d+:in ",
     r"(?:\/var\/www|\/home\/[a-zA-Z0-9]+|C:\\\\[a-zA-Z0-9]+)",
 ]
+#: Strings one of which every match of an error shape contains.
+ERROR_LITERALS = ("fatal error:", "parse error:", "warning:", "notice:", "traceback (most recent call last):", 'file "', "exception", ") in ", ".js:", ".rb:", "/var/www", "/home/", "c:\\\\")
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 FREE_MAIL = ["gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "protonmail.com", "proton.me", "tutanota.com", "tutamail.com", "aol.com", "icloud.com", "mail.com", "yandex.com"]
 IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
+IPV4_LITERALS = tuple(f"{a}.{b}" for a in range(10) for b in range(10))
 TITLES = {
     "google_analytics_ua": "Google Analytics UA ID Found",
     "google_analytics_ga4": "Google Analytics 4 ID Found",
@@ -346,7 +351,7 @@ def catalogue() -> list[Rule]:
     found += [Rule("debug_sourcemap", "malicious", MEDIUM, "Source Map Reference Found", "sourceMappingURL", ("sourcemappingurl",), 0, "flag", "", "sourceMappingURL found")]
     found += [Rule("debug_console", "malicious", LOW, "Console Debug Statements Found", CONSOLE, ("console.",), 0, "flag", "", "console.* statements found")]
     found += [Rule("debug_comments", "malicious", MEDIUM, "Sensitive HTML Comments Found", any_of(COMMENTS), ("<!--",), 0, "flag", "", "Sensitive comments found")]
-    found += [Rule("error_disclosure", "malicious", HIGH, "Error Message or Stack Trace Exposed", any_of(ERRORS), (), 0, "flag", "", "Error/stack trace exposed")]
+    found += [Rule("error_disclosure", "malicious", HIGH, "Error Message or Stack Trace Exposed", any_of(ERRORS), ERROR_LITERALS, 0, "flag", "", "Error/stack trace exposed")]
     found += [Rule("email", "email", HIGH, "Email Address Found", EMAIL, ("@",))]
     return found
 

@@ -14,17 +14,19 @@ HITS = "array<struct<type:string,severity:int,value:string,key:string,pos:int>>"
 
 def page_findings(pages: DataFrame) -> DataFrame:
     """(page_id, service, type, severity, value, key, pos) of pages (page_id, service, url, html, headers), a row per hit; the text is read once."""
-    content, seen = detect.content_hits(), lambda kind, level, value: F.struct(kind.alias("type"), level.alias("severity"), value.alias("value"), value.alias("key"), F.lit(0).alias("pos"))
+    content, names = detect.content_hits(), detect.presence_names()
+    both = detect.Detector(lambda p: p, detect.distinct([*content.text_specs, *names.text_specs]), detect.distinct([*content.url_specs, *names.url_specs]))
+    seen = lambda kind, level, value: F.struct(kind.alias("type"), level.alias("severity"), value.alias("value"), value.alias("key"), F.lit(0).alias("pos"))
 
     def of(p):
-        found = F.transform(content(p), lambda h: seen(h["type"], h["severity"], h["value"]))
-        shown = F.transform(detect.presence_names(p), lambda name: seen(name, F.lit(INFO), F.lit("")))
+        found = F.transform(content.of(p), lambda h: seen(h["type"], h["severity"], h["value"]))
+        shown = F.transform(names.of(p), lambda name: seen(name, F.lit(INFO), F.lit("")))
         return F.flatten(F.array(found, shown, F.coalesce(links.outside_hits(p["text"], p["url"], p["service"]), F.array().cast(HITS))))
 
-    page = detect.one_page(F.col("html"), [F.col("service")])
+    page = detect.one_page(pages.sparkSession, F.col("html"), both, [F.col("service")])
     checked = F.flatten(F.array(*[F.coalesce(h, F.array().cast(headers.HITS)) for h in headers.all_hits(pages)]))
-    both = F.concat(detect.bound(page, of), F.transform(checked, lambda h: seen(h["type"], h["severity"], h["value"])))
-    return pages.select("page_id", "service", F.inline(both))
+    told = pages.select("page_id", "service", page.alias("page"), F.transform(checked, lambda h: seen(h["type"], h["severity"], h["value"])).alias("checked"))
+    return told.select("page_id", "service", F.inline(F.concat(detect.bound(F.col("page"), of), "checked")))
 
 
 def audit_all(pages: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""What captured markup holds: links, scripts, images, forms, metadata, comments, addresses. One row per element."""
+"""What captured markup holds: links, scripts, images, forms, metadata, comments, addresses. One row per element.
+
+Tags are those that a reader of the page meets (markup.py): none of comments, scripts and other raw elements.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 from siftwell.functions.patterns import find_all, find_first
 from siftwell.functions.rules import EMAIL
 
+from .markup import comments_only, tags_only
 from .urls import link_class, resolve
 
 A_HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
@@ -34,21 +38,21 @@ def _each(pages: DataFrame, found: Column, name: str) -> DataFrame:
 
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, service, url, pos, href, target, class); targets that are no pages are left out."""
-    each = _each(pages, find_all(F.col("html"), A_HREF, 1), "href").withColumn("target", resolve(F.col("url"), F.col("href")))
+    each = _each(pages, find_all(tags_only(F.col("html")), A_HREF, 1), "href").withColumn("target", resolve(F.col("url"), F.col("href")))
     return each.filter("target IS NOT NULL").withColumn("class", link_class(F.col("target"), F.col("service")))
 
 
 def scripts(pages: DataFrame) -> DataFrame:
-    return _each(pages, find_all(F.col("html"), SCRIPT_SRC, 1), "src")
+    return _each(pages, find_all(tags_only(F.col("html")), SCRIPT_SRC, 1), "src")
 
 
 def images(pages: DataFrame) -> DataFrame:
-    return _each(pages, F.array_union(find_all(F.col("html"), IMG_SRC, 1), find_all(F.col("html"), ICON, 1)), "src")
+    return _each(pages, F.flatten(F.transform(F.array(tags_only(F.col("html"))), lambda m: F.array_union(find_all(m, IMG_SRC, 1), find_all(m, ICON, 1)))), "src")
 
 
 def forms(pages: DataFrame) -> DataFrame:
     """(…, form, action, method)."""
-    each = _each(pages, find_all(F.col("html"), FORM), "form")
+    each = _each(pages, find_all(tags_only(F.col("html")), FORM), "form")
     tag = F.regexp_extract("form", r"(?i)^<form[^>]*>", 0)
     return each.select("page_id", "service", "url", "pos", "form", F.coalesce(attribute(tag, "action"), F.lit("")).alias("action"), F.upper(F.coalesce(attribute(tag, "method"), F.lit("GET"))).alias("method"))
 
@@ -63,17 +67,17 @@ def form_fields(pages: DataFrame) -> DataFrame:
 
 def meta_tags(pages: DataFrame) -> DataFrame:
     """(page_id, name, content): by name, else property; the last of a name wins."""
-    each = _each(pages, find_all(F.col("html"), META), "tag")
+    each = _each(pages, find_all(tags_only(F.col("html")), META), "tag")
     each = each.select("page_id", "pos", F.coalesce(attribute(F.col("tag"), "name"), attribute(F.col("tag"), "property")).alias("name"), F.coalesce(attribute(F.col("tag"), "content"), F.lit("")).alias("content"))
     return each.filter("name IS NOT NULL").groupBy("page_id", "name").agg(F.max_by("content", "pos").alias("content"))
 
 
 def comments(pages: DataFrame) -> DataFrame:
-    return _each(pages, find_all(F.col("html"), COMMENT, 1), "comment")
+    return _each(pages, find_all(comments_only(F.col("html")), COMMENT, 1), "comment")
 
 
 def titles(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "service", "url", F.trim(F.coalesce(find_first(F.col("html"), TITLE, 1), F.lit(""))).alias("title"))
+    return pages.select("page_id", "service", "url", F.trim(F.coalesce(find_first(tags_only(F.col("html")), TITLE, 1), F.lit(""))).alias("title"))
 
 
 def emails(pages: DataFrame) -> DataFrame:
@@ -86,7 +90,7 @@ def onion_addresses(pages: DataFrame) -> DataFrame:
 
 def pdf_links(pages: DataFrame) -> DataFrame:
     """(page_id, target): hrefs of PDF files and pages that are themselves one."""
-    linked = _each(pages, find_all(F.col("html"), PDF, 1), "href").select("page_id", resolve(F.col("url"), F.col("href")).alias("target"))
+    linked = _each(pages, find_all(tags_only(F.col("html")), PDF, 1), "href").select("page_id", resolve(F.col("url"), F.col("href")).alias("target"))
     own = pages.filter(F.col("url").rlike(r"(?i)\.pdf(?:\?.*)?$")).select("page_id", F.col("url").alias("target"))
     return linked.union(own).filter("target IS NOT NULL").distinct()
 

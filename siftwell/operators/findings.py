@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import dims
-from siftwell.functions.rules import SEVERITIES
+from siftwell.functions.rules import INFO, SEVERITIES
 
 
 def dedup_worst(findings: DataFrame, scope: list[str]) -> DataFrame:
@@ -37,18 +37,22 @@ def enriched(findings: DataFrame) -> DataFrame:
 
 
 def identifiers(findings: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, type, values, n): the distinct values of each type; pairs are made distinct before the lists are built."""
-    each = findings.select(*scope, "type", "value").distinct()
-    return each.groupBy(*scope, "type").agg(F.array_sort(F.collect_list("value")).alias("values"), F.count("*").alias("n"))
+    """(scope, type, value): the distinct values of each type, a row each, so that none grows with a hot scope."""
+    return findings.select(*scope, "type", "value").distinct()
+
+
+def identifier_counts(findings: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, type, n): how many distinct values of each type."""
+    return identifiers(findings, scope).groupBy(*scope, "type").agg(F.count("*").alias("n"))
 
 
 def rolled_up(findings: DataFrame) -> DataFrame:
     """(service, type, title, severity, value): the distinct identifiers of each service as typed findings, with the type's own severity."""
     spark = findings.sparkSession
     names = spark.createDataFrame([(k, t, title) for k, (t, title) in dims.ROLLED_UP.items()], "from_type string, to_type string, to_title string")
-    levels = dims.finding_types(spark).select(F.col("type").alias("to_type"), "map_severity").distinct()
-    each = findings.select("service", F.col("type").alias("from_type"), "value").distinct().join(F.broadcast(names.join(levels, "to_type")), "from_type")
-    return each.select("service", F.col("to_type").alias("type"), F.col("to_title").alias("title"), F.col("map_severity").alias("severity"), "value").distinct()
+    levels = dims.finding_types(spark).filter("type = map_type").select(F.col("type").alias("to_type"), "map_severity").distinct()
+    each = findings.select("service", F.col("type").alias("from_type"), "value").distinct().join(F.broadcast(names.join(levels, "to_type", "left")), "from_type")
+    return each.select("service", F.col("to_type").alias("type"), F.col("to_title").alias("title"), F.coalesce("map_severity", F.lit(INFO)).alias("severity"), "value").distinct()
 
 
 def at_least(findings: DataFrame, severity: int) -> DataFrame:
@@ -61,6 +65,14 @@ def platform_of(names: DataFrame, column: str) -> DataFrame:
     return names.join(F.broadcast(dims.platforms(names.sparkSession)), F.lower(F.trim(column)) == F.col("alias"), "left").drop("alias")
 
 
+def kind_of(names: DataFrame, column: str, family: str) -> DataFrame:
+    """names with kind, severity, cloud and currency of a free-form name of one family (social, analytics, address); an unknown name has no kind and the family's own severity."""
+    other = {"social": dims.UNKNOWN_SOCIAL, "analytics": dims.UNKNOWN_ANALYTICS, "address": dims.UNKNOWN_ADDRESS}[family]
+    known = F.broadcast(dims.kinds(names.sparkSession).filter(F.col("family") == family).drop("family"))
+    out = names.join(known, names[column] == known["name"], "left").drop("name") if column != "name" else names.join(known, "name", "left")
+    return out.withColumn("severity", F.coalesce("severity", F.lit(other))).withColumn("cloud", F.coalesce("cloud", F.lit(True)) if family == "analytics" else F.col("cloud"))
+
+
 def risk_score(row: str = "") -> Column:
     weights = {"critical_count": 100, "high_count": 50, "medium_count": 10, "low_count": 5, "info_count": 1}
     total = F.lit(0)

@@ -25,6 +25,11 @@ def value(name: str) -> Column:
     return F.nullif(F.get(F.col("headers")[name], 0), F.lit(""))
 
 
+def values(name: str) -> Column:
+    """All values of a header, whatever the case of its name; null if there is none."""
+    return F.col("headers")[name.lower()]
+
+
 def _hits(checks: list[tuple[str, Column | int, Column, Column]]) -> Column:
     """Array of (type, severity, value) of the checks (type, severity, test, value) that hold."""
     return F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), _hit(F.lit(t), s, v)) for t, s, test, v in checks]))

@@ -72,3 +72,31 @@ def risk_change(before: DataFrame, after: DataFrame) -> DataFrame:
     now, then = risk_score("a_"), risk_score("b_")
     direction = F.when(now < then, "IMPROVED (risk decreased)").when(now > then, "WORSENED (risk increased)").otherwise("UNCHANGED")
     return both.select("service", *[delta_text(d).alias(n.replace("_count", "_delta")) for n, d in delta.items()], direction.alias("direction"))
+
+
+def as_of_baselines(scans: DataFrame, asked: DataFrame, part: str = "MONTH") -> DataFrame:
+    """asked (service, since, and what else it has) with baseline_id and baseline_at: the service's first scan at since or later; null without one.
+
+    Scans and requests are put into one line by time, and a running value carries each scan back to the requests before it.
+    Lines are cut by service and calendar part, so a hot service is no single group; a request without a scan in its own
+    part takes the first scan of the next one that has any, from a table of a row per service and part.
+    """
+    one = F.struct(F.col("scanned_at").alias("at"), F.col("scan_id").alias("id"))
+    marks = scans.select("service", F.date_trunc(part, "scanned_at").alias("part"), F.col("scanned_at").alias("at"), one.alias("scan"), F.lit(None).cast(asked.select(F.struct("*")).schema[0].dataType).alias("ask"))
+    asks = asked.select("service", F.date_trunc(part, "since").alias("part"), F.col("since").alias("at"), F.lit(None).cast("struct<at:timestamp,id:bigint>").alias("scan"), F.struct(*[F.col(c) for c in asked.columns]).alias("ask"))
+    line = marks.select("service", "part", "at", F.col("scan").cast("struct<at:timestamp,id:bigint>").alias("scan"), "ask").unionByName(asks)
+    back = Window.partitionBy("service", "part").orderBy(F.desc("at"), F.col("scan").isNull(), F.desc("scan")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = line.withColumn("first", F.last("scan", ignorenulls=True).over(back)).filter("ask IS NOT NULL")
+    firsts = line.groupBy("service", "part").agg(F.min("scan").alias("scan"))
+    later = Window.partitionBy("service").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    after = firsts.select("service", "part", F.last("scan", ignorenulls=True).over(later).alias("next"))
+    joined = found.join(after, ["service", "part"], "left").withColumn("got", F.coalesce("first", "next"))
+    return joined.select("ask.*", F.col("got.id").alias("baseline_id"), F.col("got.at").alias("baseline_at"))
+
+
+def every_baseline(scans: DataFrame, since: Column) -> DataFrame:
+    """(service, scan_id, since, baseline_id, baseline_at): for every scan its service's oldest earlier scan at since or later; since is an expression over scans."""
+    asked = scans.select("service", "scan_id", F.col("scanned_at").cast("timestamp").alias("scanned_at"), since.cast("timestamp").alias("since"))
+    got = as_of_baselines(scans.select("service", "scan_id", F.col("scanned_at").cast("timestamp").alias("scanned_at")), asked)
+    earlier = F.struct(F.col("baseline_at").alias("at"), F.col("baseline_id").alias("id")) < F.struct(F.col("scanned_at").alias("at"), F.col("scan_id").alias("id"))
+    return got.select("service", "scan_id", "since", F.when(earlier, F.col("baseline_id")).alias("baseline_id"), F.when(earlier, F.col("baseline_at")).alias("baseline_at"))

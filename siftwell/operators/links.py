@@ -10,6 +10,7 @@ from siftwell.functions.rules import HIGH, MEDIUM
 from siftwell.sources.captures import host
 
 from . import extract
+from .markup import tags_only
 from .urls import resolve
 
 # Fixed values.
@@ -35,11 +36,14 @@ def outside_hits(html: Column, url: Column, service: Column) -> Column:
         one = lambda e: F.struct(F.lit(type_).alias("type"), (_level(e["h"]) if type_ == "clearnet_link" else F.lit(HIGH)).cast("int").alias("severity"), (e["h"] if type_ == "clearnet_link" else e["x"]).alias("value"), e["h"].alias("key"), e["i"].alias("pos"))
         return F.transform(out, one)
 
-    targets = F.transform(find_all(html, extract.A_HREF, 1), lambda x: resolve(url, x))
-    actions = F.transform(find_all(html, extract.FORM), lambda x: F.coalesce(extract.attribute(F.regexp_extract(x, r"(?i)^<form[^>]*>", 0), "action"), F.lit("")))
-    leaks = F.filter(actions, lambda x: F.lower(x).rlike("^https?://") & ~F.lower(x).contains(".onion"))
-    posted = F.transform(leaks, lambda x, i: F.struct(F.lit("form_action_leak").alias("type"), F.lit(HIGH).alias("severity"), x.alias("value"), x.alias("key"), i.alias("pos")))
-    return F.concat(found("clearnet_link", targets), found("external_script", find_all(html, extract.SCRIPT_SRC, 1)), found("external_image", F.array_union(find_all(html, extract.IMG_SRC, 1), find_all(html, extract.ICON, 1))), posted)
+    def of(tags: Column) -> Column:
+        targets = F.transform(find_all(tags, extract.A_HREF, 1), lambda x: resolve(url, x))
+        actions = F.transform(find_all(tags, extract.FORM), lambda x: F.coalesce(extract.attribute(F.regexp_extract(x, r"(?i)^<form[^>]*>", 0), "action"), F.lit("")))
+        leaks = F.filter(actions, lambda x: F.lower(x).rlike("^https?://") & ~F.lower(x).contains(".onion"))
+        posted = F.transform(leaks, lambda x, i: F.struct(F.lit("form_action_leak").alias("type"), F.lit(HIGH).alias("severity"), x.alias("value"), x.alias("key"), i.alias("pos")))
+        return F.concat(found("clearnet_link", targets), found("external_script", find_all(tags, extract.SCRIPT_SRC, 1)), found("external_image", F.array_union(find_all(tags, extract.IMG_SRC, 1), find_all(tags, extract.ICON, 1))), posted)
+
+    return F.flatten(F.transform(F.array(tags_only(html)), of))
 
 
 def clearnet_links(pages: DataFrame) -> DataFrame:
@@ -65,4 +69,5 @@ def form_leaks(pages: DataFrame) -> DataFrame:
 
 
 def related_domains(pages: DataFrame) -> DataFrame:
-    return clearnet_links(pages).groupBy("service").agg(F.array_sort(F.collect_set("value")).alias("domains"))
+    """(service, domain): the outside domains of each service, a row each."""
+    return clearnet_links(pages).select("service", F.col("value").alias("domain"))

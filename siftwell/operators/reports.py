@@ -20,7 +20,12 @@ def cell(value: Column, most: int) -> Column:
 
 
 def rows(findings: DataFrame) -> DataFrame:
-    return findings.select("severity", "title", cell(F.col("value"), 50).alias("value"), cell(F.col("location"), 40).alias("location"))
+    """(service, severity, title, value, location, recommendation), as a report shows them: worst first within a service, then as they were found.
+
+    The order is a sort by ranges over the whole table, so a hot service is spread over tasks.
+    """
+    shown = findings.select("service", "severity", "seq", cell(F.col("title"), 60).alias("title"), cell(F.col("value"), 50).alias("value"), cell(F.col("location"), 40).alias("location"), cell(F.col("recommendation"), 60).alias("recommendation"))
+    return shown.orderBy("service", F.desc("severity"), "seq", "title", "value").drop("seq")
 
 
 def alert() -> Column:

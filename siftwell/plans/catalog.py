@@ -47,6 +47,14 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 P = f"WITH p AS ({seeds.sql_pages()}) "
 PLAIN = "WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS service, html FROM pages) "
+_raw = "script|style|textarea|noscript|iframe|noembed|noframes|xmp"
+_quotes = """(?:[^>"']|"[^"]*"|'[^']*')*"""
+_bare = f"(<(?:{_raw})(?:[\\s/]{_quotes})?>).*?(</(?:{_raw})\\s*>)|(<title[^>]*>[^<]*).*?(</title\\s*>)|(</?[a-z]{_quotes}>)"
+#: html without comments and what raw elements hold, and html's comments alone.
+TAGS_SQL = f"regexp_replace(html, {quoted('(?is)<!--.*?-->|' + _bare)}, '\\1\\2\\3\\4\\5', 'g')"
+COMMENTS_SQL = f"regexp_replace(html, {quoted('(?is)(<!--.*?-->)|' + _bare)}, '\\1', 'g')"
+TAGS = f"WITH p AS (SELECT * REPLACE ({TAGS_SQL} AS html) FROM ({seeds.sql_pages()})) "
+PLAIN_TAGS = PLAIN.replace(", html FROM", f", {TAGS_SQL} AS html FROM")
 DOCS = "WITH p AS (SELECT doc_id AS page_id, source AS service, CAST(doc_id AS VARCHAR) AS url, text AS html FROM documents) "
 LEVELS = "[" + ", ".join(map(quoted, R.SEVERITIES)) + "]"
 
@@ -80,9 +88,9 @@ def ipv4_findings(spark, d):
     return detect.ipv4(documents(spark, d)).select("page_id", "service", "value")
 
 
-@query(DOCS + f", f AS ({IPV4_SQL}) SELECT value, count(DISTINCT service) AS n, array_to_string(list_sort(list(DISTINCT service)), ',') AS services FROM f GROUP BY value HAVING count(DISTINCT service) > 1")
+@query(DOCS + f", f AS ({IPV4_SQL}) SELECT value, count(DISTINCT service) AS n, min(service) AS first, max(service) AS last FROM f GROUP BY value HAVING count(DISTINCT service) > 1")
 def ipv4_shared_across_sources(spark, d):
-    return edges.shared(detect.ipv4(documents(spark, d))).select("value", "n", F.array_join("services", ",").alias("services"))
+    return edges.shared(detect.ipv4(documents(spark, d))).select("value", "n", "first", "last")
 
 
 # --- pattern families ---------------------------------------------------------------------------------------------
@@ -196,22 +204,22 @@ def each_sql(shape: str, group: int, name: str) -> str:
     return f"SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS {name} FROM (SELECT page_id, regexp_extract_all(html, {quoted(shape)}, {group}) AS l FROM p)"
 
 
-@query(P + each_sql(extract.SCRIPT_SRC, 1, "src"))
+@query(TAGS + each_sql(extract.SCRIPT_SRC, 1, "src"))
 def page_scripts(spark, d):
     return extract.scripts(pages(spark, d)).select("page_id", "pos", "src")
 
 
-@query(P + f"SELECT page_id, unnest(list_distinct(regexp_extract_all(html, {quoted(extract.IMG_SRC)}, 1) || regexp_extract_all(html, {quoted(extract.ICON)}, 1))) AS src FROM p")
+@query(TAGS + f"SELECT page_id, unnest(list_distinct(regexp_extract_all(html, {quoted(extract.IMG_SRC)}, 1) || regexp_extract_all(html, {quoted(extract.ICON)}, 1))) AS src FROM p")
 def page_images(spark, d):
     return extract.images(pages(spark, d)).select("page_id", "src")
 
 
-@query(P + each_sql(extract.COMMENT, 1, "comment"))
+@query(P.replace("WITH p AS (", f"WITH p AS (SELECT * REPLACE ({COMMENTS_SQL} AS html) FROM (", 1).rstrip() + ") " + each_sql(extract.COMMENT, 1, "comment"))
 def page_comments(spark, d):
     return extract.comments(pages(spark, d)).select("page_id", "pos", "comment")
 
 
-@query(P + f"SELECT page_id, trim(regexp_extract(html, {quoted(extract.TITLE)}, 1)) AS title FROM p")
+@query(TAGS + f"SELECT page_id, trim(regexp_extract(html, {quoted(extract.TITLE)}, 1)) AS title FROM p")
 def page_title(spark, d):
     return extract.titles(pages(spark, d)).select("page_id", "title")
 
@@ -220,7 +228,7 @@ def attr_sql(tag: str, name: str) -> str:
     return f"nullif(regexp_extract({tag}, '(?i)\\s{name}\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1), '')"
 
 
-@query(P + f"SELECT page_id, name, arg_max(content, pos) AS content FROM (SELECT page_id, pos, coalesce({attr_sql('tag', 'name')}, {attr_sql('tag', 'property')}) AS name, coalesce({attr_sql('tag', 'content')}, '') AS content FROM ({each_sql(extract.META, 0, 'tag')})) WHERE name IS NOT NULL GROUP BY page_id, name")
+@query(TAGS + f"SELECT page_id, name, arg_max(content, pos) AS content FROM (SELECT page_id, pos, coalesce({attr_sql('tag', 'name')}, {attr_sql('tag', 'property')}) AS name, coalesce({attr_sql('tag', 'content')}, '') AS content FROM ({each_sql(extract.META, 0, 'tag')})) WHERE name IS NOT NULL GROUP BY page_id, name")
 def page_meta(spark, d):
     return extract.meta_tags(pages(spark, d))
 
@@ -228,17 +236,17 @@ def page_meta(spark, d):
 _forms = f"SELECT page_id, pos, form, coalesce({attr_sql('head', 'action')}, '') AS action, upper(coalesce({attr_sql('head', 'method')}, 'GET')) AS method FROM (SELECT *, regexp_extract(form, '(?i)^<form[^>]*>') AS head FROM ({each_sql(extract.FORM, 0, 'form')}))"
 
 
-@query(P + f"SELECT page_id, pos, action, method FROM ({_forms})")
+@query(TAGS + f"SELECT page_id, pos, action, method FROM ({_forms})")
 def page_forms(spark, d):
     return extract.forms(pages(spark, d)).select("page_id", "pos", "action", "method")
 
 
-@query(P + f"SELECT page_id, pos, field, name, CASE WHEN kind = 'input' THEN coalesce({attr_sql('tag', 'type')}, 'text') ELSE kind END AS type FROM (SELECT *, lower(regexp_extract(tag, '(?i)^<([a-z]+)', 1)) AS kind, {attr_sql('tag', 'name')} AS name FROM (SELECT page_id, pos, generate_subscripts(l, 1) - 1 AS field, unnest(l) AS tag FROM (SELECT page_id, pos, regexp_extract_all(form, {quoted(extract.FIELD)}) AS l FROM ({_forms})))) WHERE name IS NOT NULL")
+@query(TAGS + f"SELECT page_id, pos, field, name, CASE WHEN kind = 'input' THEN coalesce({attr_sql('tag', 'type')}, 'text') ELSE kind END AS type FROM (SELECT *, lower(regexp_extract(tag, '(?i)^<([a-z]+)', 1)) AS kind, {attr_sql('tag', 'name')} AS name FROM (SELECT page_id, pos, generate_subscripts(l, 1) - 1 AS field, unnest(l) AS tag FROM (SELECT page_id, pos, regexp_extract_all(form, {quoted(extract.FIELD)}) AS l FROM ({_forms})))) WHERE name IS NOT NULL")
 def page_form_fields(spark, d):
     return extract.form_fields(pages(spark, d)).select("page_id", "pos", "field", "name", "type")
 
 
-@query(P + f"SELECT page_id, action AS value FROM ({_forms}) WHERE regexp_matches(lower(action), '^https?://') AND NOT contains(lower(action), '.onion')")
+@query(TAGS + f"SELECT page_id, action AS value FROM ({_forms}) WHERE regexp_matches(lower(action), '^https?://') AND NOT contains(lower(action), '.onion')")
 def form_leaks(spark, d):
     return links.form_leaks(pages(spark, d)).select("page_id", "value")
 
@@ -254,12 +262,12 @@ FROM (SELECT page_id, url, service, generate_subscripts(l, 1) - 1 AS pos, unnest
 HOST_SQL = "lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1))"
 
 
-@query(P + f"SELECT page_id, pos, href, target FROM ({LINKS_SQL}) WHERE target IS NOT NULL")
+@query(TAGS + f"SELECT page_id, pos, href, target FROM ({LINKS_SQL}) WHERE target IS NOT NULL")
 def page_links(spark, d):
     return extract.links(pages(spark, d)).select("page_id", "pos", "href", "target")
 
 
-@query(P + f"SELECT class, count(*) AS n FROM (SELECT CASE WHEN {HOST_SQL.format('target')} = service THEN 'internal' WHEN ends_with({HOST_SQL.format('target')}, '.onion') THEN 'hidden_service' ELSE 'clearnet' END AS class FROM ({LINKS_SQL}) WHERE target IS NOT NULL) GROUP BY class")
+@query(TAGS + f"SELECT class, count(*) AS n FROM (SELECT CASE WHEN {HOST_SQL.format('target')} = service THEN 'internal' WHEN ends_with({HOST_SQL.format('target')}, '.onion') THEN 'hidden_service' ELSE 'clearnet' END AS class FROM ({LINKS_SQL}) WHERE target IS NOT NULL) GROUP BY class")
 def link_class_counts(spark, d):
     return extract.links(pages(spark, d)).groupBy("class").agg(F.count("*").alias("n"))
 
@@ -268,14 +276,14 @@ _social_hosts = " OR ".join(f"contains(value, {quoted(x)})" for x in links.SOCIA
 CLEARNET_SQL = f"SELECT service, value, min(page_id) AS page_id, CASE WHEN {_social_hosts} THEN 3 ELSE 2 END AS severity FROM (SELECT service, page_id, {HOST_SQL.format('target')} AS value FROM ({LINKS_SQL}) WHERE target IS NOT NULL) WHERE value <> '' AND value <> service AND NOT ends_with(value, '.onion') GROUP BY service, value"
 
 
-@query(P + CLEARNET_SQL)
+@query(TAGS + CLEARNET_SQL)
 def clearnet_links(spark, d):
     return links.clearnet_links(pages(spark, d))
 
 
-@query(P + f"SELECT service, array_to_string(list_sort(list(DISTINCT value)), ',') AS domains FROM ({CLEARNET_SQL}) GROUP BY service")
+@query(TAGS + f"SELECT DISTINCT service, value AS domain FROM ({CLEARNET_SQL})")
 def related_domains(spark, d):
-    return links.related_domains(pages(spark, d)).select("service", F.array_join("domains", ",").alias("domains"))
+    return links.related_domains(pages(spark, d))
 
 
 @query(P + f"SELECT page_id, pos, lower(a) AS address FROM (SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS a FROM (SELECT page_id, regexp_extract_all(lower(html), {quoted(extract.ONION)}) AS l FROM p))")
@@ -457,7 +465,8 @@ def has_critical_high(spark, d):
     return findings.by_severity(found(spark, d), ["service"]).select("service", "has_critical", "has_high")
 
 
-_map = ", ".join(f"({quoted(a)}, {quoted(t)}, {s}, {quoted(dims.IMPACT[s])}, {quoted(dims.ADVICE[s])})" for a, t, s in (("email", "email_address", 2), ("clearnet_ip", "clearnet_ip", 4)))
+_map = """('email', 'email_address', 2, 'The same address elsewhere joins this service with a person.', 'Use an address made for this service, or none.'),
+('clearnet_ip', 'clearnet_ip', 4, 'An address of the ordinary internet can lead to the machine and its owner.', 'Delete the address and look for what puts it into pages.')"""
 
 
 @query(f"SELECT service, value, seq, severity, {LEVELS}[severity + 1] AS severity_text, map_type, map_severity, impact, recommendation FROM ({FOUND_SQL}) JOIN (VALUES {_map}) AS m(type, map_type, map_severity, impact, recommendation) USING (type)")
@@ -465,14 +474,19 @@ def findings_enriched(spark, d):
     return findings.enriched(found(spark, d)).select("service", "value", "seq", "severity", "severity_text", "map_type", "map_severity", "impact", "recommendation")
 
 
-@query(f'SELECT service, type, array_to_string(list_sort(list(DISTINCT value)), \',\') AS "values", count(DISTINCT value) AS n FROM ({FOUND_SQL}) GROUP BY service, type')
+@query(f"SELECT DISTINCT service, type, value FROM ({FOUND_SQL})")
 def identifier_sets(spark, d):
-    return findings.identifiers(found(spark, d), ["service"]).select("service", "type", F.array_join("values", ",").alias("values"), "n")
+    return findings.identifiers(found(spark, d), ["service"])
 
 
-@query(f"SELECT type, value, count(DISTINCT service) AS n, array_to_string(list_sort(list(DISTINCT service)), ',') AS services FROM ({FOUND_SQL}) GROUP BY type, value HAVING count(DISTINCT service) > 1")
+@query(f"SELECT service, type, count(DISTINCT value) AS n FROM ({FOUND_SQL}) GROUP BY service, type")
+def identifier_counts(spark, d):
+    return findings.identifier_counts(found(spark, d), ["service"])
+
+
+@query(f"SELECT type, value, count(DISTINCT service) AS n, min(service) AS first, max(service) AS last FROM ({FOUND_SQL}) GROUP BY type, value HAVING count(DISTINCT service) > 1")
 def shared_identifiers(spark, d):
-    return edges.shared(found(spark, d)).select("type", "value", "n", F.array_join("services", ",").alias("services"))
+    return edges.shared(found(spark, d))
 
 
 @query(f"SELECT DISTINCT f.type, f.value, h.hub, f.service FROM ({FOUND_SQL}) f JOIN (SELECT type, value, min(service) AS hub FROM ({FOUND_SQL}) GROUP BY ALL) h USING (type, value) WHERE f.service <> h.hub")
@@ -595,7 +609,7 @@ def redact_cookies(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import extra, more, scans  # noqa: F401  they register their queries
+    from . import extra, mechanisms, more, scans  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 

@@ -13,7 +13,7 @@ from siftwell.sources import captures
 from siftwell.streaming import feed
 
 from . import seeds
-from .catalog import FOUND_SQL, KEEP, LINKS_SQL, PLAIN, SHOWN, P, emails_sql, family_sql, found, pages, plain, query
+from .catalog import FOUND_SQL, KEEP, LINKS_SQL, PLAIN, PLAIN_TAGS, SHOWN, TAGS, P, emails_sql, family_sql, found, pages, plain, query
 from .seeds import quoted
 
 _TAGS = [(t, kind, s) for (kind, s), names in files.TAGS.items() for t in names] + [("ColorSpace", None, 0)]
@@ -48,7 +48,7 @@ def inline_images(spark, d):
     return extract.inline_images(pages(spark, d))
 
 
-@query(P + f"SELECT DISTINCT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || x AS target FROM (SELECT page_id, url, unnest(regexp_extract_all(html, {quoted(extract.PDF)}, 1)) AS x FROM p)")
+@query(TAGS + f"SELECT DISTINCT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || x AS target FROM (SELECT page_id, url, unnest(regexp_extract_all(html, {quoted(extract.PDF)}, 1)) AS x FROM p)")
 def pdf_links(spark, d):
     return extract.pdf_links(pages(spark, d))
 
@@ -58,7 +58,7 @@ def first_visits(spark, d):
     return urls.first_visits(plain(spark, d)).select("service", "canon", "page_id")
 
 
-@query(PLAIN + f", t AS ({LINKS_SQL}) SELECT service, pages, urls_seen FROM (SELECT service, count(*) AS pages FROM p GROUP BY service) JOIN (SELECT service, count(DISTINCT regexp_replace(u, '#.*', '')) AS urls_seen FROM (SELECT service, url AS u FROM p UNION ALL SELECT service, target FROM t WHERE target IS NOT NULL) GROUP BY service) USING (service)")
+@query(PLAIN_TAGS + f", t AS ({LINKS_SQL}) SELECT service, pages, urls_seen FROM (SELECT service, count(*) AS pages FROM p GROUP BY service) JOIN (SELECT service, count(DISTINCT regexp_replace(u, '#.*', '')) AS urls_seen FROM (SELECT service, url AS u FROM p UNION ALL SELECT service, target FROM t WHERE target IS NOT NULL) GROUP BY service) USING (service)")
 def crawl_stats(spark, d):
     p = plain(spark, d)
     return urls.crawl_stats(p, extract.links(p).select("service", F.col("target").alias("dst")))

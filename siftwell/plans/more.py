@@ -8,7 +8,7 @@ from siftwell.functions import rules as R
 from siftwell.operators import audit, detect, extract, findings, headers, history, links, urls
 
 from . import extra  # noqa: F401  (its SQL is part of the audit's)
-from .catalog import FOUND_SQL, IPV4_SQL, ORACLES, P, found, pages, query
+from .catalog import FOUND_SQL, IPV4_SQL, ORACLES, TAGS, P, found, pages, query
 from .seeds import quoted
 
 #: Written out from the pages that the seeds make: what of each type must be found under which title.
@@ -56,7 +56,7 @@ _out = f"""SELECT service, type, arg_min(src, (page_id, pos)) AS value, min(page
 )) WHERE h <> '' AND NOT ends_with(h, '.onion') AND h <> service GROUP BY service, type, h"""
 
 
-@query(P + _out)
+@query(TAGS + _out)
 def outer_elements(spark, d):
     """Scripts and images from outside, one per service and host."""
     return links.outer_elements(pages(spark, d))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 SNAPSHOT_BYTES = 512 * 1024
 RAW_BYTES = 5 * 1024 * 1024
 
-REPORT = "service string, scan_id long, scanned_at timestamp, findings array<struct<type:string,severity:int,title:string,value:string,location:string>>"
+REPORT = "service string, scan_id long, part int, scanned_at timestamp, findings array<struct<type:string,severity:int,title:string,value:string,location:string>>"
 
 
 def host(url: Column) -> Column:
@@ -76,10 +76,18 @@ def write_scan(findings: DataFrame, path: str) -> None:
     findings.hint("rebalance", "scan_id", "service").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path)
 
 
-def reports(findings: DataFrame) -> DataFrame:
-    """One nested report per (service, scan)."""
+#: Findings in one part of a report.
+REPORT_ROWS = 10_000
+
+
+def reports(findings: DataFrame, rows: int = REPORT_ROWS) -> DataFrame:
+    """Nested reports (service, scan_id, part, scanned_at, findings): one per (service, scan), and where it has over rows findings several parts of about so many, numbered from 0."""
     one = F.struct("type", F.col("severity").cast("int").alias("severity"), "title", "value", "location")
-    return findings.groupBy("service", "scan_id").agg(F.max("scanned_at").alias("scanned_at"), F.array_sort(F.collect_list(one)).alias("findings"))
+    sizes = findings.groupBy("service", "scan_id").agg(F.count("*").alias("n"))
+    large = sizes.filter(F.col("n") > rows).select("service", "scan_id", F.ceil(F.col("n") / rows).cast("int").alias("parts"))
+    each = findings.join(large, ["service", "scan_id"], "left")
+    part = F.pmod(F.xxhash64("type", "value", "location"), F.coalesce("parts", F.lit(1))).cast("int")
+    return each.groupBy("service", "scan_id", part.alias("part")).agg(F.max("scanned_at").alias("scanned_at"), F.array_sort(F.collect_list(one)).alias("findings"))
 
 
 def write_report_json(report: DataFrame, path: str, version: str | None = None) -> None:
@@ -88,11 +96,13 @@ def write_report_json(report: DataFrame, path: str, version: str | None = None)
 
 
 def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(scans, findings) from report lines; malformed lines are left out."""
+    """(scans, findings) from report lines, plain or wrapped with a version; malformed lines are left out. A scan in several parts is one scan."""
     lines = spark.read.text(path)
-    parsed = lines.select(F.from_json("value", REPORT + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+    bare = F.coalesce(F.get_json_object("value", "$.report"), F.col("value"))
+    parsed = lines.select(F.get_json_object("value", "$.version").alias("version"), F.from_json(bare, REPORT + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("version", "r.*")
     good = parsed.filter("_corrupt_record IS NULL AND service IS NOT NULL").drop("_corrupt_record")
-    return good.drop("findings"), good.select("service", "scan_id", "scanned_at", F.inline("findings"))
+    scans = good.groupBy("service", "scan_id").agg(F.max("scanned_at").alias("scanned_at"), F.max("version").alias("version"))
+    return scans, good.select("service", "scan_id", "scanned_at", F.inline("findings"))
 
 
 def write_all(frame: DataFrame, sinks: list) -> None:

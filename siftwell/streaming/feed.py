@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.operators.urls import canonical
-
 
 def captures(spark: SparkSession, folder: str, schema, files_per_batch: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
@@ -19,10 +17,6 @@ def recent_once(stream: DataFrame, ts: str, keys: list[str], window: str) -> Dat
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, window).dropDuplicatesWithinWatermark(keys)
 
 
-def canonical_stream(stream: DataFrame) -> DataFrame:
-    return stream.withColumn("canon", canonical(F.col("url")))
-
-
 def findings_to(stream: DataFrame, detector: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
     """Write a detector's findings batch by batch; a batch that is run again overwrites its own folder."""
 

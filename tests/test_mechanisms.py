@@ -1,0 +1,310 @@
+"""The crawl search, markup, batches with failures, the feed, stored tables, baselines, masking and matching against plain Python."""
+
+import collections
+import datetime as dt
+import os
+import random
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from siftwell.functions import rules as R
+from siftwell.functions.patterns import python
+from siftwell.operators import batch, crawl, detect, edges, extract, findings, history, markup, matching, redact
+from siftwell.plans import seeds
+from siftwell.sources import captures, stores
+from siftwell.streaming import feed, recency
+
+# --- crawl --------------------------------------------------------------------------------------------------------
+
+
+def queue(links, start, max_depth, budget, answers):
+    out = []
+    for service, nodes in start.items():
+        seen, taken, line = set(), 0, collections.deque((n, 0) for n in nodes)
+        while line and taken < budget:
+            node, depth = line.popleft()
+            if node in seen:
+                continue
+            seen.add(node)
+            if (service, node) not in answers:
+                continue
+            taken += 1
+            out.append((service, node, depth, taken))
+            if depth < max_depth:
+                line.extend((d, depth + 1) for d in links.get((service, node), []) if d not in seen)
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("seed", "budget", "depth"), [(1, 12, 4), (2, 1, 3), (3, 500, 2), (4, 40, 6)])
+def test_search_is_a_queue_with_a_budget(spark, seed, budget, depth):
+    rng = random.Random(seed)
+    links = {(s, n): [rng.randrange(60) for _ in range(rng.randrange(7))] for s in "abc" for n in range(60)}
+    start = {"a": [3, 5], "b": [0], "c": list(range(20))}
+    answers = {(s, n) for s in "abc" for n in range(60) if rng.random() < 0.8}
+    rows = [(s, n, pos, d) for (s, n), out in links.items() for pos, d in enumerate(out)]
+    frame = spark.createDataFrame(rows, "service string, src int, pos int, dst int")
+    first = spark.createDataFrame([(s, n, i) for s, nodes in start.items() for i, n in enumerate(nodes)], "service string, node int, pos int")
+    got = crawl.search(frame, first, depth, budget, spark.createDataFrame(sorted(answers), "service string, node int")).collect()
+    assert sorted(tuple(r) for r in got) == queue(links, start, depth, budget, answers)
+    assert max(collections.Counter((r.service, r.depth) for r in got).values()) <= budget
+
+
+def test_search_of_nothing(spark):
+    none = spark.createDataFrame([], "service string, src int, pos int, dst int")
+    assert crawl.search(none, none.select("service", F.col("src").alias("node"), "pos")).count() == 0
+    one = spark.createDataFrame([("s", 1, 0)], "service string, node int, pos int")
+    assert [tuple(r) for r in crawl.search(none, one).collect()] == [("s", 1, 0, 1)]
+
+
+def test_marks_of_service_and_origin(spark):
+    rows = [("http://A.onion/x", "http://a.ONION/y"), ("http://a.onion/", "http://a.onion:8080/"), ("http://a.onion/", "/relative"), ("http://a.onion/", None), ("http://a.onion/", "http://b.onion/"), ("http://a.onion/", "https://c.example/")]
+    frame = spark.createDataFrame(rows, "base string, url string")
+    got = frame.select(crawl.same_service(F.col("base"), F.col("url")), crawl.may_fetch(F.col("url"), F.lit("a.onion")), crawl.may_fetch(F.col("url"), F.lit("a.onion"), True)).collect()
+    assert [tuple(r) for r in got] == [(True, True, True), (False, True, True), (False, False, False), (False, False, False), (False, False, True), (False, False, False)]
+
+
+# --- markup -------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("html", "tags", "comments"), [
+    ("a<!-- <b> -->c<i>", "ac<i>", "a<!-- <b> -->c"),
+    ("<script>x = '<a href=1>' <!-- </script><a href=2>", "<script></script><a href=2>", "<a"[:0]),
+    ("<!-- open <a>", "", "<!-- open <a>"),
+    ('<a title="<!-- x -->" href=\'>\'>y', '<a title="<!-- x -->" href=\'>\'>y', "y"),
+    ("<scripty><b></scripty>", "<scripty><b></scripty>", ""),
+    ("<TEXTAREA>\n<b>\n</textarea ><b>", "<TEXTAREA></textarea ><b>", ""),
+    ("<title>a & <b>c</title>d", "<title>a & </title>d", "d"),
+    ("<!--><b>x<!---><i>", "<b>x<i>", "<!-->x<!--->"),
+    ("<a href=\"odd><b>", "<a href=\"odd><b>", "<a href=\"odd>"),
+    ("", "", ""),
+])
+def test_what_stands_in_raw_markup_is_no_tag(spark, html, tags, comments):
+    got = spark.createDataFrame([(html,)], "h string").select(markup.tags_only(F.col("h")), markup.comments_only(F.col("h"))).first()
+    assert tuple(got) == (tags, comments)
+
+
+def test_long_markup_needs_no_deep_stack(spark):
+    inside = "<a " + "x='1' y=\"2\" z " * 20000 + "href='/in'>"
+    html = "<!--" + "x" * 300000 + "--><script>" + "<a href='/no'>" * 20000 + "</script>" + inside + "<b" * 20000
+    row = spark.createDataFrame([(1, "s", "http://s/", html), (2, "s", "http://s/", None)], "page_id long, service string, url string, html string")
+    assert row.select(F.length(markup.tags_only(F.col("html")))).first()[0] < len(inside) + 50000
+    assert [r.href for r in extract.links(row.withColumn("html", F.replace("html", F.lit(" z "), F.lit(" ")))).collect()] == ["/in"]
+
+
+# --- batches ------------------------------------------------------------------------------------------------------
+
+PAGES = "page_id long, service string, url string, html string"
+
+
+def sized(bad):
+    def run(pages):
+        value = F.when(F.col("page_id").isin(*bad), F.raise_error(F.lit("no such page")).cast("int")).otherwise(F.length("html"))
+        return pages.select("page_id", "service", "url", F.lit("size").alias("type"), F.lit("Size").alias("title"), F.lit(0).alias("severity"), value.cast("string").alias("value"))
+
+    return run
+
+
+@pytest.fixture
+def own_pages(spark):
+    return spark.createDataFrame([(i, f"s{i % 3}", f"http://s{i % 3}/{i}", f"x{i} a{i}@b.example") for i in range(60)], PAGES)
+
+
+def test_failures_cost_their_pages_alone(own_pages, tmp_path):
+    done = batch.run_steps(own_pages, [batch.Step("size", sized({7, 30})), batch.Step("mail", detect.emails)], str(tmp_path / "b"))
+    assert {(r.page_id, r.service, r.step, r.condition) for r in done.errors.collect()} == {(7, "s1", "size", "USER_RAISED_EXCEPTION"), (30, "s0", "size", "USER_RAISED_EXCEPTION")}
+    assert collections.Counter(r.step for r in done.findings.collect()) == {"size": 58, "mail": 60}
+    assert {r.page_id for r in done.findings.filter("step = 'size'").collect()} == set(range(60)) - {7, 30}
+    assert [(r.step, r.pages, r.findings, r.failed_pages, r.timed_out) for r in done.steps.orderBy("number").collect()] == [("size", 60, 58, 2, False), ("mail", 60, 60, 0, False)]
+    assert not os.listdir(tmp_path / "b" / "scratch")
+
+
+def test_a_failed_service_stops_where_asked(own_pages, tmp_path):
+    done = batch.run_steps(own_pages, [batch.Step("size", sized({7})), batch.Step("mail", detect.emails)], str(tmp_path / "b"), continue_on_error=False)
+    assert {r.service for r in done.findings.filter("step = 'mail'").collect()} == {"s0", "s2"}
+
+
+def test_a_step_that_never_works_ends(own_pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(batch, "MOST_ALONE", 5)
+    done = batch.run_steps(own_pages.filter("page_id < 40"), [batch.Step("size", sized(set(range(60)))), batch.Step("mail", detect.emails)], str(tmp_path / "b"))
+    assert {r.page_id for r in done.errors.collect()} == set(range(40)) and done.findings.count() == 40
+
+
+def test_what_takes_too_long_is_cancelled_and_recorded(own_pages, tmp_path):
+    @F.udf("string")
+    def slow(x):
+        time.sleep(2)
+        return x
+
+    def run(pages):
+        return sized(set())(pages).withColumn("value", slow("value"))
+
+    began = time.monotonic()
+    done = batch.run_steps(own_pages, [batch.Step("mail", detect.emails), batch.Step("slow", run), batch.Step("size", sized(set()))], str(tmp_path / "b"), seconds=12)
+    assert time.monotonic() - began < 40
+    assert [(r.step, r.timed_out, r.error) for r in done.steps.orderBy("number").collect()] == [("mail", False, None), ("slow", True, "timed out")]
+
+
+# --- the feed -----------------------------------------------------------------------------------------------------
+
+
+def test_judgements_do_not_depend_on_batches(spark, tmp_path):
+    rng, start = random.Random(8), dt.datetime(2025, 1, 1)
+    rows = []
+    for n in range(600):
+        arrived = start + dt.timedelta(minutes=n)
+        rows.append((f"s{rng.randrange(2)}", f"/{rng.randrange(6)}", n, arrived - dt.timedelta(minutes=rng.choice([0, 1, 5, 20, 200])), arrived))
+    want, last = {}, {}
+    for service, canon, n, ts, arrived in rows:
+        if arrived - ts > dt.timedelta(minutes=30):
+            want[n] = "late"
+        elif (service, canon) not in last or ts >= last[service, canon] + dt.timedelta(minutes=45):
+            want[n], last[service, canon] = "fetch", ts
+        else:
+            want[n] = "recent"
+    assert collections.Counter(want.values()).keys() == {"late", "fetch", "recent"} and sum(v == "fetch" for v in want.values()) > 60
+    schema = "service string, canon string, number long, ts timestamp, arrived timestamp"
+    for cut in (600, 50):  # one batch; twelve, through which timers give state up
+        folder = tmp_path / str(cut)
+        for at in range(0, 600, cut):
+            spark.createDataFrame(rows[at : at + cut], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        for q in recency.write_judged(feed.captures(spark, f"{folder}/in", spark.createDataFrame([], schema).schema, 1), f"{folder}/out", f"{folder}/log", "45 minutes", "30 minutes"):
+            q.awaitTermination()
+        got = spark.read.schema(recency.JUDGED).parquet(f"{folder}/out/judged", f"{folder}/out/late").collect()
+        assert {r.number: r.status for r in got} == want and len(got) == 600
+
+
+# --- stored tables ------------------------------------------------------------------------------------------------
+
+
+def files_of(path):
+    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+
+
+def test_an_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "crawls")
+    log, schema = stores.CrawlLog(spark, path, 16), "service string, url string, ts int, title string"
+    log.upsert(spark.createDataFrame([(f"s{i % 5}", f"/{i}", 1, f"t{i}") for i in range(200)], schema))
+    before = files_of(path)
+    log.upsert(spark.createDataFrame([("s0", "/0", 2, "new"), ("s0", "/0", 1, "older"), ("s9", "/9", 1, "added")], schema))
+    after = files_of(path)
+    stayed = {f for f in before if after.get(f) == before[f]}
+    assert len({os.path.dirname(f) for f in stayed}) >= 14
+    assert log.read().count() == 201 and log.at("s0", "/0").first()["title"] == "new" and log.at("s9", "/9").first()["title"] == "added"
+    assert log.at("s9", "/nothing").count() == 0
+    plan = log.at("s0", "/0")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[isnotnull\(bucket#\d+\), \(bucket#\d+ = \d+\)\]", plan) and "EqualTo(service,s0)" in plan
+    assert {r.url for r in log.of(spark.createDataFrame([("s0", "/0"), ("s1", "/1"), ("s1", "/0")], "service string, url string")).collect()} == {"/0", "/1"}
+    same = sorted(map(tuple, log.read().collect()), key=str)
+    log.upsert(spark.createDataFrame([("s0", "/0", 2, "new")], schema))
+    assert sorted(map(tuple, log.read().collect()), key=str) == same
+
+
+def test_edges_are_stored_once_and_newest_come_first(spark, tmp_path):
+    store = stores.EdgeStore(spark, str(tmp_path / "edges"), 8)
+    rows = lambda *x: edges.edges(spark.createDataFrame(list(x), "service string, type string, value string"))
+    store.append(rows(("a", "email", "x"), ("a", "email", "x"), ("b", "email", "x")), F.lit("2025-01-01"))
+    before = files_of(tmp_path / "edges")
+    store.append(rows(("a", "email", "x"), ("a", "ip", "1"), ("a", "email", "y")), F.lit("2025-01-02"))
+    assert {f: t for f, t in files_of(tmp_path / "edges").items() if f in before} == before
+    assert [(r.from_service, r.type, r.to_value, str(r.stored_at)[:10]) for r in store.query().orderBy("from_service", "type", "to_value").collect()] == [("a", "email", "x", "2025-01-01"), ("a", "email", "y", "2025-01-02"), ("a", "ip", "1", "2025-01-02"), ("b", "email", "x", "2025-01-01")]
+    assert [(r.type, r.to_value) for r in store.newest(2, "a").orderBy("place").collect()] == [("email", "y"), ("ip", "1")]
+    assert [r.to_value for r in store.newest(9, None, "ip").collect()] == ["1"]
+    assert "WindowGroupLimit" in store.newest(2)._jdf.queryExecution().executedPlan().toString()
+
+
+# --- baselines ----------------------------------------------------------------------------------------------------
+
+
+def test_baselines_of_every_scan(spark):
+    rng, day = random.Random(3), dt.datetime(2024, 1, 1)
+    scans = [("hot" if rng.random() < 0.6 else f"s{rng.randrange(4)}", n, day + dt.timedelta(days=rng.randrange(700))) for n in range(300)]
+    frame = spark.createDataFrame(scans, "service string, scan_id long, scanned_at timestamp")
+    got = history.every_baseline(frame, F.col("scanned_at") - F.expr("INTERVAL 90 DAYS")).collect()
+    want = set()
+    for service, n, at in scans:
+        older = [(a, i) for s, i, a in scans if s == service and a >= at - dt.timedelta(days=90) and (a, i) < (at, n)]
+        want.add((service, n, min(older)[1] if older else None))
+    assert {(r.service, r.scan_id, r.baseline_id) for r in got} == want and len(got) == 300
+    asked = spark.createDataFrame([("hot", day + dt.timedelta(days=n)) for n in range(0, 800, 37)] + [("nobody", day)], "service string, since timestamp")
+    for r in history.as_of_baselines(frame, asked).collect():
+        later = [(a, i) for s, i, a in scans if s == r.service and a >= r.since]
+        assert (r.baseline_at, r.baseline_id) == (min(later) if later else (None, None))
+
+
+# --- masking ------------------------------------------------------------------------------------------------------
+
+
+def test_masking_at_any_depth(spark):
+    schema = "a struct<token:struct<x:string,seed:int>,list:array<struct<k:string,pin_secret:array<int>>>,m:map<string,struct<auth:string,n:int>>,count:map<string,int>,deep:array<array<struct<sid:string>>>,plain:string>, password string, n int"
+    row = ((("ok", 5), [("Bearer abc", [1]), None], {"any": ("x", 1), "none": None}, {"user_token": 3, "n": 4}, [[("s",)], []], "eyJa.eyJb.c"), "p", 7)
+    got = redact.masked(spark.createDataFrame([row, (None, None, None)], schema)).collect()
+    a, m = got[0].a, redact.MASK
+    assert (a.token.x, a.token.seed, a.plain, got[0].password, got[0].n) == ("ok", m, m, m, 7)
+    assert a.list[0].k == m and a.list[0].pin_secret == m and a.list[1] is None
+    assert (a.m["any"].auth, a.m["any"].n, a.m["none"], a["count"], a.deep[0][0].sid) == (m, 1, None, {"user_token": m, "n": "4"}, m)
+    assert got[1].a is None and got[1].password is None
+
+
+# --- matching -----------------------------------------------------------------------------------------------------
+
+
+def plain_found(specs, text):
+    out = []
+    for s in specs:
+        p, where = re.compile(python(s.pattern), re.ASCII), text.lower() if s.low else text
+        if s.mode == "all":
+            values = [m[s.group] or "" for m in p.finditer(where)]
+            out += [(s.key, v) for v in dict.fromkeys(v.lower() if s.fold else v for v in values)]
+        elif m := p.search(where):
+            out.append((s.key, s.fixed if s.mode == "flag" else m[0]))
+    return out
+
+
+def test_the_literal_index_loses_nothing(spark):
+    specs = detect.content_hits().text_specs
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    texts = [f"{h} {s}" for h, s in zip(pages, seeds.SNIPPETS * 9)] + ["", "1.2.3.4", "Warning: x in /a on line 3", "q" * 40] + [" ".join(rng.choice(seeds.SNIPPETS) for _ in range(6)).swapcase() for rng in [random.Random(4)] for _ in range(80)]
+    with_index, without = matching.Matcher(specs), matching.Matcher(specs)
+    without.automaton = None
+    hits = 0
+    for text in texts:
+        want = plain_found(specs, text)
+        assert with_index.found(text) == without.found(text) == want
+        hits += len(want)
+    assert hits > 500
+
+
+def test_a_rule_of_a_users_own(spark):
+    pages = spark.createDataFrame([(1, "s", "u", "Total: 5\v$"), (2, "s", "u", None), (3, "s", "u", "total: 7")], PAGES)
+    rules = [R.Rule("total", "custom", R.LOW, "Total", r"(?i)\btotal:\s(\d+)\s?\$?$", ("total",), 1), R.Rule("no_literal", "custom", R.LOW, "Seven", "7")]
+    assert {(r.page_id, r.type, r.value) for r in detect.detect(pages, rules).collect()} == {(3, "total", "7"), (3, "no_literal", "7")}
+    with pytest.raises(ValueError, match="share a key"):
+        matching.distinct([matching.Spec("a", "x"), _Twin("b", "y")])
+
+
+class _Twin(matching.Spec):
+    key = matching.Spec("a", "x").key
+
+
+# --- reports and dimensions ---------------------------------------------------------------------------------------
+
+
+def test_large_reports_come_in_parts(spark, tmp_path):
+    rows = [("hot", 1, dt.datetime(2025, 1, 1), "t", 1, "T", f"v{n}", "l") for n in range(95)] + [("small", 1, dt.datetime(2025, 1, 2), "t", 2, "T", "v", "l")]
+    found = spark.createDataFrame(rows, "service string, scan_id long, scanned_at timestamp, type string, severity int, title string, value string, location string")
+    report = captures.reports(found, 20)
+    sizes = [len(r.findings) for r in report.filter("service = 'hot'").collect()]
+    assert len(sizes) == 5 and sum(sizes) == 95 and max(sizes) < 40 and report.filter("service = 'small'").count() == 1
+    captures.write_report_json(report, str(tmp_path / "r"), "1.2")
+    scans, back = captures.read_reports(spark, str(tmp_path / "r"))
+    assert {(r.service, r.version) for r in scans.collect()} == {("hot", "1.2"), ("small", "1.2")} and back.count() == 96
+
+
+def test_unknown_types_and_names(spark):
+    one = findings.enriched(spark.createDataFrame([("nothing_known", 1)], "type string, severity int")).first()
+    assert one.map_severity == 0 and one.impact
+    rows = findings.kind_of(spark.createDataFrame([("x",), ("?",), (None,)], "name string"), "name", "social").collect()
+    assert {(r.name, r.kind, r.severity) for r in rows} == {("x", "twitter", 3), ("?", None, 2), (None, None, 2)}
