@@ -8,7 +8,8 @@ from siftwell.functions import rules as R
 from siftwell.operators import audit, detect, extract, findings, headers, history, links, urls
 
 from . import extra  # noqa: F401  (its SQL is part of the audit's)
-from .catalog import FOUND_SQL, IPV4_SQL, ORACLES, TAGS, P, found, pages, query
+from . import seeds
+from .catalog import FOUND_SQL, IPV4_SQL, ORACLES, TAGS, P, found, pages, plain, query
 from .seeds import quoted
 
 #: Written out from the pages that the seeds make: what of each type must be found under which title.
@@ -146,3 +147,225 @@ _all_hits = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in _content)
 def audit_all(spark, d):
     """Every content, header, link and presence check in one scan of the pages, each finding of a service once."""
     return audit.audit_all(pages(spark, d))
+
+
+#: The title of every type, stated a second time and by itself, so that a change of the rules' titles shows.
+_TITLES = """
+admin_api|Admin API Endpoint Detected
+akamai_cdn|Akamai CDN Detected
+analytics_amazon_affiliate|Amazon Affiliate Tag Found
+analytics_clarity|Microsoft Clarity ID Found
+analytics_facebook_pixel|Facebook Pixel ID Found
+analytics_google_adsense|Google AdSense Publisher ID Found
+analytics_google_analytics_ga4|Google Analytics 4 ID Found
+analytics_google_analytics_ua|Google Analytics UA ID Found
+analytics_google_publisher|Google Publisher ID Found
+analytics_google_tag_manager|Google Tag Manager ID Found
+analytics_hotjar|Hotjar Site ID Found
+analytics_matomo|Matomo/Piwik Site ID Found
+analytics_yandex_metrica|Yandex Metrica ID Found
+apache_mod_status|Apache mod_status Exposed
+api_key|API Key Exposed
+api_key_exposure|API Key Exposed in Response
+api_version_header|API Version Header Exposed
+aspnet_version|ASP.NET Version Disclosed
+aws_access_key|AWS Access Key ID Found
+aws_api_gateway|AWS API Gateway Detected
+aws_cloudfront|AWS CloudFront Distribution Detected
+aws_cognito|AWS Cognito Endpoint Detected
+aws_ec2|AWS EC2 Instance Detected
+aws_elb|AWS Elastic Load Balancer Detected
+aws_header|AWS Header Detected
+aws_lambda|AWS Lambda Function URL Detected
+aws_s3_bucket|AWS S3 Bucket Detected
+aws_secret_key|AWS Secret Access Key Exposed
+aws_server|AWS Server Detected
+azure_blob|Azure Blob Storage Detected
+azure_cdn|Azure CDN Detected
+azure_functions|Azure Functions Detected
+azure_header|Azure Header Detected
+azure_websites|Azure Web Apps Detected
+base64_key_data|Potential Encoded Key Data Found
+bearer_token_exposure|Bearer Token Exposed
+bunny_cdn|Bunny CDN Detected
+certificate_email|TLS Certificate Contains Email Address
+certificate_name|TLS Certificate Contains Clearnet Domain
+clearnet_ip|Clearnet IP Address Found
+clearnet_link|Clearnet Link Found
+cloudflare_header|Cloudflare Ray ID Detected
+cloudflare_pages|Cloudflare Pages Detected
+cloudflare_r2|Cloudflare R2 Storage Detected
+cloudflare_server|Cloudflare Server Detected
+cloudflare_workers|Cloudflare Workers Detected
+config_exposure|Configuration File Exposed
+cookie_no_httponly|Cookie Missing HttpOnly Flag
+cookie_no_samesite|Cookie Missing SameSite Attribute
+crypto_bitcoin_bech32|Bitcoin Bech32 Address Found
+crypto_bitcoin_cash|Bitcoin Cash Address Found
+crypto_bitcoin_legacy|Bitcoin Address Found
+crypto_dash|Dash Address Found
+crypto_dogecoin|Dogecoin Address Found
+crypto_ethereum|Ethereum Address Found
+crypto_litecoin_bech32|Litecoin Bech32 Address Found
+crypto_litecoin_legacy|Litecoin Address Found
+crypto_monero|Monero Address Found
+crypto_zcash_shielded|Zcash Shielded Address Found
+crypto_zcash_transparent|Zcash Transparent Address Found
+csp_cdn|Common CDN in CSP
+csp_external_allowed|CSP Allows External Domains
+csp_external_domain|External Domain in CSP
+csp_missing|Missing Content Security Policy
+csp_report_uri|CSP Report URI Configured
+csp_unsafe_eval|CSP Allows Unsafe Eval
+csp_unsafe_inline|CSP Allows Unsafe Inline Scripts
+database_url|Database Connection URL Exposed
+debug_comments|Sensitive HTML Comments Found
+debug_console|Console Debug Statements Found
+debug_endpoint|Debug Endpoint Exposed
+debug_header|Debug Header Detected
+debug_sourcemap|Source Map Reference Found
+development_mode|Development Mode Detected
+digitalocean_app|DigitalOcean App Platform Detected
+digitalocean_spaces|DigitalOcean Spaces Detected
+django_debug|Django Debug Mode Detected
+dsa_private_key|DSA Private Key Exposed
+ec_private_key|EC Private Key Exposed
+email|Email Address Found
+encrypted_private_key|Encrypted Private Key Found
+env_file|Environment File Reference Found
+error_disclosure|Error Message or Stack Trace Exposed
+etag_inode|ETag May Leak Inode Number
+etag_tracking|ETag Tracking Risk
+external_iframe|External Iframe Detected
+external_image|External Image Loaded
+external_script|External Script Loaded
+fastly_cdn|Fastly CDN Detected
+fingerprint_audio_fingerprint|AudioContext Fingerprinting Risk
+fingerprint_audio_oscillator|Audio Oscillator Fingerprinting
+fingerprint_canvas_getImageData|Canvas Fingerprinting Detected
+fingerprint_canvas_toDataURL|Canvas Fingerprinting Detected
+fingerprint_combined|Multiple Fingerprinting Techniques Detected
+fingerprint_font_detection|Font Detection Fingerprinting
+fingerprint_navigator_plugins|Plugin Enumeration Detected
+fingerprint_webgl_getParameter|WebGL Fingerprinting Detected
+fingerprint_webgl_renderer|WebGL Renderer Fingerprinting
+fingerprint_webrtc_datachannel|WebRTC DataChannel Detected
+fingerprint_webrtc_peer|WebRTC IP Leak Risk
+fingerprint_webrtc_stun|STUN/TURN Server Reference
+flask_debug|Flask Debugger Detected
+fly_io|Fly.io Deployment Detected
+form_action_leak|Form Submits to External URL
+form_detected|Form Present
+ftp_banner|FTP Banner Disclosed
+ftp_hostname|FTP Banner May Contain Hostname
+ftp_path|FTP Banner Contains File Path
+ftp_software|FTP Software Named
+gcp_appengine|Google App Engine Detected
+gcp_cloud_functions|Google Cloud Functions Detected
+gcp_cloud_run|Google Cloud Run Detected
+gcp_firebase|Firebase Hosting/Database Detected
+gcp_header|Google Cloud Header Detected
+gcp_storage|Google Cloud Storage Detected
+github_token|GitHub Token Exposed
+google_fonts|Google Fonts Used
+graphql_endpoint|GraphQL Endpoint Detected
+graphql_introspection|GraphQL Introspection Enabled
+health_check|Health Check Endpoint Exposed
+heroku|Heroku Application Detected
+hidden_iframe|Hidden Iframe Detected
+hostname_file|Hostname File Exposed
+hsts_on_onion|HSTS Header on Onion Service
+hsts_preload|HSTS Preload Directive Found
+iis_windows_version|Windows Version Determined from IIS
+internal_api_version|Internal API Version Detected
+js_obfuscation|Suspicious JavaScript Obfuscation
+laravel_debug|Laravel Debug Mode Detected
+lighttpd_server|Lighttpd Server Detected
+metrics_endpoint|Metrics Endpoint Exposed
+missing_content_security_policy|Missing Content-Security-Policy Header
+missing_x_content_type_options|Missing X-Content-Type-Options Header
+missing_x_frame_options|Missing X-Frame-Options Header
+mongodb_open|MongoDB Server Detected
+mysql_open|MySQL/MariaDB Server Detected
+mysql_version|MySQL/MariaDB Version Disclosed
+netlify|Netlify Deployment Detected
+nginx_status|Nginx Status Page Exposed
+nginx_version|Nginx Version Disclosed
+onion_link_v2|Linked Hidden Service
+onion_link_v3|Linked Hidden Service
+open_directory|Open Directory
+openapi_spec|OpenAPI Specification Detected
+openssh_private_key|OpenSSH Private Key Exposed
+openssl_version|OpenSSL Version Disclosed
+os_detected|Operating System Detected from Server Header
+pgp_key|PGP Public Key Present
+pgp_private_key|PGP Private Key Exposed
+php_version|PHP Version Disclosed
+pkcs8_private_key|PKCS#8 Private Key Exposed
+postgresql_open|PostgreSQL Server Detected
+postman_collection|Postman Collection Reference Found
+putty_private_key|PuTTY Private Key Exposed
+rails_routes|Rails Debug Information Exposed
+railway|Railway Deployment Detected
+redis_protected|Redis Server Detected (Authentication Required)
+redis_unauthenticated|Redis Server Allows Unauthenticated Access
+redoc|ReDoc Documentation Exposed
+render|Render Deployment Detected
+robots_txt|Robots File Present
+rpc_endpoint|RPC Endpoint Detected
+rsa_private_key|RSA Private Key Exposed
+server_version|Server Version Disclosed
+session_linkability|Persistent Session Cookie Detected
+sitemap_xml|Sitemap Present
+smtp_banner|SMTP Banner Disclosed
+smtp_hostname|SMTP Banner Reveals Hostname
+smtp_software|SMTP Software Named
+smtp_version|SMTP Software Version Disclosed
+social_discord|Discord Link Found
+social_facebook|Facebook Link Found
+social_github|GitHub Link Found
+social_instagram|Instagram Link Found
+social_keybase|Keybase Link Found
+social_linkedin|LinkedIn Link Found
+social_mastodon|Mastodon Link Found
+social_medium|Medium Link Found
+social_patreon|Patreon Link Found
+social_reddit|Reddit Link Found
+social_signal|Signal Link Found
+social_telegram|Telegram Link Found
+social_tiktok|TikTok Link Found
+social_twitter|Twitter/X Link Found
+social_twitter_handle|Twitter/X Handle Reference Found
+social_whatsapp|WhatsApp Link Found
+social_youtube|YouTube Link Found
+ssh_banner|SSH Version Banner Disclosed
+ssh_dropbear|Dropbear SSH Server Detected
+ssh_outdated|Outdated OpenSSH Version
+ssh_protocol_1|SSH Protocol Version 1 Detected
+ssh_system|Operating System Detected from SSH Banner
+swagger_json|Swagger/OpenAPI Specification Found
+swagger_ui|Swagger UI Exposed
+tor_v2_private_key|Tor v2 Hidden Service Private Key Exposed
+tor_v3_private_key|Tor v3 Hidden Service Private Key Exposed
+vercel|Vercel Deployment Detected
+via_header|Via Header Present
+websocket_external|WebSocket Address Present
+x_powered_by|X-Powered-By Header Reveals Technology
+"""
+_title_rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in (x.split("|") for x in _TITLES.strip().splitlines()))
+_untitled = _content[:6] + _content[7:]  # the rules of one type have two titles there
+_redirects = f"SELECT page_id, type, severity, value, CASE WHEN type = 'suspicious_redirect' THEN title END AS own FROM ({ORACLES['seeded_malicious']})"
+_every = " UNION ALL ".join([f"SELECT *, NULL AS own FROM ({x})" for x in _untitled] + [f"SELECT * FROM ({_redirects})"])
+
+
+@query(
+    f"SELECT service, title, value, arg_min(type, (-severity, coalesce(page_id, 1000000000000000000), type)) AS type, max(severity) AS severity, arg_min(page_id, (-severity, coalesce(page_id, 1000000000000000000), type)) AS page_id FROM (SELECT a.*, coalesce(a.own, t.title) AS title FROM ("
+    f"SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS service, h.* FROM ({_every}) AS h JOIN pages USING (page_id) "
+    f"UNION ALL SELECT service, page_id, 'clearnet_link', severity, value, NULL FROM ({ORACLES['clearnet_links']}) UNION ALL SELECT service, page_id, type, 3, value, NULL FROM ({ORACLES['outer_elements']}) "
+    f"UNION ALL SELECT service, NULL, type, severity, value, NULL FROM ({ORACLES['banner_findings']}) UNION ALL SELECT service, NULL, type, severity, value, NULL FROM ({ORACLES['certificate_findings']})) AS a LEFT JOIN (VALUES {_title_rows}) AS t(type, title) ON t.type = a.type) GROUP BY service, title, value"
+)
+def audit_report(spark, d):
+    """Everything about each service, from pages, banners and certificates, each title and value once with its worst severity."""
+    own = plain(spark, d)
+    certificates = own.select("service").distinct().select("service", F.array(F.concat(F.lit("www."), F.col("service")), F.lit("abc.onion")).alias("dns_names"), F.array(F.concat(F.lit("root@"), F.col("service"))).alias("email_addresses"))
+    return audit.report(pages(spark, d), seeds.banners(own), certificates).select("service", "title", "value", "type", "severity", "page_id")
