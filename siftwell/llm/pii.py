@@ -8,12 +8,14 @@ of the checks. Boosted trees of depth two tell from the bits how likely a candid
 What the trees learn from doesn't depend on the base patterns:
 
 * ``planted()``: texts made by a fixed rule, PLANTED of each form, that say where their personal data stands. Every kind
-  has negatives: versions, prices, order and part numbers, catalogue numbers, sentences with "at" and "dot".
-* all candidates of the corpus, labelled by whether what is left without its disguise passes the kind's check
-  (octets, check sum, digit count, a domain that ends in letters). Their weight is at most that of the planted rows.
+  has negatives, also such as pass the kind's check: versions, prices, order and part numbers, ranges and measures,
+  sentences with "at" and "dot" (file names, places, ellipses).
+* all candidates of the corpus whose label is plain: what is left without its disguise fails the kind's check (octets, check
+  sum, digit count, a domain that ends in letters), or passes it beside a word that speaks for it. One that
+  passes without such a word is not labelled. Their weight is at most that of the planted rows.
 
 Both enter as a table of distinct bit sets with counts, whose size the number of features bounds. A fifth of both, by
-hash, is held out; per kind and form (plain or disguised) the threshold is the lowest score from which on MOST_SURE of the
+hash, is held out; per kind and form (plain, disguised or spelled out in bare words) the threshold is the lowest score from which on MOST_SURE of the
 held-out weight is personal data. Candidates from there on that also pass the kind's check become spans, unless a base
 span or an earlier candidate of their kind overlaps them. ``report`` gives held-out precision and recall.
 
@@ -99,8 +101,11 @@ def checked(kind: str, s: Column) -> Column:
 
 
 #: Names of the feature bits, lowest first.
-FEATURES = ("hint", "counter_hint", "hint_after", "left_open", "left_joined", "right_open", "right_joined", "disguised", "spelled", "spaced", "letters_last", "even_groups", "first_high", "marked", "long_last")
-DISGUISED = 1 << FEATURES.index("disguised")
+FEATURES = ("hint", "counter_hint", "hint_after", "left_open", "left_joined", "right_open", "right_joined", "disguised", "spelled", "spaced", "letters_last", "even_groups", "first_high", "marked", "long_last", "known_end", "plain_name", "bare_words")
+DISGUISED, BARE = 1 << FEATURES.index("disguised"), 1 << FEATURES.index("bare_words")
+HINTED = 1 << FEATURES.index("hint") | 1 << FEATURES.index("hint_after")
+#: Endings of domains that are common; an address with another one needs other evidence.
+ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|name|app|dev|io|me|tv|ai|eu|de|fr|es|uk|it|nl|be|ch|at|pl|pt|se|no|fi|dk|cz|ru|ua|us|ca|mx|br|ar|cl|co|in|cn|jp|kr|au|nz|za|ie|gr|hu|ro|tr|il"
 
 
 def _bits(kind: str, s: Column) -> Column:
@@ -120,10 +125,13 @@ def _bits(kind: str, s: Column) -> Column:
         found.rlike("(?i)at|dot") if kind == "ip" else found.rlike(r"[\[({\x20](?:at|AT|dot|DOT)[\])}\x20]"),
         found.contains(" "),
         found.rlike(r"[A-Za-z]{2,6}$"),
-        found.rlike(r"^[0-9]{4}([\x20._/-]{0,2})[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"),
-        found.rlike("^[^0-9]*[3-6]"),
+        found.rlike(r"^[^)]*[0-9]{3}([\x20./-]?)[0-9]{3}\1[0-9]{4}$") if kind == "phone" else found.rlike(r"^[0-9]{4}([\x20._/-]{0,2})[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"),
+        found.rlike("^[^0-9]*[2-9]" if kind == "phone" else "^[^0-9]*[3-6]"),
         found.rlike(r"^(?:\+|00|\()|\)"),
         found.rlike(r"(?:\.|dot)[\])}\x20]*[0-9]{3}$") if kind == "ip" else found.rlike(r"[A-Za-z0-9]{4,}$"),
+        found.rlike(rf"(?i)[^A-Za-z](?:{ENDINGS})$") if kind == "email" else after.rlike(r"^\x20?(?:tons?|kg|km|miles?|euros?|dollars?|pieces|people|rows|%)"),
+        found.rlike("^[a-z]+[^A-Za-z0-9._%+-]") if kind == "email" else before.rlike(r"(?:see|about|some|only|from|than|over|nearly|of)\x20$"),
+        found.rlike(r"\x20(?:at|AT)\x20") if kind == "email" else F.lit(False),
     )
     total = F.lit(0)
     for n, test in enumerate(tests):
@@ -148,6 +156,12 @@ _NAMES = ["anna.berg", "j.ruiz", "tom", "lee_wong", "info", "m-dupont", "sara99"
 _HOSTS = ["example", "mail-host", "uni", "northwind", "acme", "web3", "firma", "correo"]
 _ENDS = ["com", "org", "net", "de", "fr", "es", "io", "edu"]
 _WORDS = ["and", "then", "ouvert", "heute", "casa", "the", "river", "list", "mit", "pour", "often", "leaf"]
+_VERBS = ["look", "met", "arrived", "stayed", "work", "ended", "started", "waiting", "stop", "laugh", "shown", "bought"]
+_PLACES = ["node", "noon", "london", "night", "home", "line", "page", "server", "point", "market", "example", "river"]
+_FILES = ["js", "py", "txt", "cfg", "dot", "park", "street", "zero", "exe", "png", "md", "five"]
+#: Frames that speak for no kind, and those that name measures.
+_NEUTRAL = ["{w} {} {w}", "{w} {w} {} for it", "he {w} {} and {w}", "{w} {w}: {}. {w}", "{} {w} {w}"]
+_MEASURES = ["see {} tons", "about {} people", "from {} to {w}", "{w} {} km", "only {} {w}", "{w} {} {w}"]
 _AROUND = {
     "email": ["write to {} for more", "contact: {}", "e-mail {} today", "{w} {} {w}", "({})", "{w} {w}: {}. {w}", "{}"],
     "ip": ["host {} is up", "login from {} failed", "server {}", "{w} {} {w}", "addr={}", "({})", "{w} {w}: {}. {w}"],
@@ -178,6 +192,7 @@ def _values(rng: random.Random) -> list[tuple[str, str, bool]]:
     a, b, c = str(rng.randrange(200, 990)), str(rng.randrange(200, 990)), f"{rng.randrange(10000):04}"
     at, dot = rng.choice([" [at] ", "[at]", "(at)", " (at) ", "{at}", " [AT] "]), rng.choice([" [dot] ", "[dot]", "(dot)", " (dot) ", "[.]", " dot "])
     plain_dot = rng.choice(["[.]", "(.)", " [dot] ", "[dot]", " dot "])
+    verb, place = rng.choice(_VERBS), rng.choice(_PLACES)
     return [
         ("email", f"{name}@{host}.{end}", True),
         ("email", f"{name} @ {host}.{end}", True),
@@ -188,6 +203,12 @@ def _values(rng: random.Random) -> list[tuple[str, str, bool]]:
         ("email", f"{rng.choice(_WORDS)}@{rng.randrange(1, 9)}.{rng.randrange(10)}", False),
         ("email", f"{rng.choice(_WORDS)} (at) {rng.choice(_WORDS)}.{rng.randrange(10, 99)}", False),
         ("email", f"{rng.choice(_WORDS)} at {rng.choice(_WORDS)} dot {rng.randrange(10)}", False),
+        ("email", f"{verb} at {place} dot {rng.choice(_ENDS)}", False),
+        ("email", f"{verb} at {place} dot {rng.choice(_FILES)}", False),
+        ("email", f"{rng.choice(_NAMES)} at {place} dot {rng.choice(_FILES)}", False),
+        ("email", f"{verb} at {place}" + " dot" * rng.randrange(2, 5), False),
+        ("email", f"{verb} (at) {place}.{rng.choice(_FILES)}", False),
+        ("email", f"{verb} [at] {place} [dot] {rng.choice(_FILES)}", False),
         ("ip", ".".join(octets), True),
         ("ip", plain_dot.join(octets), True),
         ("ip", ".".join(wild), False),
@@ -203,6 +224,9 @@ def _values(rng: random.Random) -> list[tuple[str, str, bool]]:
         ("phone", f"({a}) {b}-{c}", True),
         ("phone", f"{a}{(s := rng.choice('-. '))}{b}{s}{c}", True),
         ("phone", f"0{a} {b}{c}", True),
+        ("phone", f"{rng.randrange(100, 990)} {b}-{c}", False),
+        ("phone", f"{rng.randrange(100, 200)}{(t := rng.choice(' .'))}{b}{t}{c}", False),
+        ("phone", f"{a}-{b} {c}", False),
     ]
 
 
@@ -220,7 +244,16 @@ def planted(seed: int = 11, rounds: int = PLANTED) -> list[tuple[int, str, str,
 
     for _ in range(rounds):
         for kind, value, personal in _values(rng):
-            put(kind, value, rng.choice(_AROUND[kind] if personal else _AROUND[kind] + _AGAINST[kind]), personal)
+            bare = kind == "email" and " at " in value
+            if not personal and kind == "email" and value.split()[0].split("@")[0] in (*_VERBS, *_NAMES):
+                frames = _NEUTRAL
+            elif not personal and kind == "phone":
+                frames = _MEASURES
+            elif personal and bare and value.split()[0].isalpha():
+                frames = _AROUND[kind][:3]  # in bare words a plain name is an address only where something says so
+            else:
+                frames = _AROUND[kind] if personal else _AROUND[kind] + _AGAINST[kind]
+            put(kind, value, rng.choice(frames), personal)
             if personal and kind != "email":  # what looks the same where it is something else
                 put(kind, value, rng.choice(_AGAINST[kind]), False)
     return rows
@@ -293,21 +326,28 @@ def _table(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(keys, np.int64), np.array([table[b][0] for b in keys]), np.array([table[b][1] for b in keys])
 
 
-def fitted(spark: SparkSession, found: DataFrame) -> tuple[dict[str, tuple[Trees, float, float]], list[tuple[str, str, float, float, float]]]:
-    """({kind: (trees, least score of a plain candidate, of a disguised one)}, [(kind, form, threshold, precision, recall)]); a score of 2 is never met.
+def _forms(bits: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    bare = bits & BARE != 0
+    return [("plain", (bits & DISGUISED == 0) & ~bare), ("disguised", (bits & DISGUISED != 0) & ~bare), ("bare", bare)]
+
+
+def fitted(spark: SparkSession, found: DataFrame) -> tuple[dict[str, list[int]], list[tuple[str, str, float, float, float]]]:
+    """({kind: the corpus' bit sets that are selected}, [(kind, form, threshold, precision, recall)]); a threshold of 2 is never met.
 
     Precision is that of what would be selected: candidates that pass their check. It is told from the planted rows; a number of the
-    corpus that fails the check sum stands for one ninth of another that passes it by chance.
+    corpus that fails the check sum stands for one ninth of another that passes it by chance. The trees score bit sets, not
+    candidates: every bit set of the corpus is in the table of cells, so what is selected is a list of numbers.
     """
-    cells, models, told = _cells(spark, found), {}, []
+    cells, chosen, told = _cells(spark, found), {}, []
     for kind in KINDS:
-        own = [r for r in cells if r["kind"] == kind]
+        every = [r for r in cells if r["kind"] == kind]
+        own = [r for r in every if r["made"] or not r["sound"] or r["bits"] & HINTED]  # what passes its check without a hint has no label
         n_made, n_corpus = (sum(r["n"] for r in own if r["made"] is made) for made in (True, False))
         scale = min(1.0, n_made / n_corpus) if n_corpus else 0.0
         trees = Trees(*_table([(r["bits"], r["yes"], r["n"] * (1.0 if r["made"] else scale)) for r in own if not r["held"]]))
         bits, yes, no = _table([(r["bits"], r["yes"], r["n"]) for r in own if r["held"] and r["made"] and r["sound"]] + [(r["bits"], False, r["n"] * scale / 9) for r in own if kind == "card" and r["held"] and not r["made"] and not r["sound"]])
         score, least = trees.scores(bits), []
-        for form, part in (("plain", bits & DISGUISED == 0), ("disguised", bits & DISGUISED != 0)):
+        for form, part in _forms(bits):
             best = (2.0, 0.0, 0.0)
             for t in sorted({x for x in score[part].tolist() if x >= LEAST_SCORE}, reverse=True):
                 at = part & (score >= t - 1e-12)
@@ -316,8 +356,12 @@ def fitted(spark: SparkSession, found: DataFrame) -> tuple[dict[str, tuple[Trees
                     best = (t, float(y / (y + n)), float(y / yes[part].sum()))
             least.append(best[0])
             told.append((kind, form, *best))
-        models[kind] = (trees, *least)
-    return models, told
+        seen = np.array(sorted({r["bits"] for r in every if not r["made"]}), np.int64)
+        score, good = trees.scores(seen), np.zeros(len(seen), bool)
+        for (_, part), t in zip(_forms(seen), least):
+            good |= part & (score >= t - 1e-9)
+        chosen[kind] = seen[good].tolist()
+    return chosen, told
 
 
 def searched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,13 +379,12 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> l
 def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, base, spans, n_added): spans are the base ones and the candidates that the trees select."""
     found = searched(docs, id_col, text_col)
-    models, _ = fitted(docs.sparkSession, found)
+    selected, _ = fitted(docs.sparkSession, found)
 
     def chosen(c: Column) -> Column:
         sure = F.lit(False)
-        for kind, (trees, plain, disguised) in models.items():
-            least = F.when(c["bits"].bitwiseAND(F.lit(DISGUISED)) != 0, disguised).otherwise(plain)
-            sure = sure | ((c["kind"] == kind) & (trees.column(c["bits"]) >= least - 1e-9))
+        for kind, bits in selected.items():
+            sure = sure | ((c["kind"] == kind) & c["bits"].isin(bits)) if bits else sure
         return c["sound"] & sure
 
     slim = lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["stop"].alias("stop"), c["kind"].alias("kind"))
