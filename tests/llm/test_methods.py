@@ -192,3 +192,63 @@ def test_clashing_names_and_empty_tables(spark):
         n = run(docs).count()
         assert n <= 6 if name.endswith("k") else n == 6, name
     assert warc.digest(pages).count() == 6 and warc.digest(pages.limit(0)).count() == 0
+
+
+# --- 3 and 5: sentences that no generator made; rows that repeat ---------------------------------------------------
+
+SENTENCES = [
+    ("look at node dot js for it", []), ("we met at noon dot dot dot", []), ("he arrived at london dot com park", []), ("see 100 200-3000 tons", []), ("the shop is at main dot street", []), ("open at nine dot com later", []),
+    ("we talked at dinner dot com was not yet a thing", []), ("version 1[.]2[.]3[.]4", []), ("order 4111.1111.1111.1111 sent", []), ("sum 333 444-5555 people", []), ("readme (at) repo.md", []),
+    ("please write to tom at acme dot org today", [("email", "tom at acme dot org")]), ("jane.roe [at] mailbox [dot] org", [("email", "jane.roe [at] mailbox [dot] org")]), ("reach me: j_smith at fastnet dot de", [("email", "j_smith at fastnet dot de")]),
+    ("contact bob(at)site.net please", [("email", "bob(at)site.net")]), ("mail: ann dot lee at corp dot com", [("email", "ann dot lee at corp dot com")]), ("call 555-234-9876 now", [("phone", "555-234-9876")]), ("phone: (212) 555-0187", [("phone", "(212) 555-0187")]),
+    ("server 10[.]1[.]2[.]3 failed", [("ip", "10[.]1[.]2[.]3")]), ("pay with 4111.1111.1111.1111 now", [("card", "4111.1111.1111.1111")]), ("mail x@y.org or +1 (639) 555-6315", [("email", "x@y.org"), ("phone", "+1 (639) 555-6315")]),
+]
+
+
+def test_sentences_that_no_generator_made(spark):
+    out = {r.doc_id: r for r in pii.digest(spark.createDataFrame([(n, t) for n, (t, _) in enumerate(SENTENCES)], "doc_id long, text string")).collect()}
+    for n, (text, want) in enumerate(SENTENCES):
+        got = [x.split(":") for x in out[n].spans.split(",") if x]
+        assert [(k, text[int(a) : int(b)]) for k, a, b in got] == want, text
+
+
+def test_selected_bit_sets_are_those_above_the_threshold(spark):
+    docs = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(SENTENCES)], "doc_id long, text string")
+    found = pii.searched(docs)
+    selected, told = pii.fitted(spark, found)
+    assert {(k, f) for k, f, *_ in told} == {(k, f) for k in pii.KINDS for f in ("plain", "disguised", "bare")}
+    for kind, form, threshold, precision, recall in told:
+        assert threshold == 2.0 or (pii.LEAST_SCORE <= threshold <= 1 and precision >= pii.MOST_SURE and 0 < recall <= 1)
+    seen = {(c.kind, c.bits) for r in found.collect() for c in r.candidates}
+    assert all((k, b) in seen for k, bits in selected.items() for b in bits)
+
+
+def test_repeated_rows_are_dealt_over_packs(spark):
+    hot = spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit("same text " * 20).alias("text"), F.lit("src").alias("source"))
+    rest = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.concat(F.lit("s"), F.col("id") % 50).alias("source"))
+    out = packing.packed(hot.unionByName(rest), pack_rows=500).collect()
+    assert len(out) == 9000 and sum(r.doc_id == 7 and r.length == 200 for r in out) == 3000
+    packs = collections.Counter(r.bin_id >> 24 for r in out)
+    assert max(packs.values()) < 1200 and len(packs) == 18
+    assert max(collections.Counter((r.bin_id) for r in out if r.length == 200).values()) == 1
+
+
+def test_closed_blocks_change_no_bin():
+    def plain(pieces, capacity, per_source):
+        bins, out = [], []
+        for length, source, cluster in pieces:
+            room = [(b[0], n) for n, b in enumerate(bins) if b[0] >= length and b[1].count(source) < per_source and (cluster < 0 or cluster not in b[2])]
+            n = min(room)[1] if room else len(bins)
+            if not room:
+                bins.append([capacity, [], set()])
+            bins[n][0] -= length
+            bins[n][1].append(source)
+            bins[n][2].add(cluster)
+            out.append(n)
+        return out
+
+    rng = random.Random(1)
+    for _ in range(150):
+        capacity, sources, clusters = rng.choice([20, 100, 1000]), rng.choice([1, 3, 40]), rng.choice([4, 60])
+        pieces = sorted(((rng.randrange(capacity + 1), rng.randrange(sources), rng.randrange(-1, clusters)) for _ in range(rng.randrange(1, 400))), key=lambda p: -p[0])
+        assert packing.best_fit(pieces, capacity) == plain(pieces, capacity, packing.PER_SOURCE)
