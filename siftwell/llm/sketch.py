@@ -5,14 +5,16 @@ shorter text's whole word sequence is its one shingle; no words, no hashes). The
 together are the sketch of both parts, so sketches merge in any order. A sketch with fewer than k hashes holds
 all of them and its estimates are exact. Two empty sketches are alike to the full; an empty and another one not at all.
 
-``with_next`` pairs each document with the next by ascending id (null ids first, repeated ids by text; after
-the last comes the first). Ids are cut into ranges of about RANGE_ROWS rows at quantiles of the id column, as many as
-the table needs; the cuts travel as one row of a broadcast table. A range also receives a copy of the first row of the
-range behind it, so that no task ever needs more than its own range.
+``with_next`` pairs each document with the next by ascending id (null ids first, repeated ids by the hash of their text; after
+the last comes the first). Rows are cut into ranges of about RANGE_ROWS rows, at least LEAST_RANGES and at most MOST_RANGES
+of them, by id, then text hash, then place in the table: one id with many texts and one row that repeats are split like
+others. The range partitioner finds the cuts on these three numbers alone; the least row of each range is a table of
+MOST_RANGES rows at most, which is broadcast. A range also receives a copy of the least row of the range behind it, so no
+task ever needs more than its own range, and texts move once.
 
 Null or empty text has the empty sketch. Very long texts are sketched whole. Repeated rows follow one another and each have their
-own result; equal ids are put in order by their text, and equal hashes (ties) are one member of a sketch. An empty table gives an
-empty result. Further columns of docs, whatever their names, are not read.
+own result; equal ids are put in order by their text's hash, and equal hashes (ties) are one member of a sketch. An empty table gives an
+empty result. The places of rows must come out alike when a task runs again, as those of rows read from files do. Further columns of docs, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from .shared import let, text_of
 
 SKETCH = 128
 SHINGLE = 5
-#: Documents per id range that are aimed at, and the fewest ranges.
-RANGE_ROWS, LEAST_RANGES = 4000, 512
+#: Documents per range that are aimed at, and the fewest and most ranges.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 4000, 512, 4096
 
 
 def shingle_hashes(tokens: Column, shingle: int = SHINGLE) -> Column:
@@ -80,30 +82,30 @@ def written(s: Column) -> Column:
 
 def with_next(docs: DataFrame, id_col: str, derive: dict[str, Column], lead: list[str]) -> DataFrame:
     """docs with the columns of derive (made from ``id`` and ``text`` after the shuffle) and, for those in lead, ``next_<name>`` of the next document."""
-    order = F.coalesce(F.col("id"), F.lit(-(2**63)))
     spark = docs.sparkSession
-    ranges = max(LEAST_RANGES, -(-docs.count() // RANGE_ROWS))
-    cuts = docs.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 4 * ranges).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    step = max(1, int(len(cuts) ** 0.5))
-    # One row: every step-th cut, and the cuts from each of those on. About RANGE_ROWS documents stand behind each of its numbers.
-    table = spark.createDataFrame([(cuts[::step], [cuts[i : i + step] for i in range(0, len(cuts), step)])], "__coarse array<long>, __fine array<array<long>>")
-    high = F.size(F.filter("__coarse", lambda c: c < order))
-    low = F.size(F.filter(F.get("__fine", high - 1), lambda c: c < order))
-    place = F.when(high == 0, F.lit(0)).otherwise((high - 1) * step + low).alias("__place")
-    told = docs.crossJoin(F.broadcast(table)).select("id", "text", place)
-    firsts = sorted((r["__place"], r["least"]) for r in told.groupBy("__place").agg(F.min(order).alias("least")).collect())
-    before = [(least, firsts[i - 1][0]) for i, (_, least) in enumerate(firsts)]
-    # One row per range.
-    copies = F.broadcast(spark.createDataFrame(before, "__least long, __before int"))
-    placed = told.join(copies, order == F.col("__least"), "left")
-    own = F.struct(F.col("__place").alias("range"), F.lit(0).alias("copy"))
-    copy = F.struct(F.col("__before").alias("range"), F.lit(1).alias("copy"))
-    dealt = placed.select("id", "text", F.explode(F.when(F.col("__before").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("__to"))
-    dealt = dealt.select("id", "text", "__to.range", "__to.copy").repartition("range")
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, -(-docs.count() // RANGE_ROWS)))
+    place = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("o"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    placed = docs.select("id", "text", place.alias("at"))
+    cut = placed.select("at.*").repartitionByRange(ranges, "o", "h", "row").select(F.struct("o", "h", "row").alias("at"), F.spark_partition_id().alias("part"))
+    least = sorted(tuple(r["least"]) for r in cut.groupBy("part").agg(F.min("at").alias("least")).collect())  # a row for each range
+    step = max(1, int(len(least) ** 0.5))
+    kind = "array<struct<o:bigint,h:bigint,row:bigint>>"
+    # One row: every step-th range's least row, and those of the ranges from each of these on.
+    table = spark.createDataFrame([(least[::step], [least[i : i + step] for i in range(0, len(least), step)])], f"__coarse {kind}, __fine array<{kind}>")
+    high = F.size(F.filter("__coarse", lambda c: c <= F.col("at")))
+    low = F.size(F.filter(F.get("__fine", high - 1), lambda c: c <= F.col("at")))
+    number = F.when(high == 0, F.lit(0)).otherwise((high - 1) * step + low - 1)
+    own = placed.crossJoin(F.broadcast(table)).select("id", "text", "at.o", "at.h", number.cast("int").alias("range"), F.lit(0).alias("copy"))
+    # The least row of each range goes to the range before it, that of the first to the last. Rows that are equal are one
+    # row here, each task's own before anything moves; several ranges can have the same least id and text.
+    names = [(o, h, (n - 1) % len(least)) for n, (o, h, _) in enumerate(least)]
+    known = F.broadcast(spark.createDataFrame(sorted({x[:2] for x in names}), "o long, h long"))
+    first = docs.select("id", "text", place["o"].alias("o"), place["h"].alias("h")).join(known, ["o", "h"], "left_semi").groupBy("o", "h").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    copies = first.join(F.broadcast(spark.createDataFrame(names, "o long, h long, range int")), ["o", "h"]).select("id", "text", "o", "h", "range", F.lit(1).alias("copy"))
+    dealt = own.unionByName(copies).repartition("range")
     dealt = dealt.select("*", *[c.alias(name) for name, c in derive.items()])
-    w = Window.partitionBy("range").orderBy("copy", F.col("id").asc_nulls_first(), "text")
-    return dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in lead]).filter("copy = 0")
+    w = Window.partitionBy("range").orderBy("copy", "o", "h", "text")
+    return dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in lead]).filter("copy = 0").drop("o", "h", "copy", "range")
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SKETCH) -> DataFrame:

@@ -252,3 +252,35 @@ def test_closed_blocks_change_no_bin():
         capacity, sources, clusters = rng.choice([20, 100, 1000]), rng.choice([1, 3, 40]), rng.choice([4, 60])
         pieces = sorted(((rng.randrange(capacity + 1), rng.randrange(sources), rng.randrange(-1, clusters)) for _ in range(rng.randrange(1, 400))), key=lambda p: -p[0])
         assert packing.best_fit(pieces, capacity) == plain(pieces, capacity, packing.PER_SOURCE)
+
+
+# --- 7: neighbours with hot ids and hot rows ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("least", [1, 512])
+def test_neighbours_with_a_hot_id_and_a_hot_row(spark, monkeypatch, least):
+    monkeypatch.setattr(sketch, "LEAST_RANGES", least)
+    monkeypatch.setattr(sketch, "RANGE_ROWS", 40)
+    rng = random.Random(2)
+    rows = [(7, "same row")] * 500 + [(None, f"no id {n}") for n in range(300)] + [(11, f"one id {rng.random()}") for _ in range(300)] + [(n, f"text {n}") for n in range(-200, 300)] + [(2**62, "far"), (-(2**62), "low")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    out = sketch.with_next(docs, "id", {"size": F.length("text")}, ["id", "text"]).collect()
+    assert len(out) == len(rows) and collections.Counter((r.id, r.text) for r in out) == collections.Counter(rows)
+    # Following the links gives each row once, ids ascending, and ends where it began.
+    follows = collections.defaultdict(list)
+    for r in out:
+        follows[r.id, r.text].append((r.next_id, r.next_text))
+    assert collections.Counter((r.next_id, r.next_text) for r in out) == collections.Counter(rows)
+    key = lambda i: -(2**63) if i is None else i
+    assert sum(key(r.next_id) < key(r.id) for r in out) == 1
+    assert follows[7, "same row"].count((7, "same row")) == 499
+    ids = sorted({key(i) for i, _ in rows})
+    after = dict(zip(ids, ids[1:] + ids[:1]))
+    assert all(key(r.next_id) in (key(r.id), after[key(r.id)]) for r in out)
+
+
+def test_neighbours_of_one_row_and_of_none(spark):
+    one = spark.createDataFrame([(3, "alone")], "id long, text string")
+    assert [tuple(r) for r in sketch.with_next(one, "id", {}, ["id", "text"]).collect()] == [(3, "alone", 3, "alone")]
+    assert sketch.with_next(one.limit(0), "id", {}, ["id", "text"]).count() == 0
