@@ -9,7 +9,12 @@ the piece before it is taken back. A sequence whose neighbours all pass is the m
 
 Runs of spaces have pieces that all share one score, so their merges go by position; they come last and
 are computed by merging (a run's pieces repeat, so this costs nothing for long ones). Characters outside
-the vocabulary become byte pieces. Null or empty text gives the begin and end ids alone.
+the vocabulary become byte pieces.
+
+Null or empty text gives the begin and end ids alone, and decodes to empty text. Very long texts and very long words are encoded whole,
+in time linear in their length. Repeated rows each have their own, equal result; so have repeated and null ids. Pieces of
+equal score (ties) are taken as the library takes them, the leftmost first. An empty table gives an empty result. Further
+columns of docs, whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ longer; a task reads and writes whole archives, one at a time. ``write_arc`` mak
 archives from pages, ``convert`` turns ARC archives into WARC archives (a warcinfo record, then a gzip member per record),
 ``read_warc`` reads those back. A header line's fields are read from both ends, so addresses and content types may
 hold blanks. After a record whose header line or length is wrong, reading goes on at the next header line whose declared
-length ends at a record's end; what lies between is a row of ``broken_records`` (and none of ``convert``).
+length ends at a record's end; what lies between is a row of ``broken_records`` (and none of ``convert``). Of a gzipped archive
+that is cut off or damaged the records before the damage count, and the rest is such a row too.
 
 Of records with one payload (at least LEAST_BYTES long) the one with the largest page id becomes the response; the
 others revisit it, carry no payload and refer to its record identifier, address and date. Null html is an empty payload. Rows that
@@ -175,6 +176,28 @@ def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(batches, ARC_SCHEMA)
 
 
+def _plain(content: bytes) -> tuple[bytes, int]:
+    """An archive's bytes, unzipped where it is gzipped (member by member), and how many compressed bytes at its end can't be read."""
+    if content[:2] != b"\x1f\x8b":
+        return content, 0
+    out, at = [], 0
+    while at < len(content):
+        unpack = zlib.decompressobj(31)
+        try:
+            out.append(unpack.decompress(content[at:]))
+        except zlib.error:  # what the member gives up to the damage
+            unpack, step = zlib.decompressobj(31), 512
+            for begin in range(at, len(content), step):
+                try:
+                    out.append(unpack.decompress(content[begin : begin + step]))
+                except zlib.error:
+                    return b"".join(out), len(content) - begin
+        if not unpack.eof:
+            return b"".join(out), len(content) - at
+        at = len(content) - len(unpack.unused_data)
+    return b"".join(out), 0
+
+
 def read_arc(archives: DataFrame) -> DataFrame:
     """A row per record of ARC archives, plain or gzipped, in RECORD_SCHEMA: the HTTP head apart from the payload."""
     return _records(archives, False).drop("hash", "bytes")
@@ -202,8 +225,8 @@ def _records(archives: DataFrame, small: bool) -> DataFrame:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for content in part.column(0).to_pylist():
-                plain = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                rows = [told(record(r)) for r in parse_arc(plain)]
+                plain, unread = _plain(content)
+                rows = [told(record(r)) for r in (*parse_arc(plain), *([{"broken": True, "version": 0}] if unread else []))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -211,14 +234,14 @@ def _records(archives: DataFrame, small: bool) -> DataFrame:
 
 
 def broken_records(archives: DataFrame) -> DataFrame:
-    """(archive, start, length) of every stretch of an ARC archive that could not be read as a record."""
+    """(archive, start, length) of every stretch of an ARC archive that could not be read as a record; of a damaged gzip archive the start in what was unzipped and the number of compressed bytes left."""
     ready(archives.sparkSession)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for name, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                plain = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                rows = [(name, r["start"], r["length"]) for r in parse_arc(plain) if r.get("broken")]
+                plain, unread = _plain(content)
+                rows = [(name, r["start"], r["length"]) for r in parse_arc(plain) if r.get("broken")] + ([(name, len(plain), unread)] if unread else [])
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["archive", "start", "length"])
 
     return archives.select("archive", "content").mapInArrow(batches, "archive string, start long, length long")

@@ -175,6 +175,44 @@ def test_more_languages_than_any_bound(spark, monkeypatch):
     assert collections.Counter(map(tuple, quality_rules.digest(docs).collect())) == want
 
 
+def test_damaged_gzip_archives_are_read_up_to_the_damage(spark):
+    import gzip
+
+    raw = warc.arc_archive("x", 1, [(f"http://h/{n}", "20250101000000", "text/html", random.Random(n).randbytes(3000)) for n in range(9)])
+    whole = gzip.compress(raw, 1, mtime=0)
+    members = b"".join(gzip.compress(raw[i : i + 3000], 1, mtime=0) for i in range(0, len(raw), 3000))
+    hurt = bytearray(whole)
+    hurt[-400] ^= 255
+    rows = [("cut", bytearray(whole[: len(whole) // 2])), ("whole", bytearray(whole)), ("members", bytearray(members)), ("hurt", hurt), ("head", bytearray(whole[:4])), ("tail", bytearray(members + members[:20]))]
+    archives = spark.createDataFrame(rows, warc.ARC_SCHEMA)
+    read = {name: warc.read_arc(archives.filter(F.col("archive") == name)).filter("type <> 'broken'").count() for name, _ in rows}
+    assert read["whole"] == read["members"] == read["tail"] == 9 and 0 < read["cut"] < 9 and read["head"] == 0
+    assert {r.archive for r in warc.broken_records(archives).collect()} == {"cut", "hurt", "head", "tail"}
+    assert warc.convert(archives).count() >= 1
+
+
+def test_awkward_tables_go_through_the_pipeline(spark):
+    import corpus_pipeline
+
+    good = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone"
+    texts = [None, "", good, good, good + " token = abcdef123456", "x " * 30, " ".join(f"v{i % 811}y{i}" for i in range(9000)), "deux " + good[::-1]]
+    own = spark.createDataFrame([*clashing(texts), (None, good + " more words", None, None, None, *[None] * 9)], CLASHING)
+    labels = spark.createDataFrame([(2, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality rules"](spark, own, "")
+    assert kept.columns == own.columns and {r.doc_id for r in kept.collect()} == {2, 3, 4, 6, 7, None}
+    assert importance.keep_selected(kept, labels).columns == own.columns
+    one = stages["near-duplicates"](spark, kept, "")
+    left = one.collect()
+    assert one.columns == own.columns and sum(r.text == good for r in left) == 1 and any(r.doc_id == 6 for r in left) and any(r.doc_id == 7 for r in left)
+    clean = stages["secret scan"](spark, one, "")
+    assert clean.columns == own.columns and clean.count() == len(left) and not any("abcdef123456" in r.text for r in clean.collect())
+    assert stages["best-fit packing"](spark, clean, "").select("doc_id").distinct().count() == len({r.doc_id for r in left})
+    for _, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:]:
+        assert stage(spark, own.limit(0), "").count() == 0
+    assert importance.keep_selected(own.limit(0), labels).count() == 0
+
+
 # --- awkward tables -----------------------------------------------------------------------------------------------
 
 
