@@ -81,6 +81,7 @@ def titles(pages: DataFrame) -> DataFrame:
 
 
 def emails(pages: DataFrame) -> DataFrame:
+    """(page_id, service, url, pos, email): each address of a page once, in lower case, in the order of the page."""
     return _each(pages, F.array_distinct(F.transform(find_all(F.col("html"), EMAIL), lambda x: F.lower(x))), "email")
 
 

@@ -8,15 +8,28 @@ from pyspark.sql import functions as F
 from siftwell.functions.rules import CRITICAL, HIGH, LOW, MEDIUM
 
 # Fixed values.
-TAGS = {
-    ("exif_gps", CRITICAL): ["GPSLatitude", "GPSLongitude", "GPSLatitudeRef", "GPSLongitudeRef"],
-    ("exif_camera", MEDIUM): ["Make", "Model"],
-    ("exif_serial", HIGH): ["SerialNumber", "CameraSerialNumber", "BodySerialNumber", "LensSerialNumber"],
-    ("exif_software", LOW): ["Software", "ProcessingSoftware"],
-    ("exif_author", HIGH): ["Artist", "Author", "Copyright", "XPAuthor"],
-    ("exif_datetime", LOW): ["DateTimeOriginal", "DateTimeDigitized", "DateTime"],
-    ("exif_computer", MEDIUM): ["HostComputer"],
-}
+TAGS = [
+    ("GPSLatitude", "exif_gps", CRITICAL),
+    ("GPSLongitude", "exif_gps", CRITICAL),
+    ("GPSLatitudeRef", "exif_gps", CRITICAL),
+    ("GPSLongitudeRef", "exif_gps", CRITICAL),
+    ("Make", "exif_camera", MEDIUM),
+    ("Model", "exif_camera", MEDIUM),
+    ("SerialNumber", "exif_serial", HIGH),
+    ("CameraSerialNumber", "exif_serial", HIGH),
+    ("BodySerialNumber", "exif_serial", HIGH),
+    ("LensSerialNumber", "exif_serial", HIGH),
+    ("Software", "exif_software", LOW),
+    ("ProcessingSoftware", "exif_software", LOW),
+    ("Artist", "exif_author", HIGH),
+    ("Author", "exif_author", HIGH),
+    ("Copyright", "exif_author", HIGH),
+    ("XPAuthor", "exif_author", HIGH),
+    ("DateTimeOriginal", "exif_datetime", LOW),
+    ("DateTimeDigitized", "exif_datetime", LOW),
+    ("DateTime", "exif_datetime", LOW),
+    ("HostComputer", "exif_computer", MEDIUM),
+]
 INFO_FIELDS = {"author": "Author", "creator": "Creator", "producer": "Producer", "title": "Title", "subject": "Subject", "keywords": "Keywords", "creationDate": "CreationDate", "modDate": "ModDate"}
 XMP_FIELDS = {
     "xmp_creator": r"<dc:creator[^>]*>.*?<rdf:li[^>]*>([^<]+)</rdf:li>",
@@ -31,12 +44,12 @@ FIELD_TYPES = {
     "xmp_documentId": ("pdf_document_id", MEDIUM), "xmp_instanceId": ("pdf_document_id", MEDIUM), "xmp_originalDocId": ("pdf_document_id", MEDIUM), "xmp_creator": ("pdf_xmp_creator", HIGH),
     "creationDate": ("pdf_timezone", MEDIUM), "modDate": ("pdf_timezone", MEDIUM),
 }
+# End of the fixed values.
 
 
 def image_tags(tags: DataFrame) -> DataFrame:
     """tags (service, image_url, page_url, tag, value) to findings."""
-    rows = [(tag, t, s) for (t, s), names in TAGS.items() for tag in names]
-    kinds = tags.sparkSession.createDataFrame(rows, "tag string, type string, severity int")
+    kinds = tags.sparkSession.createDataFrame(TAGS, "tag string, type string, severity int")
     found = tags.join(F.broadcast(kinds), "tag")
     return found.select("service", "type", "severity", F.concat("tag", F.lit(": "), "value").alias("value"), F.concat("page_url", F.lit(" -> "), "image_url").alias("location"))
 

@@ -16,7 +16,7 @@ from . import seeds
 from .catalog import FOUND_SQL, KEEP, LINKS_SQL, PLAIN, PLAIN_TAGS, SHOWN, TAGS, P, emails_sql, family_sql, found, pages, plain, query
 from .seeds import quoted
 
-_TAGS = [(t, kind, s) for (kind, s), names in files.TAGS.items() for t in names] + [("ColorSpace", None, 0)]
+_TAGS = [*files.TAGS, ("ColorSpace", None, 0)]
 _tag_names = [t for t, _, _ in _TAGS]
 
 

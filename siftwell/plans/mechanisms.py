@@ -84,6 +84,11 @@ def commented_markup(spark, d):
     return out
 
 
+@query(P + "SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, e AS email FROM (SELECT page_id, e, min(i) AS i FROM (SELECT page_id, lower(unnest(l)) AS e, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}') AS l FROM p)) GROUP BY page_id, e)")
+def page_emails(spark, d):
+    return extract.emails(pages(spark, d)).select("page_id", "pos", "email")
+
+
 # --- batches with failures ----------------------------------------------------------------------------------------
 
 
