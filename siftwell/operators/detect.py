@@ -14,6 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.functions import dims
 from siftwell.functions import rules as R
 from siftwell.functions.patterns import find_first
 
@@ -278,6 +279,30 @@ def presence(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "service", "url", page.alias("page")).select("page_id", "service", "url", F.explode(bound(F.col("page"), names.of)).alias("type"))
 
 
+#: What else of the mapped types a page's body shows.
+PRESENCE_MORE = {
+    "external_cdn": (r"""(?i)<(?:script|link|img)\s[^>]*(?:src|href)\s*=\s*["']?(?:https?:)?//[a-z0-9.-]*(?:cloudflare\.com|jsdelivr\.net|unpkg\.com|googleapis\.com|gstatic\.com|bootstrapcdn\.com|fontawesome\.com)""", ("cloudflare.com", "jsdelivr.net", "unpkg.com", "googleapis.com", "gstatic.com", "bootstrapcdn.com", "fontawesome.com")),
+    "external_api": (r"""(?i)(?:fetch|axios(?:\.[a-z]+)?|\.open|eventsource)\s*\(\s*["'`](?:[a-z]+["']\s*,\s*["'])?https?://""", ("fetch", "axios", ".open", "eventsource")),
+}
+
+
+def presence_findings(pages: DataFrame) -> DataFrame:
+    """(page_id, service, url, type, severity): every mapped type that a page's path, body or headers show by themselves, with the mapping's severity."""
+    more = [Spec(f"presence {n}", p, lit, mode="flag", fixed=n) for n, (p, lit) in PRESENCE_MORE.items()]
+    names = presence_names()
+    every = Detector(lambda p: F.concat(names.of(p), _of_specs(p["found"], more)), distinct([*names.text_specs, *more]), names.url_specs)
+    head = lambda name: F.nullif(F.get(F.col("headers")[name], 0), F.lit(""))
+    shown = F.array_compact(F.array(
+        F.when(head("cf-ray").isNotNull() | F.lower(head("server")).contains("cloudflare"), "cloudflare_detected"),
+        F.when(head("x-frame-options").isNull(), "x_frame_options"),
+        F.when(head("server-timing").isNotNull(), "server_timing"),
+    ))
+    page = one_page(pages.sparkSession, F.col("html"), every)
+    found = pages.select("page_id", "service", "url", page.alias("page"), shown.alias("shown")).select("page_id", "service", "url", F.explode(F.concat(bound(F.col("page"), every.of), "shown")).alias("type"))
+    levels = dims.finding_types(pages.sparkSession).filter("type = map_type").select("type", F.col("map_severity").alias("severity"))
+    return found.join(F.broadcast(levels), "type").select("page_id", "service", "url", "type", "severity")
+
+
 def content_hits() -> Detector:
     """Every content detector as one."""
     plain = [r for f in ("keys", "apileak", "cloud", "analytics", "social", "fingerprint", "malicious", "email") for r in R.BY_FAMILY[f]]

@@ -89,6 +89,38 @@ def page_emails(spark, d):
     return extract.emails(pages(spark, d)).select("page_id", "pos", "email")
 
 
+#: By remainder: what is put into a page, its path and its header; and what the types of that are, with their severities by hand.
+_SHOWING = [
+    ('<script src="//cdn.jsdelivr.net/x.js"></script>', "/robots.txt", None, [("external_cdn", 3), ("robots_txt", 0), ("x_frame_options", 1)]),
+    ("fetch('https://api.example.org/v1')", "/sitemap_2.xml?x", None, [("external_api", 3), ("sitemap_xml", 0), ("x_frame_options", 1)]),
+    ("x.open('GET', 'http://api.example.org')", "/hostname", ("server-timing", "db;dur=1"), [("external_api", 3), ("hostname_file", 4), ("server_timing", 1), ("x_frame_options", 1)]),
+    ("<title>Index of /files</title><FORM >", "/nginx_status", ("x-frame-options", "DENY"), [("open_directory", 2), ("form_detected", 0), ("nginx_status", 3)]),
+    ("-----BEGIN PGP PUBLIC KEY BLOCK----- wss://a.example/x", "/a", ("cf-ray", "7d0"), [("pgp_key", 0), ("websocket_external", 3), ("cloudflare_detected", 3), ("x_frame_options", 1)]),
+    ("<link href='https://fonts.googleapis.com/css'> fetch('/own')", "/a", ("server", "cloudflare"), [("google_fonts", 3), ("external_cdn", 3), ("cloudflare_detected", 3), ("x_frame_options", 1)]),
+]
+_types = ", ".join(f"({n}, {quoted(t)}, {s})" for n, (_, _, _, out) in enumerate(_SHOWING) for t, s in out)
+
+
+@query(f"SELECT page_id, type, severity FROM pages JOIN (VALUES {_types}) AS v(n, type, severity) ON page_id % {len(_SHOWING)} = n")
+def presence_of_every_type(spark, d):
+    """All fourteen types that a page's path, body or headers show by themselves. The path stands behind a page's own address, the text in place of its own."""
+    names = [x[2] for x in _SHOWING]
+    heads = seeds.pick([F.create_map(F.lit(x[0]), F.array(F.lit(x[1]))) if x else F.create_map().cast("map<string,array<string>>") for x in names], "page_id")
+    url = F.concat(F.lit("http://"), "service", seeds.pick([F.lit(x[1]) for x in _SHOWING], "page_id"))
+    own = plain(spark, d).withColumn("html", F.concat(seeds.pick([F.lit(x[0]) for x in _SHOWING], "page_id"), F.lit(" "), "page_id")).withColumn("url", url).withColumn("headers", heads)
+    return detect.presence_findings(own).select("page_id", "type", "severity")
+
+
+_LONG = 600_000
+
+
+@query(f"SELECT page_id, sha256(t) AS raw_hash, least(length(t), 524288)::INT AS kept FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN repeat('x', {_LONG}) || page_id WHEN page_id % 7 = 1 THEN repeat('y', 524288) ELSE 'short' END AS t FROM pages)")
+def bounded_snapshots(spark, d):
+    """Snapshots of pages over, at and under the limit; the hash is of the whole body."""
+    body = F.when(F.col("page_id") % 7 == 0, F.concat(F.repeat(F.lit("x"), _LONG), "page_id")).when(F.col("page_id") % 7 == 1, F.repeat(F.lit("y"), captures.SNAPSHOT_BYTES)).otherwise("short")
+    return captures.normalize_pages(plain(spark, d).withColumn("html", body)).select("page_id", "raw_hash", F.length("snapshot").alias("kept"))
+
+
 # --- batches with failures ----------------------------------------------------------------------------------------
 
 
