@@ -12,7 +12,7 @@ from siftwell.sources import captures, stores
 from siftwell.streaming import feed, recency
 
 from . import seeds
-from .catalog import EVENTS, FOUND_SQL, SCANS_SQL, P, crawl_log, emails_sql, found, pages, plain, query
+from .catalog import EVENTS, FOUND_SQL, IPV4_SQL, SCANS_SQL, P, crawl_log, emails_sql, found, pages, plain, query
 from .catalog import scans as scan_rows
 from .extra import _scratch
 from .seeds import quoted
@@ -142,7 +142,7 @@ def _batch(spark, d) -> tuple:
 
 _broken = "(page_id = 17 OR page_id % 1000 = 18)"
 _mails = f"SELECT page_id, service FROM ({emails_sql('p')})"
-_ips = "SELECT DISTINCT page_id, service, '8.8.4.4' AS value FROM p WHERE contains(html, '8.8.4.4')"
+_ips = IPV4_SQL
 
 
 @query(P + f", f AS (SELECT service, 'mail' AS step, count(*) AS findings FROM ({_mails}) GROUP BY service UNION ALL SELECT service, 'size', count(*) FROM p WHERE NOT {_broken} GROUP BY service UNION ALL SELECT service, 'address', count(*) FROM ({_ips}) GROUP BY service) "
