@@ -13,6 +13,7 @@ import zlib
 from functools import cache
 from typing import NamedTuple
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -52,13 +53,8 @@ class Matcher:
             for x in s.literals:
                 by.setdefault(x, []).append(n)
         self.always = [n for n, s in enumerate(specs) if not s.literals]
-        self.literals = by
         self.automaton = None
         if by:
-            try:
-                import ahocorasick
-            except ImportError:  # then each literal is looked for by itself
-                return
             self.automaton = ahocorasick.Automaton()
             for x, places in by.items():
                 self.automaton.add_word(x, (x, places))
@@ -68,12 +64,8 @@ class Matcher:
         """Places of the specs that can match."""
         tried = set(self.always)
         if self.automaton is not None:
-            for x in {x: places for _, (x, places) in self.automaton.iter(low)}.values():
-                tried.update(x)
-        else:
-            for x, places in self.literals.items():
-                if x in low:
-                    tried.update(places)
+            for places in {x: places for _, (x, places) in self.automaton.iter(low)}.values():
+                tried.update(places)
         if any(self.specs[n][0].run for n in tried) and not LONG_RUN.search(text):
             tried = {n for n in tried if not self.specs[n][0].run}
         return sorted(tried)

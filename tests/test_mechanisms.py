@@ -267,12 +267,10 @@ def test_the_literal_index_loses_nothing(spark):
     specs = detect.content_hits().text_specs
     pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
     texts = [f"{h} {s}" for h, s in zip(pages, seeds.SNIPPETS * 9)] + ["", "1.2.3.4", "Warning: x in /a on line 3", "q" * 40] + [" ".join(rng.choice(seeds.SNIPPETS) for _ in range(6)).swapcase() for rng in [random.Random(4)] for _ in range(80)]
-    with_index, without = matching.Matcher(specs), matching.Matcher(specs)
-    without.automaton = None
-    hits = 0
+    with_index, hits = matching.Matcher(specs), 0
     for text in texts:
         want = plain_found(specs, text)
-        assert with_index.found(text) == without.found(text) == want
+        assert with_index.found(text) == want
         hits += len(want)
     assert hits > 500
 
