@@ -20,8 +20,9 @@ _COMMENT = r"<!--(?:-?>|[\s\S]*?(?:--!?>|\z))"
 _RAW = rf"(?<open><(?<name>{'|'.join(RAW)})(?=[\s/>]){_ATTRIBUTES}>)[\s\S]*?(?=</\k<name>[\s/>]|\z)"
 _TITLE = rf"(?<title><title(?=[\s>]){_ATTRIBUTES}>[^<]*+)[\s\S]*?(?=</title[\s/>]|\z)"
 _TAG = rf"(?<tag></?[a-zA-Z]{_ATTRIBUTES}>)"
-TOKENS = f"(?i){_COMMENT}|{_RAW}|{_TITLE}|{_TAG}"
-COMMENTS = f"(?i)(?<comment>{_COMMENT})|{_RAW}|{_TITLE}|{_TAG}"
+# All of it begins with "<": the look-ahead passes other characters at little cost.
+TOKENS = f"(?i)(?=<)(?:{_COMMENT}|{_RAW}|{_TITLE}|{_TAG})"
+COMMENTS = f"(?i)(?=<)(?:(?<comment>{_COMMENT})|{_RAW}|{_TITLE}|{_TAG})"
 
 
 def tags_only(html: Column) -> Column:
