@@ -19,9 +19,9 @@ def query(frame: DataFrame, service: str | None = None, type_: str | None = None
 
 
 def shared(findings: DataFrame) -> DataFrame:
-    """(type, value, n, first, last): values on more than one service, how many have them, and the first and last of these by name; linked() lists them all."""
+    """(type, value, n, services): values on more than one service, how many have them, and all of these by name; (service, value) is distinct before the lists."""
     one = findings.select("service", "type", "value").distinct()
-    return one.groupBy("type", "value").agg(F.count("*").alias("n"), F.min("service").alias("first"), F.max("service").alias("last")).filter("n > 1")
+    return one.groupBy("type", "value").agg(F.count("service").alias("n"), F.array_sort(F.collect_list("service")).alias("services")).filter("n > 1")
 
 
 def linked(findings: DataFrame) -> DataFrame:

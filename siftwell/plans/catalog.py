@@ -88,9 +88,9 @@ def ipv4_findings(spark, d):
     return detect.ipv4(documents(spark, d)).select("page_id", "service", "value")
 
 
-@query(DOCS + f", f AS ({IPV4_SQL}) SELECT value, count(DISTINCT service) AS n, min(service) AS first, max(service) AS last FROM f GROUP BY value HAVING count(DISTINCT service) > 1")
+@query(DOCS + f", f AS ({IPV4_SQL}) SELECT value, count(DISTINCT service) AS n, array_to_string(list_sort(list(DISTINCT service)), ',') AS services FROM f GROUP BY value HAVING count(DISTINCT service) > 1")
 def ipv4_shared_across_sources(spark, d):
-    return edges.shared(detect.ipv4(documents(spark, d))).select("value", "n", "first", "last")
+    return edges.shared(detect.ipv4(documents(spark, d))).select("value", "n", F.array_join("services", ",").alias("services"))
 
 
 # --- pattern families ---------------------------------------------------------------------------------------------
@@ -486,7 +486,7 @@ def identifier_counts(spark, d):
 
 @query(f"SELECT type, value, count(DISTINCT service) AS n, min(service) AS first, max(service) AS last FROM ({FOUND_SQL}) GROUP BY type, value HAVING count(DISTINCT service) > 1")
 def shared_identifiers(spark, d):
-    return edges.shared(found(spark, d))
+    return edges.shared(found(spark, d)).select("type", "value", "n", F.get("services", 0).alias("first"), F.element_at("services", -1).alias("last"))
 
 
 @query(f"SELECT DISTINCT f.type, f.value, h.hub, f.service FROM ({FOUND_SQL}) f JOIN (SELECT type, value, min(service) AS hub FROM ({FOUND_SQL}) GROUP BY ALL) h USING (type, value) WHERE f.service <> h.hub")

@@ -297,6 +297,17 @@ def test_keys_that_pages_hold_themselves_hide_none(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(con.sql(catalog.oracle_sql()["keys_in_raw"]).fetchall()) and len(got) == 21
 
 
+@pytest.mark.parametrize(("name", "want"), [
+    ("ipv4_shared_across_sources", {("8.8.4.4", 3, "a,b,c")}),
+])
+def test_every_value_and_every_service_is_listed(spark, tmp_path, name, want):
+    docs = [(1, "n@x.org m@x.org 8.8.4.4", "a"), (2, "N@x.org 8.8.4.4", "b"), (3, "8.8.4.4 9.9.9.9", "c"), (4, "8.8.4.4", "a"), (5, "9.9.9.9", None), (6, None, "d")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()} == want == set(con.sql(catalog.oracle_sql()[name]).fetchall())
+
+
 # --- reports and dimensions ---------------------------------------------------------------------------------------
 
 
