@@ -41,6 +41,11 @@ def identifiers(findings: DataFrame, scope: list[str]) -> DataFrame:
     return findings.select(*scope, "type", "value").distinct()
 
 
+def identifier_sets(findings: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, type, values, n): all distinct values of each type in order, and how many; they are made distinct before the lists are built."""
+    return identifiers(findings, scope).groupBy(*scope, "type").agg(F.array_sort(F.collect_list("value")).alias("values"), F.count("value").alias("n"))
+
+
 def identifier_counts(findings: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, type, n): how many distinct values of each type."""
     return identifiers(findings, scope).groupBy(*scope, "type").agg(F.count("*").alias("n"))

@@ -474,9 +474,9 @@ def findings_enriched(spark, d):
     return findings.enriched(found(spark, d)).select("service", "value", "seq", "severity", "severity_text", "map_type", "map_severity", "impact", "recommendation")
 
 
-@query(f"SELECT DISTINCT service, type, value FROM ({FOUND_SQL})")
+@query(f'SELECT service, type, array_to_string(list_sort(list(DISTINCT value)), \',\') AS "values", count(DISTINCT value) AS n FROM ({FOUND_SQL}) GROUP BY service, type')
 def identifier_sets(spark, d):
-    return findings.identifiers(found(spark, d), ["service"])
+    return findings.identifier_sets(found(spark, d), ["service"]).select("service", "type", F.array_join("values", ",").alias("values"), "n")
 
 
 @query(f"SELECT service, type, count(DISTINCT value) AS n FROM ({FOUND_SQL}) GROUP BY service, type")
