@@ -300,6 +300,7 @@ def test_keys_that_pages_hold_themselves_hide_none(spark, tmp_path):
 @pytest.mark.parametrize(("name", "want"), [
     ("ipv4_shared_across_sources", {("8.8.4.4", 3, "a,b,c")}),
     ("identifier_sets", {("a", "email", "m@x.org,n@x.org", 2), ("a", "clearnet_ip", "8.8.4.4", 1), ("b", "email", "n@x.org", 1), ("b", "clearnet_ip", "8.8.4.4", 1), ("c", "clearnet_ip", "8.8.4.4,9.9.9.9", 2), (None, "clearnet_ip", "9.9.9.9", 1)}),
+    ("shared_identifiers", {("clearnet_ip", "8.8.4.4", 3, "a,b,c"), ("email", "n@x.org", 2, "a,b")}),
 ])
 def test_every_value_and_every_service_is_listed(spark, tmp_path, name, want):
     docs = [(1, "n@x.org m@x.org 8.8.4.4", "a"), (2, "N@x.org 8.8.4.4", "b"), (3, "8.8.4.4 9.9.9.9", "c"), (4, "8.8.4.4", "a"), (5, "9.9.9.9", None), (6, None, "d")]
