@@ -177,6 +177,34 @@ def test_judgements_do_not_depend_on_batches(spark, tmp_path):
         assert {r.number: r.status for r in got} == want and len(got) == 600
 
 
+def test_pages_of_a_bucket_share_calls_and_timers(spark, tmp_path, monkeypatch):
+    """As many state calls as buckets, not as pages; each page has its own times, null names too, and what has run out is forgotten."""
+    start = dt.datetime(2025, 1, 1)
+    rows = [(None if p == 3 else f"s{p % 5}", f"/{p}", 1000 * b + p, start + dt.timedelta(hours=b, seconds=p), start + dt.timedelta(hours=b, seconds=p + 1)) for b in range(4) for p in range(400) if b != 1 or p % 2]
+    schema = "service string, canon string, number long, ts timestamp, arrived timestamp"
+    for b in range(4):
+        spark.createDataFrame([r for r in rows if r[2] // 1000 == b], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    calls, groups = spark.sparkContext.accumulator(0), type(spark.range(1).groupBy())
+    plain = groups.applyInPandasWithState
+
+    def counted(self, step, *rest):
+        def one(key, parts, state):
+            calls.add(1)
+            yield from step(key, parts, state)
+
+        return plain(self, one, *rest)
+
+    monkeypatch.setattr(groups, "applyInPandasWithState", counted)
+    for q in recency.write_judged(feed.captures(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, 1), f"{tmp_path}/out", f"{tmp_path}/log", "90 minutes", "10 minutes", buckets=8):
+        q.awaitTermination()
+    assert calls.value <= 8 * 2 * 6
+    got = {r.number: r.status for r in spark.read.schema(recency.JUDGED).parquet(f"{tmp_path}/out/judged").collect()}
+    # Odd pages are fetched at 0 and 2, even ones, which miss hour 1, at 0 and 2 too; hours 1 and 3 are within 90 minutes.
+    assert got == {r[2]: "fetch" if r[2] // 1000 in (0, 2) else "recent" for r in rows}
+    kept = spark.read.format("statestore").load(f"{tmp_path}/log/judged").selectExpr("sum(size(value.groupState.times)) AS n").first()
+    assert kept.n == 400
+
+
 # --- stored tables ------------------------------------------------------------------------------------------------
 
 
