@@ -1,9 +1,9 @@
 """Named steps over many services as one batch: a failure costs the pages that cause it, and every step leaves a record.
 
 A step is a function from pages to findings and runs as one job over all services. If it fails, its pages are dealt into PARTS
-folders by a hash of their key, and each part runs alone; parts that fail are dealt again, until a failing part holds one
-page. That page gets an error row and all others keep their findings. Without failures nothing is dealt; with some, a
-failing part is written once for each level, so the extra work is about that of the failing parts and not of the table.
+folders by a hash of their key, and each part runs alone. The pages of all parts that fail are dealt together again, into SPREAD parts for
+each of these, until a failing part holds one page. That page gets an error row and all others keep their findings. Without failures nothing is dealt; with some,
+the pages are written once, then those of failing parts once for each level. So the jobs follow the failing pages and not the table.
 
 Findings go to ``<folder>/findings``, error rows to ``<folder>/errors``, and one row for each step to ``<folder>/steps``. What a step
 wrote is counted while it is written (an observed metric), not by reading it again.
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-PARTS, AT_ONCE, DEPTH = 16, 4, 16
-#: Failed pages of a step that are looked for one by one.
+PARTS, SPREAD, AT_ONCE, DEPTH = 64, 4, 16, 32
+#: A step that fails on every part of a level, of which there are so many, can't work at all.
 MOST_ALONE = 1000
 COLUMNS = ["page_id", "service", "url", "type", "title", "severity", "value"]
 ERRORS = "step string, page_id long, service string, condition string, error string"
@@ -98,53 +98,65 @@ class _Failures:
     """A step's error rows so far, which Spark writes; in the driver is only their number and the first condition."""
 
     def __init__(self, step: Step, folder: str):
-        self.step, self.folder, self.lock = step, folder, threading.Lock()
+        self.step, self.folder = step, folder
         self.n, self.first = 0, None
 
-    def add(self, pages: DataFrame, error: BaseException) -> None:
-        path = f"{self.folder}/errors/{uuid.uuid4().hex}"
-        told = pages.select("page_id", "service").distinct().select(F.lit(self.step.name).alias("step"), "page_id", "service", F.lit(condition_of(error)).alias("condition"), F.lit(text_of(error)).alias("error"))
-        told.write.parquet(path)
-        n = pages.sparkSession.read.parquet(path).count()
-        with self.lock:
-            self.n, self.first = self.n + n, self.first or condition_of(error)
+    def add(self, dealt: DataFrame, errors: dict[int, BaseException]) -> None:
+        """Error rows for the pages of these parts of dealt."""
+        spark, path, counted = dealt.sparkSession, f"{self.folder}/errors/{uuid.uuid4().hex}", Observation()
+        why = spark.createDataFrame([(p, condition_of(e), text_of(e)) for p, e in errors.items()], "__part int, condition string, error string")
+        pages = dealt.filter(F.col("__part").isin(list(errors))).select("__part", "page_id", "service").distinct()
+        told = pages.join(F.broadcast(why), "__part").select(F.lit(self.step.name).alias("step"), "page_id", "service", "condition", "error")
+        told.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        self.n, self.first = self.n + counted.get["n"], self.first or condition_of(next(iter(errors.values())))
 
 
-def _isolated(failures: _Failures, pages: DataFrame, scratch: str, until: float | None, level: int = 0) -> int:
+def _isolated(failures: _Failures, pages: DataFrame, scratch: str, until: float | None) -> int:
     """The number of findings of pages on which the step has failed, whose error rows go to failures."""
-    spark, path, step = pages.sparkSession, f"{scratch}/{uuid.uuid4().hex}", failures.step
-    pages.withColumn("__part", F.pmod(F.xxhash64("page_id", F.lit(level)), F.lit(PARTS)).cast("int")).write.partitionBy("__part").parquet(path)
-    schema = StructType([*pages.schema.fields, StructField("__part", IntegerType())])
-
-    def one(part: int) -> int:
-        mine = spark.read.schema(schema).parquet(path).filter(F.col("__part") == part).drop("__part")
-        keys = len(mine.select("page_id").distinct().limit(2).collect())
-        if not keys:
-            return 0
-        name = f"{failures.folder}/findings/{uuid.uuid4().hex}"
-        try:
-            return _write(step, mine, name, until)
-        except TimedOut:
-            raise
-        except Exception as e:
-            _remove(spark, name)
-            if keys == 1 or level >= DEPTH or failures.n >= MOST_ALONE:
-                failures.add(mine, e)
-                return 0
-            return _isolated(failures, mine, scratch, until, level + 1)
-
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        found = sum(pool.map(one, range(PARTS)))
-    _remove(spark, path)
-    return found
+    spark, step, schema = pages.sparkSession, failures.step, pages.schema
+    found, parts, level, before = 0, PARTS, 0, None
+    while True:
+        path = f"{scratch}/{uuid.uuid4().hex}"
+        part = F.pmod(F.xxhash64("page_id", F.lit(level)), F.lit(parts)).cast("int")
+        pages.withColumn("__part", part).repartition("__part").write.partitionBy("__part").parquet(path)
+        if before is not None:
+            _remove(spark, before)
+        dealt = spark.read.schema(StructType([*schema.fields, StructField("__part", IntegerType())])).parquet(path)
+        keys = F.count_distinct("page_id") + F.max(F.col("page_id").isNull().cast("int"))
+        sizes = {r["__part"]: r["keys"] for r in dealt.groupBy("__part").agg(keys.alias("keys")).collect()}
+
+        def one(part: int) -> tuple[int, int, BaseException | None]:
+            name = f"{failures.folder}/findings/{uuid.uuid4().hex}"
+            try:
+                return part, _write(step, spark.read.schema(schema).parquet(f"{path}/__part={part}"), name, until), None  # noqa: B023
+            except TimedOut:
+                raise
+            except Exception as e:
+                _remove(spark, name)
+                return part, 0, e
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            done = list(pool.map(one, sorted(sizes)))
+        found += sum(n for _, n, _ in done)
+        failed = {p: e for p, _, e in done if e is not None}
+        never = level >= DEPTH or len(failed) == len(sizes) >= MOST_ALONE
+        errors = {p: e for p, e in failed.items() if never or sizes[p] == 1}
+        if errors:
+            failures.add(dealt, errors)
+        rest = sorted(failed.keys() - errors.keys())
+        if not rest:
+            _remove(spark, path)
+            return found
+        pages, before = dealt.filter(F.col("__part").isin(rest)).drop("__part"), path
+        parts, level = SPREAD * len(rest), level + 1
 
 
 def run_steps(pages: DataFrame, steps: list[Step], folder: str, continue_on_error: bool = True, seconds: float | None = None) -> Batch:
     """Run steps in order over pages (page_id, service, url and what the steps read) and return what they wrote into a new folder.
 
     Without continue_on_error a service that failed takes no part in later steps. seconds is the time for all steps: what runs
-    when it is over is cancelled and recorded as timed out, and later steps don't run. Once MOST_ALONE pages of a step have
-    failed, a part that fails is no longer dealt: each of its pages gets an error row, so a step that can't work at all ends.
+    when it is over is cancelled and recorded as timed out, and later steps don't run. Once a step has failed on every part of a level
+    of MOST_ALONE parts or more, none is dealt again: each of their pages gets an error row, so a step that can't work at all ends.
     """
     spark = pages.sparkSession
     until = None if seconds is None else time.monotonic() + seconds

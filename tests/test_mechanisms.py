@@ -9,6 +9,7 @@ import time
 
 import duckdb
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from siftwell.functions import rules as R
@@ -122,6 +123,20 @@ def test_failures_cost_their_pages_alone(own_pages, tmp_path):
     assert not os.listdir(tmp_path / "b" / "scratch")
 
 
+def test_many_failing_pages_are_dealt_together(spark, tmp_path, monkeypatch):
+    pages, bad = spark.range(0, 3000).selectExpr("id AS page_id", "'s' || id % 3 AS service", "'u' || id AS url", "'x' AS html"), set(range(7, 3000, 300))
+    written, ran, write = [], [], DataFrameWriter.partitionBy
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *c: written.append(c) or write(self, *c))
+
+    def run(each):
+        ran.append(1)
+        return sized(bad)(each)
+
+    done = batch.run_steps(pages, [batch.Step("size", run)], str(tmp_path / "b"))
+    assert {r.page_id for r in done.errors.collect()} == bad and done.findings.select("page_id").distinct().count() == done.findings.count() == 2990
+    assert len(written) < 10 and len(ran) < 300
+
+
 def test_a_failed_service_stops_where_asked(own_pages, tmp_path):
     done = batch.run_steps(own_pages, [batch.Step("size", sized({7})), batch.Step("mail", detect.emails)], str(tmp_path / "b"), continue_on_error=False)
     assert {r.service for r in done.findings.filter("step = 'mail'").collect()} == {"s0", "s2"}
