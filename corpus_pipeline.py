@@ -32,7 +32,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, Jaccard similarity of 0.8 at least."""
+    """Operator 4's index: one document of each near-duplicate group, five-word shingles, Jaccard similarity of 0.8 at least."""
     return similar.drop_near_duplicates(docs)
 
 

@@ -103,8 +103,11 @@ class GrayTree:
             shared = np.bitwise_and.reduceat(mask, first) & ~(both ^ any_)
             self.levels.append((group[first], shared, both & shared, first, np.append(first[1:], len(group))))
 
-    def close_pairs(self, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All pairs of positions (i < j) within the distance, in parts of bounded size."""
+    def close_pairs(self, distance: int, settled: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of positions (i < j) within the distance, in parts of bounded size; without those of two settled ones, if told."""
+        done = [] if settled is None else [settled]
+        for _, _, _, first, _ in self.levels[1:] if done else []:
+            done.append(np.logical_and.reduceat(done[-1], first))
         roots = np.arange(len(self.levels[-1][0]))
         work = [(len(self.levels) - 1, roots[a : a + FRONTIER], roots[a : a + FRONTIER], np.zeros(min(FRONTIER, len(roots) - a), np.int64)) for a in range(0, len(roots), FRONTIER)]
         while work:
@@ -130,23 +133,30 @@ class GrayTree:
                 counted = above_mask[x][pair] & above_mask[y][pair]
                 total = d[pair] + _count_bits((pattern[cx] ^ pattern[cy]) & mask[cx] & mask[cy] & ~counted)
                 keep = total <= distance
+                if done:
+                    keep &= ~(done[level - 1][cx] & done[level - 1][cy])
                 if keep.any():
                     work.append((level - 1, cx[keep], cy[keep], total[keep]))
 
 
+def united(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """root (a smallest position per component) once the pairs (left, right) are joined too."""
+    while True:
+        a, b = root[left], root[right]
+        open_ = a != b
+        if not open_.any():
+            return root
+        left, right, a, b = left[open_], right[open_], a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (up := root[root]) is not None and (up != root).any():
+            root = up
+
+
 def spanning_links(group: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) for each fingerprint whose local component has a smaller position: a star per component."""
     root = np.arange(len(fps))
     for left, right in GrayTree(group, fps).close_pairs(distance):
-        while True:
-            a, b = root[left], root[right]
-            open_ = a != b
-            if not open_.any():
-                break
-            left, right, a, b = left[open_], right[open_], a[open_], b[open_]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (up := root[root]) is not None and (up != root).any():
-                root = up
+        root = united(root, left, right)
     member = np.flatnonzero(root != np.arange(len(fps)))
     return fps[member], fps[root[member]]
 

@@ -1,13 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word-shingle sets: min-hash bands propose, exact sets decide.
+"""Near-duplicates by the Jaccard similarity of word-shingle sets: operator 4's SimHash index proposes, exact sets decide.
 
 1. Texts with equal shingle sets are one class, named by the hash of the set, so copies cost nothing further.
-2. A class has ``BANDS`` keys, each of ``BAND_ROWS`` minima of its shingle hashes; two sets of similarity s share
-   a key with probability 1 - (1 - s**6)**30, which is 0.9999 at 0.8. Simhashes can't do this: at 0.8 they
-   differ in about ten bits of 64, and no few blocks of them agree.
-3. Under each key a star to one of its classes, the one that meets most others, is checked first, exactly, on the sets
-   themselves; what links is one component. Classes of keys that are still in two components are then joined on the rare ones of
+2. A class has ``PRINTS`` fingerprints, each the bitwise majority of its shingle hashes under another seed. At a similarity
+   of 0.8 two sets differ in 0.152 of the bits at most (an angle of arccos(8/9)): in about ten of 64, so one fingerprint can't find
+   them by few differing bits, but many can by agreeing blocks.
+3. Every block of ``BLOCK`` bits of every fingerprint is a key: a pair at 0.8 shares one of the 136 with probability
+   1 - (1 - 0.848**16)**136, which is 0.9999. Under a key the fingerprints stand in Gray order below operator 4's tree
+   of shared masks and patterns, and those within ``APART`` bits (``APART_TWO`` with the next fingerprint, which such a pair keeps but
+   for 0.0005 of the keys) are one meeting. What is that close to the middle of the order is settled at once, and nodes of settled
+   ones aren't compared, so a large group of near copies costs no pairs.
+4. Few shingles often tie, and a tie is 0, so sets of ``FEW`` shingles at most also meet under each of these.
+5. A star to one of a meeting's classes, the one that meets most others, is checked first, exactly, on the sets
+   themselves, one star for a class and round; what links is one component. Classes of meetings that are still in two components are then joined on the rare ones of
    their shingles (a prefix filter, which loses no similar pair), so that a passage that many texts share proposes
-   nothing. Nothing is capped or estimated.
+   nothing. Nothing is capped, and no estimate makes a link.
 
 Texts of fewer words than a shingle are one shingle. Null or empty text is the empty set, similar to itself alone. Very long
 texts are compared whole. Of a group the smallest id stays (null last), then the smallest text hash; of repeated rows
@@ -25,11 +31,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import checkpointed, joined_by_hot_key, ready, small, text_of
-from .simhash import LOWER, components
+from .simhash import LOWER, GrayTree, components, gray_rank, united
 
 #: Words of a shingle and the least similarity of near-duplicates.
 WORDS, LEAST = 5, 0.8
-BANDS, BAND_ROWS = 30, 6
+#: Fingerprints of a set, bits of a block (a divisor of 64), and keys.
+PRINTS, BLOCK = 34, 16
+KEYS = PRINTS * 64 // BLOCK
+#: Most differing bits of the key's fingerprint, and of it and the next one.
+APART, APART_TWO = 16, 33
+#: Shingles of sets that meet under these as well.
+FEW = 25
 #: Rounds of stars, each to another component, before the prefix filter.
 STAR_ROUNDS = 2
 #: Sizes of sets by which hashes meet grow by this factor.
@@ -37,9 +49,7 @@ SIZE_STEP = 1.05
 #: Hashes (eight bytes each) that may be broadcast.
 BROADCAST_HASHES = 1_000_000
 
-_DRAWN = np.random.default_rng(42).integers(0, 1 << 63, (3, BANDS * BAND_ROWS), np.uint64)
-TIMES, PLUS = 2 * _DRAWN[0] + np.uint64(1), _DRAWN[1]
-MIX = (2 * _DRAWN[2] + np.uint64(1)).reshape(BANDS, BAND_ROWS)
+SEEDS, TIMES, MIX = np.random.default_rng(42).integers(0, 1 << 63, (3, PRINTS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -59,29 +69,95 @@ def set_hash(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes())
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key per band; none for the empty set."""
+def fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """The set's SimHash under every seed, a tie being 0; none for the empty set."""
     if not len(hashes):
         return np.empty(0, np.uint64)
-    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
-    for at in range(0, len(hashes), 1024):
-        least = np.minimum(least, (TIMES[:, None] * hashes[None, at : at + 1024] + PLUS[:, None]).min(axis=1))
-    return ((least ^ (least >> np.uint64(29))).reshape(BANDS, BAND_ROWS) * MIX).sum(axis=1, dtype=np.uint64)
+    counts = np.zeros(64 * PRINTS, np.int64)
+    for at in range(0, len(hashes), 255):  # so many fit a byte
+        x = hashes[at : at + 255, None] ^ SEEDS
+        x = (x ^ (x >> np.uint64(32))) * TIMES
+        x = (x ^ (x >> np.uint64(29))) * MIX
+        x ^= x >> np.uint64(32)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, text_hash, c, n, keys): a row per row of docs, with its class, the size of its set and its band keys."""
+    """(doc_id, text_hash, c, n, prints, few): a row per row of docs, with its class, the size of its set, its fingerprints and, of few, its shingles."""
     ready(docs.sparkSession)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             sets = [shingles(t, words) for t in part.column(2).to_pylist()]
             c = np.array([set_hash(s) for s in sets], np.uint64).view(np.int64)
-            keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(c), pa.array([len(s) for s in sets], pa.int32()), keys], ["doc_id", "text_hash", "c", "n", "keys"])
+            prints = pa.array([fingerprints(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            few = pa.array([s.view(np.int64) if len(s) <= FEW else None for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(c), pa.array([len(s) for s in sets], pa.int32()), prints, few], ["doc_id", "text_hash", "c", "n", "prints", "few"])
 
     text = text_of(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(batches, "doc_id long, text_hash long, c long, n int, keys array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(batches, "doc_id long, text_hash long, c long, n int, prints array<long>, few array<long>")
+
+
+def meetings_of(key: np.ndarray, fps: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """For rows in order of key and Gray rank, the smallest position that close rows of the same key lead to."""
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size, place = np.diff(np.append(edge, len(key))), np.arange(len(key))
+
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(fps[a] ^ fps[b])
+        return (apart <= APART) & (apart + np.bitwise_count(more[a] ^ more[b]) <= APART_TWO)
+
+    settled = close(place, np.repeat(edge + size // 2, size))
+    root = np.where(settled, np.repeat(np.minimum.reduceat(np.where(settled, place, len(key)), edge), size), place)
+    for left, right in GrayTree(key, fps).close_pairs(APART, settled):
+        keep = close(left, right)
+        root = united(root, left[keep], right[keep])
+    return root
+
+
+def _meetings(classes: DataFrame) -> DataFrame:
+    """(key, c): the classes of every meeting of two or more; key names the meeting."""
+    ready(classes.sparkSession)
+    names = ["key", "root", "c"]
+
+    def met(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        key, fps, more, c = (np.concatenate(x) for x in zip(*held))
+        edge = np.concatenate(([True], key[1:] != key[:-1], [True]))
+        many = ~(edge[1:] & edge[:-1])
+        key, fps, more, c = key[many], fps[many].view(np.uint64), more[many].view(np.uint64), c[many]
+        if not len(key):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names)
+        root = meetings_of(key, fps, more)
+        keep = np.bincount(root, minlength=len(root))[root] > 1
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(c[root[keep]]), pa.array(c[keep])], names)
+
+    def tasks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # rows of the key that may go on
+        for part in parts:
+            now = [part.column(i).to_numpy() for i in range(4)]
+            if not len(now[0]):
+                continue
+            cut = int(np.argmax(now[0] == now[0][-1]))
+            if cut:
+                yield met([*held, [x[:cut] for x in now]])
+                held = [[x[cut:] for x in now]]
+            elif held and held[-1][0][-1] != now[0][0]:
+                yield met(held)
+                held = [now]
+            else:
+                held.append(now)
+        if held:
+            yield met(held)
+
+    each = classes.filter("n > 0").select("c", "prints", F.explode(F.sequence(F.lit(0), F.lit(KEYS - 1))).alias("k"))
+    number, block = F.floor(F.col("k") / (64 // BLOCK)).cast("int"), F.col("k") % (64 // BLOCK)
+    each = each.select("c", "k", (block * BLOCK).alias("shift"), F.get("prints", number).alias("fp"), F.get("prints", (number + 1) % PRINTS).alias("more"))
+    bits = F.expr(f"shiftrightunsigned(fp, shift) & {(1 << BLOCK) - 1}")
+    rows = each.select((F.col("k").cast("long") * (1 << BLOCK) + bits).alias("key"), "fp", "more", "c")
+    rows = rows.repartition("key").sortWithinPartitions("key", gray_rank(F.col("fp")))
+    found = rows.mapInArrow(tasks, "key long, root long, c long").select(F.xxhash64("key", "root").alias("key"), "c")
+    return found.unionByName(classes.select(F.explode("few").alias("h"), "c").select(F.xxhash64("h").alias("key"), "c"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -137,9 +213,9 @@ def _prefix_pairs(classes: DataFrame, sets: DataFrame, least: float) -> DataFram
 
 def similar_links(docs: DataFrame, classes: DataFrame, text_col: str, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """(node, root) for every class that isn't the smallest of its component of similar ones."""
-    each = classes.select("c", "n", "text_hash", F.explode("keys").alias("key"))
+    each = checkpointed(_meetings(classes))
     many = each.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1")
-    rows = checkpointed(each.join(small(checkpointed(many), BROADCAST_HASHES), "key"))
+    rows = checkpointed(each.join(small(checkpointed(many), BROADCAST_HASHES), "key").join(classes.select("c", "n", "text_hash"), "c"))
     sets = checkpointed(_sets(docs, checkpointed(rows.select("text_hash").distinct()), text_col, words))
     # The middle of a group meets the most others: what copies were made from shares more keys than the copies do.
     middle = rows.groupBy("c").agg(F.sum("met").alias("meets"))
@@ -155,11 +231,13 @@ def similar_links(docs: DataFrame, classes: DataFrame, text_col: str, words: int
             rows = rows.withColumn("root", F.col("c"))
         if at < STAR_ROUNDS:
             order = F.struct((-F.col("meets")).alias("o"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("root").alias("other"))
-            others = rows.groupBy("key").agg(F.min(order).alias("s")).select("key", "s.d", "s.m", "s.other")
+            others = rows.groupBy("key").agg(F.min(order).alias("s")).select("key", "s.o", "s.d", "s.m", "s.other")
             if at:  # the next best outside the component of the best, which was tried
                 rest = rows.join(others.select("key", F.col("other").alias("tried")), "key").filter("root <> tried")
-                others = rest.groupBy("key").agg(F.min(order).alias("s")).select("key", "s.d", "s.m", "s.other")
+                others = rest.groupBy("key").agg(F.min(order).alias("s")).select("key", "s.o", "s.d", "s.m", "s.other")
             asked = rows.join(others, "key").filter((F.col("root") != F.col("other")) & fits)
+            # A class asks the best of all that it meets, so a group of many meetings has one link a class.
+            asked = asked.groupBy("c").agg(F.min(F.struct("o", "d")).alias("s")).select("c", "s.d")
         else:
             asked = _prefix_pairs(rows.select("c", "n", "root").distinct(), sets, least).filter(fits)
         found = _similar(asked.select(*pair).distinct(), sets, least)
@@ -172,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, text_hash, n, root, kept): a row per distinct id and text, how often it occurs, its group, and whether it is the one that stays."""
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     sketched = checkpointed(_sketches(docs, id_col, text_col, words))
-    classes = checkpointed(sketched.groupBy("c").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    classes = checkpointed(sketched.groupBy("c").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("prints").alias("prints"), F.first("few").alias("few")))
     stars = similar_links(docs, classes, text_col, words, least)
     roots = classes.select("c").join(stars, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root"))
     # A class may hold a third of all rows, so rows meet their root dealt over many tasks.

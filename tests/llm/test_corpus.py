@@ -522,6 +522,52 @@ def test_near_duplicates_by_jaccard(spark):
     assert pipeline.near_duplicates(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_duplicates_meet_in_the_simhash_index(spark):
+    rng, rows = np.random.default_rng(5), []
+    for i in range(40):  # ten new words in a row leave a similarity of 86 / 106
+        words = [f"w{x}" for x in rng.integers(0, 9000, 100)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:90], *(f"x{x}" for x in rng.integers(0, 9000, 10))]))]
+    rows += [(90, "a b c d e f g h"), (91, "a b c d e f g h i"), (92, None)]
+    known = {r.doc_id: r for r in similar._sketches(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5).collect()}
+    for i in (0, 1, 90, 91):  # the bitwise majority under every seed
+        votes = np.zeros((similar.PRINTS, 64), int)
+        hashes = [int(h) for h in similar.shingles(dict(rows)[i])]
+        for h in hashes:
+            for k, (seed, times, mix) in enumerate(zip(similar.SEEDS, similar.TIMES, similar.MIX)):
+                x = h ^ int(seed)
+                x = (x ^ (x >> 32)) * int(times) % (1 << 64)
+                x = (x ^ (x >> 29)) * int(mix) % (1 << 64)
+                x ^= x >> 32
+                votes[k] += [x >> b & 1 for b in range(64)]
+        want = [sum(1 << b for b in range(64) if 2 * v[b] > len(hashes)) for v in votes]
+        assert [p % (1 << 64) for p in known[i].prints] == want
+    assert known[92].prints == []
+    classes = spark.createDataFrame([(r.c, r.n, r.prints, r.few) for r in known.values()], "c long, n int, prints array<long>, few array<long>")
+    meetings = collections.defaultdict(set)
+    for key, c in similar._meetings(classes).collect():
+        meetings[key].add(c)
+    for a, b in [*((2 * i, 2 * i + 1) for i in range(40)), (90, 91)]:
+        assert any({known[a].c, known[b].c} <= m for m in meetings.values()), (a, b)
+    # Under a key, what is close by the bits of two fingerprints: by brute force, with one dense group.
+    key = np.repeat([3, 4, 5], [300, 200, 1])
+    fps = rng.integers(0, 1 << 62, 501).astype(np.uint64)
+    fps[:250] = fps[0] ^ (np.uint64(1) << rng.integers(0, 64, 250).astype(np.uint64)) ^ (fps[:250] & fps[250:500] & np.uint64(0x1111111111111))
+    more = fps ^ (np.uint64(1) << rng.integers(0, 64, 501).astype(np.uint64))
+    more[250:260], fps[250:260] = ~more[:10], fps[:10]
+    gray = fps.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        gray ^= gray >> np.uint64(shift)
+    order = np.lexsort((gray, key))
+    key, fps, more = key[order], fps[order], more[order]
+    root = np.arange(501)
+    for a in range(501):
+        for b in range(a):
+            apart = (int(fps[a]) ^ int(fps[b])).bit_count()
+            if key[a] == key[b] and apart <= similar.APART and apart + (int(more[a]) ^ int(more[b])).bit_count() <= similar.APART_TWO:
+                root[root == max(root[a], root[b])] = min(root[a], root[b])
+    assert similar.meetings_of(key, fps, more).tolist() == root.tolist() and 1 < len(set(root)) < 501
+
+
 def simhash_input(spark, pipeline, table):
     frame = table
     for _, stage in pipeline.STAGES[:3]:
