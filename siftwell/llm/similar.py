@@ -8,7 +8,8 @@
    1 - (1 - 0.848**16)**136, which is 0.9999. Under a key the fingerprints stand in Gray order below operator 4's tree
    of shared masks and patterns, and those within ``APART`` bits (``APART_TWO`` with the next fingerprint, which such a pair keeps but
    for 0.0005 of the keys) are one meeting. What is that close to the middle of the order is settled at once, and nodes of settled
-   ones aren't compared, so a large group of near copies costs no pairs.
+   ones aren't compared, so a large group of near copies costs no pairs. Meetings are named by their smallest class and what
+   that leads to, and those of one name go on as one, so such a group costs few rows a class.
 4. Few shingles often tie, and a tie is 0, so sets of ``FEW`` shingles at most also meet under each of these.
 5. A star to one of a meeting's classes, the one that meets most others, is checked first, exactly, on the sets
    themselves, one star for a class and round; what links is one component. Classes of meetings that are still in two components are then joined on the rare ones of
@@ -117,9 +118,19 @@ def meetings_of(key: np.ndarray, fps: np.ndarray, more: np.ndarray) -> np.ndarra
 
 
 def _meetings(classes: DataFrame) -> DataFrame:
-    """(key, c): the classes of every meeting of two or more; key names the meeting."""
+    """(key, c): the classes of every meeting of two or more; meetings of one name count as one."""
+    return _counted_meetings(classes).select("key", "c")
+
+
+def _counted_meetings(classes: DataFrame) -> DataFrame:
+    """(key, c, met): a row per class of a meeting; met sums the sizes of the meetings of that name that the class is in.
+
+    A group of near copies meets under most of the 136 keys, each time with other members. A meeting's smallest class leads to
+    the smallest one that it meets anywhere, and that names the meeting: a class of the group has a row for each of a few names,
+    not for each key, and whoever meets still shares a name.
+    """
     ready(classes.sparkSession)
-    names = ["key", "root", "c"]
+    names = ["least", "c", "met"]
 
     def met(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         key, fps, more, c = (np.concatenate(x) for x in zip(*held))
@@ -129,8 +140,10 @@ def _meetings(classes: DataFrame) -> DataFrame:
         if not len(key):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names)
         root = meetings_of(key, fps, more)
-        keep = np.bincount(root, minlength=len(root))[root] > 1
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(c[root[keep]]), pa.array(c[keep])], names)
+        least, many = np.full(len(root), np.iinfo(np.int64).max), np.bincount(root, minlength=len(root))[root]
+        np.minimum.at(least, root, c)
+        keep = many > 1
+        return pa.RecordBatch.from_arrays([pa.array(least[root[keep]]), pa.array(c[keep]), pa.array(many[keep])], names)
 
     def tasks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # rows of the key that may go on
@@ -156,8 +169,12 @@ def _meetings(classes: DataFrame) -> DataFrame:
     bits = F.expr(f"shiftrightunsigned(fp, shift) & {(1 << BLOCK) - 1}")
     rows = each.select((F.col("k").cast("long") * (1 << BLOCK) + bits).alias("key"), "fp", "more", "c")
     rows = rows.repartition("key").sortWithinPartitions("key", gray_rank(F.col("fp")))
-    found = rows.mapInArrow(tasks, "key long, root long, c long").select(F.xxhash64("key", "root").alias("key"), "c")
-    return found.unionByName(classes.select(F.explode("few").alias("h"), "c").select(F.xxhash64("h").alias("key"), "c"))
+    found = checkpointed(rows.mapInArrow(tasks, "least long, c long, met long").groupBy("least", "c").agg(F.sum("met").alias("met")))
+    name = checkpointed(found.groupBy(F.col("c").alias("least")).agg(F.min("least").alias("key")))
+    found = found.join(small(name, BROADCAST_HASHES), "least").groupBy("key", "c").agg(F.sum("met").alias("met"))
+    few = classes.select(F.explode("few").alias("h"), "c")
+    often = checkpointed(few.groupBy("h").agg(F.count("*").alias("met")).filter("met > 1"))
+    return found.unionByName(few.join(small(often, BROADCAST_HASHES), "h").select(F.xxhash64("h").alias("key"), "c", "met"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -213,13 +230,11 @@ def _prefix_pairs(classes: DataFrame, sets: DataFrame, least: float) -> DataFram
 
 def similar_links(docs: DataFrame, classes: DataFrame, text_col: str, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """(node, root) for every class that isn't the smallest of its component of similar ones."""
-    each = checkpointed(_meetings(classes))
-    many = each.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1")
-    rows = checkpointed(each.join(small(checkpointed(many), BROADCAST_HASHES), "key").join(classes.select("c", "n", "text_hash"), "c"))
-    sets = checkpointed(_sets(docs, checkpointed(rows.select("text_hash").distinct()), text_col, words))
+    each = checkpointed(_counted_meetings(classes))
     # The middle of a group meets the most others: what copies were made from shares more keys than the copies do.
-    middle = rows.groupBy("c").agg(F.sum("met").alias("meets"))
-    rows, links, stars = checkpointed(rows.join(middle, "c").select("key", "c", "n", "meets")), None, None
+    middle = checkpointed(classes.select("c", "n", "text_hash").join(each.groupBy("c").agg(F.sum("met").alias("meets")), "c"))
+    sets = checkpointed(_sets(docs, middle.select("text_hash").distinct(), text_col, words))
+    rows, links, stars = checkpointed(each.select("key", "c").join(middle.select("c", "n", "meets"), "c").select("key", "c", "n", "meets")), None, None
     fits = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
     pair = F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")
     for at in range(STAR_ROUNDS + 1):

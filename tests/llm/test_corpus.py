@@ -568,6 +568,30 @@ def test_near_duplicates_meet_in_the_simhash_index(spark):
     assert similar.meetings_of(key, fps, more).tolist() == root.tolist() and 1 < len(set(root)) < 501
 
 
+def test_meetings_of_a_group_of_near_copies_are_few_rows(spark):
+    rng = np.random.default_rng(8)
+    texts = [[f"w{x}" for x in rng.integers(0, 9000, 120)] for _ in range(2)]
+    rows = [(500 + g, " ".join(words)) for g, words in enumerate(texts)]
+    for i in range(160):  # one or two words of 120 are changed, so a copy and its text have 106 of 126 shingles in common at least
+        words = list(texts[i % 2])
+        for at in rng.integers(0, 120, 1 + i % 4 // 2):
+            words[at] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: set(similar.shingles(t).tolist()) for d, t in rows}
+    known = {r.doc_id: r for r in similar._sketches(docs, "doc_id", "text", 5).collect()}
+    classes = spark.createDataFrame([(r.c, r.n, r.prints, r.few) for r in known.values()], "c long, n int, prints array<long>, few array<long>")
+    found = [tuple(r) for r in similar._meetings(classes).collect()]
+    assert len(found) == len(set(found)) <= 16 * len(known)  # not one for each of up to 136 keys
+    names = collections.defaultdict(set)
+    for key, c in found:
+        names[c].add(key)
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) > 2000 and all(names[known[a].c] & names[known[b].c] for a, b in alike)
+    group = {r.doc_id: r.root for r in similar.near_duplicates(docs).collect()}
+    assert all((group[a] == group[b]) == (a % 2 == b % 2) for a in group for b in group)
+
+
 def simhash_input(spark, pipeline, table):
     frame = table
     for _, stage in pipeline.STAGES[:3]:
