@@ -2,8 +2,9 @@
 
 A step is a function from pages to findings and runs as one job over all services. If it fails, its pages are dealt into PARTS
 folders by a hash of their key, and each part runs alone. The pages of all parts that fail are dealt together again, into SPREAD parts for
-each of these, until a failing part holds one page. That page gets an error row and all others keep their findings. Without failures nothing is dealt; with some,
-the pages are written once, then those of failing parts once for each level. So the jobs follow the failing pages and not the table.
+each of these, until a failing part holds one page. That page gets an error row and all others keep their findings, however many fail. Without failures
+nothing is dealt; with some, the pages are written once, then those of failing parts once for each level. So the jobs follow the failing pages and not the table.
+A step that has no plan, as for want of a column, fails on no page of its own: it is not dealt, and each page gets its error row.
 
 Findings go to ``<folder>/findings``, error rows to ``<folder>/errors``, and one row for each step to ``<folder>/steps``. What a step
 wrote is counted while it is written (an observed metric), not by reading it again.
@@ -19,12 +20,13 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 PARTS, SPREAD, AT_ONCE, DEPTH = 64, 4, 16, 32
-#: A step that fails on every part of a level, of which there are so many, can't work at all.
+#: So many failing parts are dealt together at most; the others wait for their turn, so the driver holds a round's parts and not the table's.
 MOST_ALONE = 1000
 COLUMNS = ["page_id", "service", "url", "type", "title", "severity", "value"]
 ERRORS = "step string, page_id long, service string, condition string, error string"
@@ -60,6 +62,21 @@ def text_of(error: BaseException) -> str:
     return lines[0].strip()[:300]
 
 
+def _found(step: Step, pages: DataFrame) -> DataFrame:
+    return step.run(pages).select(F.lit(step.name).alias("step"), *COLUMNS)
+
+
+def _without_plan(step: Step, pages: DataFrame) -> str | None:
+    """The error of planning a step over no pages, whose cause can't be a page."""
+    try:
+        _found(step, pages.sparkSession.createDataFrame([], pages.schema))
+    except AnalysisException as e:
+        return text_of(e)
+    except Exception:  # noqa: S110 - it may read its pages at once and want some
+        pass
+    return None
+
+
 def _write(step: Step, pages: DataFrame, path: str, until: float | None) -> int:
     """Run a step over pages and write its findings; their number."""
     spark, counted, tag = pages.sparkSession, Observation(), f"step-{uuid.uuid4().hex}"
@@ -76,7 +93,7 @@ def _write(step: Step, pages: DataFrame, path: str, until: float | None) -> int:
         timer.start()
     spark.sparkContext.addJobTag(tag)
     try:
-        found = step.run(pages).select(F.lit(step.name).alias("step"), *COLUMNS).observe(counted, F.count(F.lit(1)).alias("n"))
+        found = _found(step, pages).observe(counted, F.count(F.lit(1)).alias("n"))
         found.write.mode("overwrite").parquet(path)
         return counted.get["n"]
     except Exception as e:
@@ -111,52 +128,51 @@ class _Failures:
         self.n, self.first = self.n + counted.get["n"], self.first or condition_of(next(iter(errors.values())))
 
 
-def _isolated(failures: _Failures, pages: DataFrame, scratch: str, until: float | None) -> int:
-    """The number of findings of pages on which the step has failed, whose error rows go to failures."""
+def _isolated(failures: _Failures, pages: DataFrame, scratch: str, until: float | None, parts: int = PARTS, level: int = 0, before: str | None = None) -> int:
+    """The number of findings of pages on which the step has failed, whose error rows go to failures. before is removed when pages are dealt."""
     spark, step, schema = pages.sparkSession, failures.step, pages.schema
-    found, parts, level, before = 0, PARTS, 0, None
-    while True:
-        path = f"{scratch}/{uuid.uuid4().hex}"
-        part = F.pmod(F.xxhash64("page_id", F.lit(level)), F.lit(parts)).cast("int")
-        pages.withColumn("__part", part).repartition("__part").write.partitionBy("__part").parquet(path)
-        if before is not None:
-            _remove(spark, before)
-        dealt = spark.read.schema(StructType([*schema.fields, StructField("__part", IntegerType())])).parquet(path)
-        keys = F.count_distinct("page_id") + F.max(F.col("page_id").isNull().cast("int"))
-        sizes = {r["__part"]: r["keys"] for r in dealt.groupBy("__part").agg(keys.alias("keys")).collect()}
-
-        def one(part: int) -> tuple[int, int, BaseException | None]:
-            name = f"{failures.folder}/findings/{uuid.uuid4().hex}"
-            try:
-                return part, _write(step, spark.read.schema(schema).parquet(f"{path}/__part={part}"), name, until), None  # noqa: B023
-            except TimedOut:
-                raise
-            except Exception as e:
-                _remove(spark, name)
-                return part, 0, e
-
-        with ThreadPoolExecutor(AT_ONCE) as pool:
-            done = list(pool.map(one, sorted(sizes)))
-        found += sum(n for _, n, _ in done)
-        failed = {p: e for p, _, e in done if e is not None}
-        never = level >= DEPTH or len(failed) == len(sizes) >= MOST_ALONE
-        errors = {p: e for p, e in failed.items() if never or sizes[p] == 1}
-        if errors:
-            failures.add(dealt, errors)
-        rest = sorted(failed.keys() - errors.keys())
-        if not rest:
-            _remove(spark, path)
-            return found
-        pages, before = dealt.filter(F.col("__part").isin(rest)).drop("__part"), path
-        parts, level = SPREAD * len(rest), level + 1
+    path = f"{scratch}/{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("page_id", F.lit(level)), F.lit(parts)).cast("int")
+    pages.withColumn("__part", part).repartition("__part").write.partitionBy("__part").parquet(path)
+    if before is not None:
+        _remove(spark, before)
+    dealt = spark.read.schema(StructType([*schema.fields, StructField("__part", IntegerType())])).parquet(path)
+    keys = F.count_distinct("page_id") + F.max(F.col("page_id").isNull().cast("int"))
+    sizes = {r["__part"]: r["keys"] for r in dealt.groupBy("__part").agg(keys.alias("keys")).collect()}
+
+    def one(part: int) -> tuple[int, int, BaseException | None]:
+        name = f"{failures.folder}/findings/{uuid.uuid4().hex}"
+        try:
+            return part, _write(step, spark.read.schema(schema).parquet(f"{path}/__part={part}"), name, until), None
+        except TimedOut:
+            raise
+        except Exception as e:
+            _remove(spark, name)
+            return part, 0, e
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        done = list(pool.map(one, sorted(sizes)))
+    found = sum(n for _, n, _ in done)
+    failed = {p: e for p, _, e in done if e is not None}
+    errors = {p: e for p, e in failed.items() if level >= DEPTH or sizes[p] == 1}
+    if errors:
+        failures.add(dealt, errors)
+    rest = sorted(failed.keys() - errors.keys())
+    if not rest:
+        _remove(spark, path)
+    for at in range(0, len(rest), MOST_ALONE):
+        some, last = rest[at : at + MOST_ALONE], at + MOST_ALONE >= len(rest)
+        own = dealt.filter(F.col("__part").isin(some)).drop("__part")
+        found += _isolated(failures, own, scratch, until, SPREAD * len(some), level + 1, path if last else None)
+    return found
 
 
 def run_steps(pages: DataFrame, steps: list[Step], folder: str, continue_on_error: bool = True, seconds: float | None = None) -> Batch:
     """Run steps in order over pages (page_id, service, url and what the steps read) and return what they wrote into a new folder.
 
     Without continue_on_error a service that failed takes no part in later steps. seconds is the time for all steps: what runs
-    when it is over is cancelled and recorded as timed out, and later steps don't run. Once a step has failed on every part of a level
-    of MOST_ALONE parts or more, none is dealt again: each of their pages gets an error row, so a step that can't work at all ends.
+    when it is over is cancelled and recorded as timed out, and later steps don't run. A step that fails on every page as it runs has each
+    of them tried alone, so it takes a job a page at least: give seconds where that is too long.
     """
     spark = pages.sparkSession
     until = None if seconds is None else time.monotonic() + seconds
@@ -173,9 +189,12 @@ def run_steps(pages: DataFrame, steps: list[Step], folder: str, continue_on_erro
                 n = _write(step, mine, path, until)
             except TimedOut:
                 raise
-            except Exception:
+            except Exception as e:
                 _remove(spark, path)
-                n = _isolated(failures, mine, f"{folder}/scratch", until)
+                if isinstance(e, AnalysisException) and _without_plan(step, mine) == text_of(e):
+                    failures.add(mine.withColumn("__part", F.lit(0)), {0: e})
+                else:
+                    n = _isolated(failures, mine, f"{folder}/scratch", until)
         except TimedOut:
             late = True
         told = "timed out" if late else f"{failures.first}: {failures.n} pages" if failures.n else None

@@ -148,6 +148,23 @@ def test_a_step_that_never_works_ends(own_pages, tmp_path, monkeypatch):
     assert {r.page_id for r in done.errors.collect()} == set(range(40)) and done.findings.count() == 40
 
 
+def test_good_pages_stay_where_every_part_fails(own_pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(batch, "PARTS", 6)
+    monkeypatch.setattr(batch, "MOST_ALONE", 5)
+    few, bad = own_pages.filter("page_id < 30"), {i for i in range(30) if i % 4}
+    done = batch.run_steps(few, [batch.Step("size", sized(bad))], str(tmp_path / "b"))
+    assert {r.page_id for r in done.errors.collect()} == bad and sorted(r.page_id for r in done.findings.collect()) == list(range(0, 30, 4))
+    assert [(r.pages, r.findings, r.failed_pages) for r in done.steps.collect()] == [(30, 8, 22)] and not os.listdir(tmp_path / "b" / "scratch")
+
+
+def test_a_step_without_a_plan_is_not_dealt(own_pages, tmp_path, monkeypatch):
+    written, write = [], DataFrameWriter.partitionBy
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *c: written.append(c) or write(self, *c))
+    done = batch.run_steps(own_pages, [batch.Step("title", lambda p: sized(set())(p.withColumn("url", F.col("title")))), batch.Step("mail", detect.emails)], str(tmp_path / "b"))
+    assert {(r.page_id, r.condition) for r in done.errors.collect()} == {(i, "UNRESOLVED_COLUMN.WITH_SUGGESTION") for i in range(60)}
+    assert [(r.step, r.findings, r.failed_pages) for r in done.steps.orderBy("number").collect()] == [("title", 0, 60), ("mail", 60, 0)] and not written
+
+
 def test_what_takes_too_long_is_cancelled_and_recorded(own_pages, tmp_path):
     @F.udf("string")
     def slow(x):
