@@ -1,8 +1,8 @@
 """Named steps over many services as one batch: a failure costs the pages that cause it, and every step leaves a record.
 
 A step is a function from pages to findings and runs as one job over all services. If it fails, its pages are dealt into PARTS
-folders by a hash of their key, and each part runs alone. The pages of all parts that fail are dealt together again, into SPREAD parts for
-each of these, until a failing part holds one page. That page gets an error row and all others keep their findings, however many fail. Without failures
+folders by a hash of their key, and each part runs alone. The pages of all parts that fail are dealt together again, each part into SPREAD
+by more of the hash, until a failing part holds one page: different keys have different hashes, so that comes to an end without a limit. That page gets an error row and all others keep their findings, however many fail. Without failures
 nothing is dealt; with some, the pages are written once, then those of failing parts once for each level. So the jobs follow the failing pages and not the table.
 A step that has no plan, as for want of a column, fails on no page of its own: it is not dealt, and each page gets its error row.
 
@@ -23,9 +23,9 @@ from typing import NamedTuple
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-PARTS, SPREAD, AT_ONCE, DEPTH = 64, 4, 16, 32
+PARTS, SPREAD, AT_ONCE = 64, 4, 16
 #: So many failing parts are dealt together at most; the others wait for their turn, so the driver holds a round's parts and not the table's.
 MOST_ALONE = 1000
 COLUMNS = ["page_id", "service", "url", "type", "title", "severity", "value"]
@@ -121,24 +121,26 @@ class _Failures:
     def add(self, dealt: DataFrame, errors: dict[int, BaseException]) -> None:
         """Error rows for the pages of these parts of dealt."""
         spark, path, counted = dealt.sparkSession, f"{self.folder}/errors/{uuid.uuid4().hex}", Observation()
-        why = spark.createDataFrame([(p, condition_of(e), text_of(e)) for p, e in errors.items()], "__part int, condition string, error string")
-        pages = dealt.filter(F.col("__part").isin(list(errors))).select("__part", "page_id", "service").distinct()
+        why = spark.createDataFrame([(p, condition_of(e), text_of(e)) for p, e in errors.items()], "__part long, condition string, error string")
+        pages = dealt.filter(F.col("__part").isin(list(errors)))
         told = pages.join(F.broadcast(why), "__part").select(F.lit(self.step.name).alias("step"), "page_id", "service", "condition", "error")
         told.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
         self.n, self.first = self.n + counted.get["n"], self.first or condition_of(next(iter(errors.values())))
 
 
-def _isolated(failures: _Failures, pages: DataFrame, scratch: str, until: float | None, parts: int = PARTS, level: int = 0, before: str | None = None) -> int:
-    """The number of findings of pages on which the step has failed, whose error rows go to failures. before is removed when pages are dealt."""
+def _isolated(failures: _Failures, pages: DataFrame, scratch: str, until: float | None, parts: int = PARTS, before: str | None = None) -> int:
+    """The number of findings of pages on which the step has failed, whose error rows go to failures. before is removed when pages are dealt.
+
+    A part is a remainder of the key's hash by parts (of all pages; pages holds some of them), at last the hash. XXH64 maps longs one to one.
+    """
     spark, step, schema = pages.sparkSession, failures.step, pages.schema
     path = f"{scratch}/{uuid.uuid4().hex}"
-    part = F.pmod(F.xxhash64("page_id", F.lit(level)), F.lit(parts)).cast("int")
-    pages.withColumn("__part", part).repartition("__part").write.partitionBy("__part").parquet(path)
+    key = F.xxhash64("page_id")
+    pages.withColumn("__part", F.pmod(key, F.lit(parts)) if parts < 1 << 63 else key).repartition("__part").write.partitionBy("__part").parquet(path)
     if before is not None:
         _remove(spark, before)
-    dealt = spark.read.schema(StructType([*schema.fields, StructField("__part", IntegerType())])).parquet(path)
-    keys = F.count_distinct("page_id") + F.max(F.col("page_id").isNull().cast("int"))
-    sizes = {r["__part"]: r["keys"] for r in dealt.groupBy("__part").agg(keys.alias("keys")).collect()}
+    dealt = spark.read.schema(StructType([*schema.fields, StructField("__part", LongType())])).parquet(path)
+    sizes = {r["__part"]: r["keys"] for r in dealt.groupBy("__part").agg(F.count_distinct(key).alias("keys")).collect()}
 
     def one(part: int) -> tuple[int, int, BaseException | None]:
         name = f"{failures.folder}/findings/{uuid.uuid4().hex}"
@@ -154,7 +156,7 @@ def _isolated(failures: _Failures, pages: DataFrame, scratch: str, until: float
         done = list(pool.map(one, sorted(sizes)))
     found = sum(n for _, n, _ in done)
     failed = {p: e for p, _, e in done if e is not None}
-    errors = {p: e for p, e in failed.items() if level >= DEPTH or sizes[p] == 1}
+    errors = {p: e for p, e in failed.items() if sizes[p] == 1}
     if errors:
         failures.add(dealt, errors)
     rest = sorted(failed.keys() - errors.keys())
@@ -163,7 +165,7 @@ def _isolated(failures: _Failures, pages: DataFrame, scratch: str, until: float
     for at in range(0, len(rest), MOST_ALONE):
         some, last = rest[at : at + MOST_ALONE], at + MOST_ALONE >= len(rest)
         own = dealt.filter(F.col("__part").isin(some)).drop("__part")
-        found += _isolated(failures, own, scratch, until, SPREAD * len(some), level + 1, path if last else None)
+        found += _isolated(failures, own, scratch, until, SPREAD * parts, path if last else None)
     return found
 
 

@@ -157,6 +157,36 @@ def test_good_pages_stay_where_every_part_fails(own_pages, tmp_path, monkeypatch
     assert [(r.pages, r.findings, r.failed_pages) for r in done.steps.collect()] == [(30, 8, 22)] and not os.listdir(tmp_path / "b" / "scratch")
 
 
+def test_no_number_of_levels_ends_the_dealing(own_pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(batch, "PARTS", 2)
+    monkeypatch.setattr(batch, "DEPTH", 1, raising=False)
+    few = own_pages.filter("page_id < 30")
+    done = batch.run_steps(few.union(few.filter("page_id = 7")), [batch.Step("size", sized({7, 22}))], str(tmp_path / "b"))
+    assert sorted(r.page_id for r in done.errors.collect()) == [7, 7, 22] and sorted(r.page_id for r in done.findings.collect()) == sorted(set(range(30)) - {7, 22})
+    assert [(r.pages, r.findings, r.failed_pages) for r in done.steps.collect()] == [(31, 28, 3)]
+
+
+def of_hash(h):
+    """The long whose xxhash64 is h: its steps backwards."""
+    p1, p2, p3, p4, p5, m = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, (1 << 64) - 1
+    back = lambda x, n: (x >> n | x << (64 - n)) & m
+    x = (h ^ h >> 32) * pow(p3, -1, 1 << 64) & m
+    x = (x ^ x >> 29 ^ x >> 58) * pow(p2, -1, 1 << 64) & m
+    x = ((x ^ x >> 33) - p4) * pow(p1, -1, 1 << 64) & m
+    x = (back(x, 27) ^ 42 + p5 + 8) * pow(p1, -1, 1 << 64) & m
+    x = back(x, 31) * pow(p2, -1, 1 << 64) & m
+    return x - (x >> 63 << 64)
+
+
+def test_pages_are_told_apart_by_the_last_bit_of_their_hashes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batch, "PARTS", 1 << 60)
+    ids = [of_hash(5 + (n << 62)) for n in range(4)]
+    pages = spark.createDataFrame([(i, "s", "u", "x") for i in ids], PAGES)
+    assert pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(1 << 62)) == 5).count() == 4
+    done = batch.run_steps(pages, [batch.Step("size", sized({ids[2]}))], str(tmp_path / "b"))
+    assert [r.page_id for r in done.errors.collect()] == [ids[2]] and sorted(r.page_id for r in done.findings.collect()) == sorted({*ids} - {ids[2]})
+
+
 def test_a_step_without_a_plan_is_not_dealt(own_pages, tmp_path, monkeypatch):
     written, write = [], DataFrameWriter.partitionBy
     monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *c: written.append(c) or write(self, *c))
