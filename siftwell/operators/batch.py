@@ -118,18 +118,25 @@ class _Failures:
         self.step, self.folder = step, folder
         self.n, self.first = 0, None
 
-    def add(self, dealt: DataFrame, errors: dict[int, BaseException]) -> None:
-        """Error rows for the pages of these parts of dealt."""
+    def add(self, dealt: DataFrame, errors: dict[int, tuple[str, str]]) -> None:
+        """Error rows for the pages of these parts of dealt, by the condition and text of each part's error."""
         spark, path, counted = dealt.sparkSession, f"{self.folder}/errors/{uuid.uuid4().hex}", Observation()
-        why = spark.createDataFrame([(p, condition_of(e), text_of(e)) for p, e in errors.items()], "__part long, condition string, error string")
+        why = spark.createDataFrame([(p, *e) for p, e in errors.items()], "__part long, condition string, error string")
         pages = dealt.filter(F.col("__part").isin(list(errors)))
         told = pages.join(F.broadcast(why), "__part").select(F.lit(self.step.name).alias("step"), "page_id", "service", "condition", "error")
         told.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
-        self.n, self.first = self.n + counted.get["n"], self.first or condition_of(next(iter(errors.values())))
+        self.n, self.first = self.n + counted.get["n"], self.first or next(iter(errors.values()))[0]
 
 
-def _isolated(failures: _Failures, pages: DataFrame, scratch: str, until: float | None, parts: int = PARTS, before: str | None = None) -> int:
-    """The number of findings of pages on which the step has failed, whose error rows go to failures. before is removed when pages are dealt.
+def _isolated(failures: _Failures, pages: DataFrame, scratch: str, until: float | None) -> int:
+    """The number of findings of pages on which the step has failed, whose error rows go to failures."""
+    at_once = min(AT_ONCE, pages.sparkSession.sparkContext.defaultParallelism)  # more than cores are no faster and cost the driver memory
+    with ThreadPoolExecutor(at_once) as pool:
+        return _dealt(failures, pages, scratch, until, pool, PARTS, None)
+
+
+def _dealt(failures: _Failures, pages: DataFrame, scratch: str, until: float | None, pool: ThreadPoolExecutor, parts: int, before: str | None) -> int:
+    """A level of _isolated and what follows from it. before, where the pages lie, is removed when they are dealt.
 
     A part is a remainder of the key's hash by parts (of all pages; pages holds some of them), at last the hash. XXH64 maps longs one to one.
     """
@@ -142,7 +149,7 @@ def _isolated(failures: _Failures, pages: DataFrame, scratch: str, until: float
     dealt = spark.read.schema(StructType([*schema.fields, StructField("__part", LongType())])).parquet(path)
     sizes = {r["__part"]: r["keys"] for r in dealt.groupBy("__part").agg(F.count_distinct(key).alias("keys")).collect()}
 
-    def one(part: int) -> tuple[int, int, BaseException | None]:
+    def one(part: int) -> tuple[int, int, tuple[str, str] | None]:
         name = f"{failures.folder}/findings/{uuid.uuid4().hex}"
         try:
             return part, _write(step, spark.read.schema(schema).parquet(f"{path}/__part={part}"), name, until), None
@@ -150,10 +157,9 @@ def _isolated(failures: _Failures, pages: DataFrame, scratch: str, until: float
             raise
         except Exception as e:
             _remove(spark, name)
-            return part, 0, e
+            return part, 0, (condition_of(e), text_of(e))  # the exception itself would hold on to the part's plan
 
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        done = list(pool.map(one, sorted(sizes)))
+    done = list(pool.map(one, sorted(sizes)))
     found = sum(n for _, n, _ in done)
     failed = {p: e for p, _, e in done if e is not None}
     errors = {p: e for p, e in failed.items() if sizes[p] == 1}
@@ -165,7 +171,7 @@ def _isolated(failures: _Failures, pages: DataFrame, scratch: str, until: float
     for at in range(0, len(rest), MOST_ALONE):
         some, last = rest[at : at + MOST_ALONE], at + MOST_ALONE >= len(rest)
         own = dealt.filter(F.col("__part").isin(some)).drop("__part")
-        found += _isolated(failures, own, scratch, until, SPREAD * parts, path if last else None)
+        found += _dealt(failures, own, scratch, until, pool, SPREAD * parts, path if last else None)
     return found
 
 
@@ -194,7 +200,7 @@ def run_steps(pages: DataFrame, steps: list[Step], folder: str, continue_on_erro
             except Exception as e:
                 _remove(spark, path)
                 if isinstance(e, AnalysisException) and _without_plan(step, mine) == text_of(e):
-                    failures.add(mine.withColumn("__part", F.lit(0)), {0: e})
+                    failures.add(mine.withColumn("__part", F.lit(0)), {0: (condition_of(e), text_of(e))})
                 else:
                     n = _isolated(failures, mine, f"{folder}/scratch", until)
         except TimedOut:
